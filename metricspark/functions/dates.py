@@ -7,18 +7,10 @@ from pyspark.sql import functions as F
 
 from metricspark.functions.text import trim_ws
 
-# Shape of the text -> format. Choosing by shape keeps failed parses, which are
-# slow, away from rows that another format reads.
-DAY_FIRST_FORMATS = (
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "d/M/yyyy H:mm"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "d/M/yyyy H:mm:ss"),
-    (r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{2}$", "d-M-yyyy H:mm"),
-    (r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{2}:\d{2}$", "d-M-yyyy H:mm:ss"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{2}:\d{2}:\d{2}$", "yyyy-M-d[ ]['T']HH:mm:ss"),
-)
+# With ``/`` read as ``-``, one format per order of the parts is enough.
+_YEAR_FIRST = r"^\d{4}-"
+_DAY_FIRST_FORMAT = "d-M-yyyy[ H:mm[:ss]]"
+_YEAR_FIRST_FORMAT = "yyyy-M-d[[ ]['T']H:mm[:ss]]"
 
 # Month names of a period label.
 MONTH_NAMES = (
@@ -29,14 +21,11 @@ MONTH_NAMES = (
 
 def parse_day_first(c: Column) -> Column:
     """Timestamp from day-first text; anything unreadable is null."""
-    text = trim_ws(c)
-    parsed = None
-    for shape, fmt in DAY_FIRST_FORMATS:
-        hit = F.try_to_timestamp(text, F.lit(fmt))
-        parsed = (
-            F.when(text.rlike(shape), hit) if parsed is None else parsed.when(text.rlike(shape), hit)
-        )
-    return parsed
+    text = F.translate(trim_ws(c), "/", "-")
+    # Choosing by shape first keeps slow failed parses away from well-formed rows.
+    return F.when(
+        text.rlike(_YEAR_FIRST), F.try_to_timestamp(text, F.lit(_YEAR_FIRST_FORMAT))
+    ).otherwise(F.try_to_timestamp(text, F.lit(_DAY_FIRST_FORMAT)))
 
 
 def period_of(ts: Column) -> Column:

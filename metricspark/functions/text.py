@@ -8,8 +8,9 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace as Python's ``str.strip`` sees it: ASCII blanks, the four separator
-# controls, NEL and every Unicode separator (no-break space among them).
+# Whitespace as ``str.strip`` sees it: ASCII blanks, the four separator controls, NEL and
+# every Unicode separator (no-break space among them). ``trim`` alone knows only spaces.
+WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 _SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 # Texts that count as a blank cell after trimming.
@@ -37,11 +38,11 @@ _ACCENTED, _PLAIN = _accent_pairs()
 
 def trim_ws(c: Column) -> Column:
     """Strip every kind of leading and trailing whitespace, not just spaces."""
-    return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def collapse_ws(c: Column) -> Column:
-    return trim_ws(F.regexp_replace(c, f"{_SPACE}+", " "))
+    return F.trim(F.regexp_replace(c, f"{_SPACE}+", " "))
 
 
 def strip_accents(c: Column) -> Column:

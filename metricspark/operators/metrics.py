@@ -185,7 +185,7 @@ def _compressed_counts(facts, terms, period, weights) -> DataFrame:
             if a in bit:
                 masks[bit[a][0]] |= 1 << bit[a][1]
         lookup.append((term.metric_id, term.sign, shapes.setdefault(shape, len(shapes)),
-                       "|".join(equal[k] for k in shape), *masks))
+                       chr(31).join(equal[k] for k in shape), *masks))
     term_table = config_table(
         facts.sparkSession, lookup,
         "metric_id string, sign int, shape int, key string, "
@@ -201,7 +201,7 @@ def _compressed_counts(facts, terms, period, weights) -> DataFrame:
         F.struct(
             F.lit(number).alias("shape"),
             # a record outside the class of any equality has no key, so it meets no term
-            F.concat_ws("|", *[F.col(k).cast("string") for k in shape]).alias("key"),
+            F.concat_ws(chr(31), *[F.col(k).cast("string") for k in shape]).alias("key"),
             reduce(and_, [F.col(k).isNotNull() for k in shape], F.lit(True)).alias("__any"),
         )
         for shape, number in shapes.items()
