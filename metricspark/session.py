@@ -6,6 +6,7 @@ import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -54,3 +55,14 @@ def config_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     arrow = to_arrow_schema(schema)
     table = pa.table([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
     return spark.createDataFrame(table, schema=schema)
+
+
+def evaluate_once(df: DataFrame) -> DataFrame:
+    """Work out the projected expressions once per row.
+
+    The optimizer copies an expression into every later filter and flag that uses it,
+    which multiplies costly ones such as date parsing and can outgrow the size limit of
+    generated code. Columns that come out of a generator are not copied; the row stays
+    in the same task and nothing is shuffled or stored.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))

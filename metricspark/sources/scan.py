@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from metricspark import fixed_values as fixed
 from metricspark.functions.dates import parse_day_first
 from metricspark.functions.text import header_key, is_blank
+from metricspark.session import evaluate_once
 
 
 class MissingFields(ValueError):
@@ -84,4 +85,4 @@ def typed(
         for f in fields
     ]
     blanks = [is_blank(F.col(f)).alias(f"{f}_blank") for f in fields]
-    return df.select(*keep, *values, *blanks)
+    return evaluate_once(df.select(*keep, *values, *blanks))
