@@ -340,3 +340,10 @@ def monthly_summary(flags: DataFrame, layout, rule, *, sex: str, service: str) -
     return dist.filter("axis <> 'total'").withColumn(
         "percent", F.lit(None).cast("double")
     ).unionByName(total_rows)
+
+
+def ordered_positions(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """The first rows in key order with their position; the limit is the feature."""
+    first = df.orderBy(*keys).limit(limit)
+    return first.withColumn(
+        "position", F.row_number().over(Window.orderBy(*keys)).cast("bigint"))

@@ -31,7 +31,7 @@ def preflight_checks(writes: DataFrame, values: DataFrame) -> DataFrame:
 
     def excess(column: str, name: str) -> DataFrame:
         per_key = writes.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-        return per_key.agg(F.count_if("n > 1").alias("failures")).select(
+        return per_key.agg(F.count_if(F.col("n") > 1).alias("failures")).select(
             F.lit(name).alias("check_name"), "failures")
 
     wanted = writes.select("metric_id").distinct()
