@@ -134,3 +134,25 @@ ZERO_MIN_CASES = 30
 ZERO_MIN_RATIO = 0.98
 
 VALUE_TOLERANCE = 1e-9
+
+# Sex labels (normalised), criterion fragments and age-label patterns with
+# their bounds: group number, "-1" for one less, a constant, or nothing for an open end.
+SEX_LABELS = {
+    "HOMBRE": "MALE", "HOMBRES": "MALE", "MUJER": "FEMALE", "MUJERES": "FEMALE",
+    "AMBOS SEXO": "BOTH", "AMBOS SEXOS": "BOTH",
+}
+SEX_CRITERIA = {"hombre": "MALE", "mujer": "FEMALE"}
+AGE_LABELS = (
+    (r"^MEN(?:OS|OR) DE 1 ANO\s*-\s*1 ANO$", "0", "1"),
+    (r"^MEN(?:OS|OR) DE\s*(\d+)\s*ANOS?$", None, "g1-1"),
+    (r"(\d+)\s*Y\s*MAS\s*ANOS?", "g1", None),
+    (r"^(\d+)\s*[-A]\s*(\d+)\s*ANOS?$", "g1", "g2"),
+    (r"^(\d+)\s*-\s*(\d+)$", "g1", "g2"),
+    (r"^(\d+)\s*ANOS?$", "g1", "g1"),
+)
+GROUP_HEADER = r"^\s*[A-Z]\s*[.\-]\s*(\d+\s*[.\-]|\-|)"
+SECTION_KEYWORD = r"^\s*secci[oó]n\b"
+PROCEDURE_DIGITS = (4, 8)
+ROLLUP_SCOPES = ("TOTAL", "SUBTOTAL")
+MIN_LABEL_LENGTH = 3
+MAX_AMBIGUOUS_PER_LABEL = 6

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 _SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
+#: Pattern prefixes: any case in every alphabet; classes such as ``\\w`` in every alphabet.
+ANY_CASE = "(?iu)"
+ANY_SCRIPT = "(?U)"
+
 # Texts that count as a blank cell after trimming.
 BLANK_MARKERS = ("", "NaT", "nan", "None", "<NA>")
 

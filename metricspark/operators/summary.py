@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from metricspark import fixed_values as fixed
 from metricspark.functions.dates import age_years
-from metricspark.functions.text import trim_ws
+from metricspark.functions.text import ANY_SCRIPT, trim_ws
 
 
 class MissingDimension(ValueError):
@@ -264,10 +264,10 @@ def pii_scan(df: DataFrame, texts: Mapping[str, Column],
              patterns: Sequence[tuple[str, str]] = fixed.PERSONAL_DATA) -> DataFrame:
     """Hits per field and pattern over whole texts; no value leaves the scan."""
     counted = df.agg(*[
-        F.sum(F.coalesce(F.regexp_count(text, F.lit(regex)), F.lit(0))).alias(f"{i}_{j}_hits")
+        F.sum(F.coalesce(F.regexp_count(text, F.lit(ANY_SCRIPT + regex)), F.lit(0))).alias(f"{i}_{j}_hits")
         for i, text in enumerate(texts.values()) for j, (_, regex) in enumerate(patterns)
     ], *[
-        F.count_if(F.coalesce(text.rlike(regex), F.lit(False))).alias(f"{i}_{j}_rows")
+        F.count_if(F.coalesce(text.rlike(ANY_SCRIPT + regex), F.lit(False))).alias(f"{i}_{j}_rows")
         for i, text in enumerate(texts.values()) for j, (_, regex) in enumerate(patterns)
     ])
     rows = F.array(*[

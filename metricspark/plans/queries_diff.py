@@ -120,13 +120,14 @@ def sheet_order(t):
 
 
 _CELLS = "SELECT p_brand AS sheet, p_partkey AS row_no, p_size AS col_no FROM {part}"
-# Promotional parts read a block of rows around them, some on another sheet.
-_RANGES = """SELECT p_brand AS target_sheet, p_partkey AS target_row, 60 AS target_col, r AS ref_no,
-  CASE WHEN r = 1 AND p_size % 4 = 0 THEN 'Brand#1' ELSE p_brand END AS ref_sheet,
-  CASE WHEN p_size < 3 THEN p_partkey ELSE p_partkey - p_size * 3 * (r + 1) END AS row_start,
+# Promotional parts read two blocks of rows around them, some on another sheet.
+_RANGE = """SELECT p_brand AS target_sheet, p_partkey AS target_row, 60 AS target_col, %d AS ref_no,
+  %s AS ref_sheet, CASE WHEN p_size < 3 THEN p_partkey ELSE p_partkey - p_size * %d END AS row_start,
   CASE WHEN p_size < 3 THEN p_partkey ELSE p_partkey + p_size * 5 END AS row_end,
   CASE WHEN p_size < 3 THEN p_size ELSE 1 END AS col_start, p_size AS col_end
-FROM {part}, (VALUES (0), (1)) v(r) WHERE p_type = 'PROMO'"""
+FROM {part} WHERE p_type = 'PROMO'"""
+_RANGES = _RANGE % (0, "p_brand", 3) + " UNION ALL " + _RANGE % (
+    1, "CASE WHEN p_size IN (4, 8, 16, 32) THEN 'Brand#1' ELSE p_brand END", 6)
 _EDGES = f"""c AS ({plain(_CELLS)}), g AS ({plain(_RANGES)}),
 h AS (SELECT c.*, g.*, CASE WHEN sheet <> target_sheet THEN 'cross_sheet'
   WHEN row_start = row_end AND col_start = col_end THEN 'cell' ELSE 'range' END AS kind

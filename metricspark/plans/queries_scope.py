@@ -348,7 +348,7 @@ def monthly_summary(t):
   CAST(coalesce(sum(len(regexp_extract_all({col}, '{regex}'))), 0) AS BIGINT) AS hits,
   count(*) FILTER (WHERE regexp_matches({col}, '{regex}')) AS rows FROM {table}"""
     for table, col in (("documents", "text"), ("conversations", "text"), ("pages", "html"))
-    for name, regex in fixed.PERSONAL_DATA))
+    for name, regex in ((n, p.replace(r"\w", r"\p{L}\p{N}_")) for n, p in fixed.PERSONAL_DATA)))
 def pii_scan(t):
     found = [
         summary.pii_scan(df, {name: F.col(col)})
