@@ -8,6 +8,7 @@ from metricspark import fixed_values as fixed
 from metricspark.operators import layout
 from metricspark.plans import views as v
 from metricspark.plans.registry import plain, query
+from metricspark.session import cut_lineage
 
 # A hundred parts make a sheet; the size of a part decides what its row is.
 _ROWS = """SELECT 'S' || CAST(floor(p_partkey / 100) AS INT) AS sheet, CAST(p_partkey % 100 + 1 AS INT) AS row_no,
@@ -79,7 +80,8 @@ def header_rows(t):
 @query("header_context", f"""WITH {_CONTEXT}
 SELECT sheet, row_no, col_no, ilabel AS section, olabel AS parent, glabel AS group_label, is_header FROM c""")
 def header_context(t):
-    found = layout.header_context(targets(t).select("sheet", "row_no", "col_no"), layout.header_rows(t.sql(GRID)))
+    found = layout.header_context(
+        targets(t).select("sheet", "row_no", "col_no"), cut_lineage(layout.header_rows(t.sql(GRID))))
     return found.select(
         "sheet", "row_no", "col_no", F.col("inner.label").alias("section"), F.col("inner.parent").alias("parent"),
         F.col("grp.label").alias("group_label"), "is_header")
