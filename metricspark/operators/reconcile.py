@@ -11,6 +11,7 @@ from metricspark import fixed_values as fixed
 from metricspark.functions import compare as cmp
 from metricspark.functions.text import normalize_text, trim_ws
 from metricspark.operators.summary import grouped_counts
+from metricspark.session import cut_lineage
 
 #: Quantile slices of the id range, each cut into equal parts: a hot fingerprint is
 #: spread over slices * parts groups.
@@ -124,6 +125,8 @@ def reconcile(
     """Long report ``(section, field, label, n)``: is the earlier detail a subset of the
     direct export, with and without the status, and who are the records left out."""
     without = fingerprint([f for f in fields if f != status], dates)
+    # Each side is read by several checks; one period of it is stored once.
+    direct, earlier = cut_lineage(direct), cut_lineage(earlier)
 
     def section(name: str, check: DataFrame) -> DataFrame:
         names = ["subset_records", "superset_records", "matched", "unmatched", "excess"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from metricspark import fixed_values as fixed
 from metricspark.functions.dates import age_years
 from metricspark.functions.text import ANY_SCRIPT, trim_ws
+from metricspark.session import cut_lineage
 
 
 class MissingDimension(ValueError):
@@ -306,19 +307,24 @@ def monthly_summary(flags: DataFrame, layout, rule, *, sex: str, service: str) -
         F.when(F.col("included"), F.struct(F.lit("total").alias("axis"),
                                            F.lit("included_records").alias("label"))),
     )
-    long = (
+    # Small by now: one row per month, axis and label. Stored, because three parts read it.
+    long = cut_lineage(
         counted.select("period", "included", "n", F.inline(F.array_compact(axes)))
         .groupBy("period", "axis", "label", "included").agg(F.sum("n").alias("n"))
     )
-    # The service axis is cut to its top labels per month; the rest is summed.
-    by_rank = Window.partitionBy("period", "axis").orderBy(F.desc("n"), "label")
-    dist = (
-        long.withColumn("rank", F.row_number().over(by_rank))
-        .withColumn("label", F.when(
-            (F.col("axis") == "service") & (F.col("rank") > fixed.TOP_N), fixed.OTHER_LABEL
-        ).otherwise(F.col("label")))
-        .groupBy("period", "axis", "label", "included").agg(F.sum("n").alias("n"))
+    # Of the services of a month only the top labels are ranked; the rest is a difference.
+    services = long.filter("axis = 'service'")
+    by_rank = Window.partitionBy("period").orderBy(F.desc("n"), "label")
+    top = services.withColumn("rank", F.row_number().over(by_rank)).filter(
+        F.col("rank") <= fixed.TOP_N).drop("rank")
+    rest = (
+        services.groupBy("period").agg(F.sum("n").alias("all_n"))
+        .join(top.groupBy("period").agg(F.sum("n").alias("top_n")), "period")
+        .select("period", F.lit("service").alias("axis"), F.lit(fixed.OTHER_LABEL).alias("label"),
+                F.lit(True).alias("included"), (F.col("all_n") - F.col("top_n")).alias("n"))
+        .filter("n > 0")
     )
+    dist = long.filter("axis <> 'service'").unionByName(top).unionByName(rest)
     head = invalid_diagnostics(flags, layout).select(
         "period", "period_scope_records", "valid_records", "invalid_records"
     )

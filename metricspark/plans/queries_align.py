@@ -67,6 +67,10 @@ def sources(t):
     return all_sources(t).filter("exclusion is null")
 
 
+def candidate_pairs(t):
+    return align.candidates(align.source_signatures(sources(t)), align.target_signatures(targets(t)))
+
+
 def _path_sql(c):
     return f"list_filter(list_transform(split({c}, ';'), lambda x: {v.norm_sql('x')}), lambda x: x <> '')"
 
@@ -119,7 +123,7 @@ sc AS (SELECT *, CASE WHEN {_DEN} = 0 THEN 0.0 ELSE round(({_NUM}) / ({_DEN}), 4
 @query("align_candidates", f"WITH {_PAIRS} SELECT form, count(*) AS pairs FROM sc GROUP BY form")
 def align_candidates(t):
     """Candidate pairs per form; pairs are counted as products of multiplicities."""
-    pairs = align.candidates(sources(t), targets(t))
+    pairs = candidate_pairs(t)
     return pairs.groupBy("form").agg(F.sum(F.col("n_src") * F.col("n_tgt")).alias("pairs"))
 
 
@@ -130,7 +134,7 @@ _EV_LIST = ", ".join(_NAMES.values())
 SELECT form, score, conflict, {_EV_LIST}, count(*) AS pairs FROM sc GROUP BY ALL""")
 def align_scores(t):
     """How often each combination of evidence occurs, with its score."""
-    judged = align.scores(align.candidates(sources(t), targets(t)), flat_forms=_FLAT)
+    judged = align.scores(candidate_pairs(t), flat_forms=_FLAT)
     return judged.groupBy("form", "score", "conflict", *_NAMES.values()).agg(
         F.sum(F.col("n_src") * F.col("n_tgt")).alias("pairs"))
 
