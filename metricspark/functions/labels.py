@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from metricspark import fixed_values as fixed
 from metricspark.functions.text import normalize_label
 
-MATCH, PARTIAL, MISMATCH = "MATCH", "PARTIAL", "MISMATCH"
-MISSING, NOT_APPLICABLE = "MISSING", "NOT_APPLICABLE"
+# Evidence is a small number while pairs are compared and gets its name for the report.
+NOT_APPLICABLE, MISSING, MISMATCH, PARTIAL, MATCH = range(5)
+EVIDENCE_NAMES = ("NOT_APPLICABLE", "MISSING", "MISMATCH", "PARTIAL", "MATCH")
 RESOLVED = ("CONFIRMED", "LABEL_ONLY", "FORMULA_ONLY")
 
 
@@ -90,13 +91,14 @@ def interval_consistency(label: Column, formula: Column) -> Column:
 
 def path_evidence(source: Column, target: Column) -> Column:
     """How far two label paths agree; a deeper path with the same leaf is the same row."""
+    n, m = F.size(source), F.size(target)
     leaf = F.try_element_at(source, F.lit(-1)) == F.try_element_at(target, F.lit(-1))
     nested = (F.size(F.array_except(source, target)) == 0) | (F.size(F.array_except(target, source)) == 0)
+    # Cheap tests first: set operations run only where one level each cannot decide.
     return (
-        F.when((F.size(source) == 0) & (F.size(target) == 0), NOT_APPLICABLE)
-        .when((F.size(source) == 0) | (F.size(target) == 0), MISSING)
-        .when((source == target) | (leaf & nested), MATCH)
-        .when(leaf | nested | F.arrays_overlap(source, target), PARTIAL)
+        F.when((n == 0) & (m == 0), NOT_APPLICABLE).when((n == 0) | (m == 0), MISSING)
+        .when(source == target, MATCH).when((n == 1) & (m == 1), MISMATCH)
+        .when(leaf & nested, MATCH).when(leaf | F.arrays_overlap(source, target), PARTIAL)
         .otherwise(MISMATCH)
     )
 
@@ -129,13 +131,24 @@ def code_evidence(source: Column, target: Column) -> Column:
     )
 
 
+def pack(evidence: list[Column]) -> Column:
+    """All dimensions of a pair in one number, three bits each."""
+    return reduce(lambda a, b: a + b, [
+        e.cast("bigint") * F.lit(8 ** i) for i, e in enumerate(evidence)])
+
+
+def unpack(packed: Column, position: int) -> Column:
+    return F.shiftright(packed, 3 * position).bitwiseAND(F.lit(7).cast("bigint")).cast("int")
+
+
+def evidence_name(code: Column) -> Column:
+    return F.get(F.array(*[F.lit(n) for n in EVIDENCE_NAMES]), code)
+
+
 def score(evidence: dict[str, Column], weights: dict[str, float]) -> Column:
     """Weighted share of agreement over the dimensions both sides speak about."""
-    def worth(e: Column) -> Column:
-        return F.when(e == MATCH, 1.0).when(e == PARTIAL, 0.5).otherwise(0.0)
-
     total = reduce(lambda a, b: a + b, [
-        F.when(e.isin(MATCH, PARTIAL, MISMATCH), float(weights[d])).otherwise(0.0)
-        for d, e in evidence.items()])
-    got = reduce(lambda a, b: a + b, [worth(e) * float(weights[d]) for d, e in evidence.items()])
+        F.when(e >= MISMATCH, float(weights[d])).otherwise(0.0) for d, e in evidence.items()])
+    got = reduce(lambda a, b: a + b, [
+        F.greatest(e - MISMATCH, F.lit(0)) * float(weights[d] / 2) for d, e in evidence.items()])
     return F.when(total > 0, F.round(got / total, 4)).otherwise(0.0)

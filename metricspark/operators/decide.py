@@ -191,11 +191,11 @@ def write_readiness(rows: DataFrame, policy: WritePolicy) -> DataFrame:
     from metricspark.operators.align import EVIDENCE
 
     ev = {d: F.col(f"ev_{d.lower()}") for d in EVIDENCE}
-    mismatched = F.array_compact(F.array(*[F.when(e == L.MISMATCH, F.lit(d)) for d, e in ev.items()]))
+    mismatched = F.array_compact(F.array(*[F.when(e == "MISMATCH", F.lit(d)) for d, e in ev.items()]))
 
     def lacking(dims: Sequence[str]) -> Column:
         return F.array_compact(F.array(*[
-            F.when(~ev[d].isin(L.MATCH, L.NOT_APPLICABLE), F.lit(d)) for d in dims]))
+            F.when(~ev[d].isin("MATCH", "NOT_APPLICABLE"), F.lit(d)) for d in dims]))
 
     missing = lacking(policy.strong_default)
     for form, dims in policy.strong_by_form.items():

@@ -134,9 +134,9 @@ _EV_LIST = ", ".join(_NAMES.values())
 SELECT form, score, conflict, {_EV_LIST}, count(*) AS pairs FROM sc GROUP BY ALL""")
 def align_scores(t):
     """How often each combination of evidence occurs, with its score."""
-    judged = align.scores(candidate_pairs(t), flat_forms=_FLAT)
-    return judged.groupBy("form", "score", "conflict", *_NAMES.values()).agg(
+    counted = align.compared(candidate_pairs(t), _FLAT).groupBy("form", "evidence").agg(
         F.sum(F.col("n_src") * F.col("n_tgt")).alias("pairs"))
+    return align.scores(counted).drop("evidence")
 
 
 _BEST = f"""{_PAIRS},

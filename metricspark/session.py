@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -14,6 +16,29 @@ from pyspark.sql.types import StructType
 #: this size is refused instead of being pulled to the driver.
 MAX_CONFIG_ROWS = 200_000
 
+#: Worth setting when a session is built. The JVM never compiles a method above 8000
+#: bytes of bytecode, so past that size one big generated method runs many times slower
+#: than operators generated one by one. Recording the Python call site of every
+#: expression costs more than planning does.
+RECOMMENDED_CONF = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+@contextmanager
+def compilable_methods(spark: SparkSession) -> Iterator[None]:
+    """Keep generated methods within what the JVM compiles, for jobs run inside."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, RECOMMENDED_CONF[name])
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; make one up only on a local master."""
@@ -33,7 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages survive the loss of any executor."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with compilable_methods(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def read_config(df: DataFrame, max_rows: int = MAX_CONFIG_ROWS) -> list[Row]:
