@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from metricspark import fixed_values as fixed
 from metricspark.functions import labels as L
 from metricspark.functions.text import ANY_CASE, normalize_label
+from metricspark.session import evaluate_once
 
 DIMENSIONS = ("form", "row_path", "aggregation_scope", "sex", "age", "procedure")
 
@@ -200,6 +201,9 @@ def write_readiness(rows: DataFrame, policy: WritePolicy) -> DataFrame:
     missing = lacking(policy.strong_default)
     for form, dims in policy.strong_by_form.items():
         missing = F.when(F.col("form") == form, lacking(dims)).otherwise(missing)
+    # Both lists are read by the gates and by the report.
+    rows = evaluate_once(rows.withColumns({"__mismatched": mismatched, "__missing": missing}))
+    mismatched, missing = F.col("__mismatched"), F.col("__missing")
     gate = lambda status, reason: F.struct(F.lit(status).alias("s"), F.lit(reason).alias("r"))
     outcome, kind = F.col("outcome"), F.col("target_kind")
     text_there = F.coalesce(F.col("target_txt"), F.lit("")) != ""
@@ -228,7 +232,7 @@ def write_readiness(rows: DataFrame, policy: WritePolicy) -> DataFrame:
         F.array().cast("array<string>"))
     return rows.withColumn("__gate", decision).withColumns({
         "write_status": F.col("__gate.s"), "write_reason": F.col("__gate.r"),
-    }).withColumn("missing_evidence", lack).drop("__gate")
+    }).withColumn("missing_evidence", lack).drop("__gate", "__mismatched", "__missing")
 
 
 def apply_collisions(rows: DataFrame) -> DataFrame:

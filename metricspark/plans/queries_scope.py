@@ -9,6 +9,7 @@ from metricspark.functions.dates import period_label
 from metricspark.operators import classify, scope, summary
 from metricspark.plans import views as v
 from metricspark.plans.registry import query
+from metricspark.session import evaluate_once
 from metricspark.sources import scan
 
 LAYOUT = scope.RecordLayout(fields=v.DETAIL_FIELDS)
@@ -25,7 +26,7 @@ _IN = f"DIA_CITA >= DATE '{START}' AND DIA_CITA < DATE '{END}'"
 
 def raw_export(t):
     """The export as delivered: untidy headers and columns nobody asked for."""
-    return t.sql(v.RAW_DETAIL).withColumnsRenamed(_HEADERS)
+    return evaluate_once(t.sql(v.RAW_DETAIL)).withColumnsRenamed(_HEADERS)
 
 
 def typed(t):
