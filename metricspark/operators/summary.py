@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from metricspark import fixed_values as fixed
 from metricspark.functions.dates import age_years
 from metricspark.functions.text import ANY_SCRIPT, trim_ws
-from metricspark.session import cut_lineage
+from metricspark.session import cut_lineage, evaluate_once
 
 
 class MissingDimension(ValueError):
@@ -264,13 +264,15 @@ def cross_foot(df: DataFrame, checks: Mapping[str, tuple[Column, Column]]) -> Da
 def pii_scan(df: DataFrame, texts: Mapping[str, Column],
              patterns: Sequence[tuple[str, str]] = fixed.PERSONAL_DATA) -> DataFrame:
     """Hits per field and pattern over whole texts; no value leaves the scan."""
-    counted = df.agg(*[
-        F.sum(F.coalesce(F.regexp_count(text, F.lit(ANY_SCRIPT + regex)), F.lit(0))).alias(f"{i}_{j}_hits")
+    # Each text is searched once per pattern: a row with a hit is a row with a count.
+    found = evaluate_once(df.select(*[
+        F.coalesce(F.regexp_count(text, F.lit(ANY_SCRIPT + regex)), F.lit(0)).alias(f"{i}_{j}")
         for i, text in enumerate(texts.values()) for j, (_, regex) in enumerate(patterns)
-    ], *[
-        F.count_if(F.coalesce(text.rlike(ANY_SCRIPT + regex), F.lit(False))).alias(f"{i}_{j}_rows")
-        for i, text in enumerate(texts.values()) for j, (_, regex) in enumerate(patterns)
-    ])
+    ]))
+    counted = found.agg(
+        *[F.coalesce(F.sum(f"{c}"), F.lit(0)).alias(f"{c}_hits") for c in found.columns],
+        *[F.count_if(F.col(c) > 0).alias(f"{c}_rows") for c in found.columns],
+    )
     rows = F.array(*[
         F.struct(F.lit(field).alias("field"), F.lit(name).alias("pattern"),
                  F.col(f"{i}_{j}_hits").cast("bigint").alias("hits"),

@@ -300,7 +300,7 @@ r AS (SELECT *, sum(n) OVER (PARTITION BY field) AS non_blank,
   count(*) OVER (PARTITION BY field) AS distinct_values,
   row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS rank FROM c)
 SELECT field, CAST(non_blank AS BIGINT) AS non_blank, distinct_values,
-  CASE WHEN distinct_values <= 40 THEN rank END AS rank,
+  CAST(CASE WHEN distinct_values <= 40 THEN rank END AS INT) AS rank,
   CASE WHEN distinct_values <= 40 THEN value END AS value,
   CASE WHEN distinct_values <= 40 THEN n END AS n
 FROM r WHERE rank <= 15 AND (distinct_values <= 40 OR rank = 1)""")
