@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
+from . import warc
+from .fingerprint import edited_fingerprints
+from .mixing import mix_sources
 from .ngram_join import ngram_components
+from .quality import quality
+from .secrets import scan_secrets, secret_digest
+from .sentencepiece import decode_pieces, encode_pieces
+from .token_counts import token_counts
+from .topk import top_k
+from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,3 +42,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @register("op1_ngram_jaccard_join")
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
+
+
+@register("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
+@register("op3_source_mix")
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@register("op4_warc_derivatives", warc.oracle())
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
+@register("op5_scaled_fingerprint")
+def op5_scaled_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@register("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op7_token_lengths")
+def op7_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+@register("op8_top_k")
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@register("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids, and the digest of what they decode to."""
+    decoded = decode_pieces(encode_pieces(table(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", "n_pieces", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
