@@ -17,8 +17,8 @@ A document is its set of distinct five-word shingles. Two documents link when
    the sizes prune pairs, first with all shingles a class shares with anyone in place of c.
 4. Each class is compared with the most central class it meets (the one with the largest part
    of its prefix shared). Links found so join whole groups of near copies in linear work. Then
-   the pairs that are not yet in one group are enumerated, counted against their need and
-   compared exactly. No candidate is dropped, so components are exact.
+   the pairs that are not yet in one group are counted against their need and compared exactly.
+   No candidate is dropped, so components are exact.
 
 Sets are compared by 64-bit shingle hashes. Results do not depend on the sketch.
 """
@@ -47,6 +47,8 @@ CHUNKS = 16
 SLOTS = 32
 #: Prefixes grow by up to this part of the set per doubling of the expected cost, five times.
 GROWTH = 0.02
+#: Sizes whose ratio is below this are in the same or neighbouring bands.
+BAND = 1.05
 
 _SIGNATURES = "doc_id long, n long, class long, chunk int, slot int, counts binary"
 _POSTINGS = "token long, class long, need int"
@@ -200,6 +202,57 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
     )
 
 
+def _near_pairs(open_tokens: DataFrame, apart: F.Column, fits, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of classes in the same or neighbouring bands of size.
+
+    Classes of like size must agree on so many prefix shingles that the first of those they have
+    in common stands early in either list: only such beginnings are joined, each row with its
+    whole list. The join itself counts what a pair shares and lets the pair through once, at its
+    first common shingle, so large groups of like documents leave no more rows than candidates.
+    """
+    share, wide = percent / (100 + percent), BAND**2
+
+    def least(ny: F.Column) -> F.Column:
+        """No fewer than this many must be shared with a class of size ny."""
+        return share * (F.col("x.n") + ny) - F.greatest(F.col("x.rest").cast("double"), ny * percent / 100)
+
+    must = F.greatest(F.lit(1), F.ceil(F.least(least(F.col("x.n") / wide), least(F.col("x.n") * wide)) - 1e-6)).cast("int")
+    lists = open_tokens.groupBy("root", "x").agg(F.array_sort(F.collect_list(F.struct("token", "minor"))).alias("list"))
+    early = lists.withColumn("many", F.size("list") - must + 1).filter("many > 0")
+    rows = early.select(
+        "root", "x", F.col("list.token").alias("tokens"), F.posexplode(F.slice("list", 1, F.col("many"))).alias("place", "at")
+    ).select("root", "x", "tokens", "at.token", "at.minor", F.col("x.band").alias("band"), (F.size("tokens") - F.col("place")).alias("left"))
+    rows = stored(rows)
+    mirrored = rows.select("token", "band", "minor", "left", F.col("root").alias("root_y"), F.col("x").alias("y"), F.col("tokens").alias("tokens_y"))
+
+    def agree(common: F.Column) -> F.Column:
+        both = F.size(common)
+        return (both >= F.least("x.need", "y.need")) & fits("x", "y", both) & (F.array_min(common) == F.col("l.token"))
+
+    def met(left: DataFrame, step: int, once: F.Column) -> DataFrame:
+        # at the first common shingle, all that is shared still lies ahead in both lists
+        ahead = F.least("l.left", "r.left")
+        return left.alias("l").join(
+            mirrored.alias("r"),
+            (F.col("l.token") == F.col("r.token")) & (F.col("l.band") + step == F.col("r.band")) & once & apart
+            & (ahead >= F.least("x.need", "y.need")) & fits("x", "y", ahead)
+            & F.exists(F.array(F.array_intersect("tokens", "tokens_y")), agree)
+        ).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+
+    # of two classes in different groups one at least is outside the token's largest group
+    same = met(rows.filter("minor"), 0, ~F.col("r.minor") | (F.col("x.class") < F.col("y.class")))
+    return same.union(met(rows, 1, F.lit(True)))
+
+
+def _far_pairs(open_tokens: DataFrame, apart: F.Column, percent: int) -> DataFrame:
+    """Meetings of classes whose sizes are two bands apart or more, the smaller one first."""
+    steps = range(2, int(np.log(100 / percent) / np.log(BAND)) + 2)  # sizes that can still link
+    larger = open_tokens.select(
+        "token", F.col("root").alias("root_y"), F.col("x").alias("y"), F.explode(F.array(*[F.col("x.band") - i for i in steps])).alias("band"))
+    smaller = open_tokens.withColumn("band", F.col("x.band"))
+    return smaller.join(larger, ["token", "band"]).filter(apart)
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      size: int = K.SHINGLE, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row.
@@ -247,6 +300,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return counted.filter((F.col("both") >= F.least(f"{x}.need", f"{y}.need")) & fits(x, y, F.col("both")))
 
     sizes = ("class", "n", "need", "hits", "rest")
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int").alias("band")
     hub = F.max(F.struct("centre", *sizes)).over(per_token)
     starred = meets.select(F.struct(*sizes).alias("x"), hub.alias("h")).filter(F.col("x.class") != F.col("h.class"))
     stars = (
@@ -260,14 +314,16 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .union(stars.join(stars.select(F.col("a").alias("seen")), F.col("b") == F.col("seen"), "left_anti").select("b", "b").distinct())
     )
     grouped = meets.join(roots, meets["class"] == roots.node, "left").select("token", *sizes, F.coalesce("root", "class").alias("root"))
+    of_root = W.partitionBy("token", "root")
     open_tokens = stored(
         grouped.withColumn("low", F.min("root").over(per_token)).withColumn("high", F.max("root").over(per_token))
-        .filter("low <> high").select("token", "root", F.struct(*sizes).alias("x"))
+        .filter("low <> high").withColumn("heads", F.count(F.lit(1)).over(of_root))
+        .withColumn("largest", F.max(F.struct("heads", "root")).over(per_token))
+        .select("token", "root", (F.col("root") != F.col("largest.root")).alias("minor"), F.struct(*sizes, band).alias("x"))
     )
-    others = open_tokens.select("token", F.col("root").alias("root_y"), F.col("x").alias("y"))
-    pairs = open_tokens.join(others, "token").filter(
-        (F.col("x.class") < F.col("y.class")) & (F.col("root") != F.col("root_y")) & hopeful("x", "y"))
-    rest = agreeing(pairs, "x", "y").select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+    apart = (F.col("root") != F.col("root_y")) & hopeful("x", "y")
+    far = agreeing(_far_pairs(open_tokens, apart, percent), "x", "y").select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+    rest = far.union(_near_pairs(open_tokens, apart, fits, percent))
     links = stored(_verified(rest, classes, known, size, percent).union(stars))
     linked = connected_components(links)
     named = linked.join(classes, linked.node == classes["class"])
