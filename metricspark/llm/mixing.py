@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 from . import kernels as K
@@ -33,7 +34,7 @@ def word_counts(docs: DataFrame, text_col: str, name: str, keep_text: bool = Tru
     """The rows with the number of words of the text added as ``name``; null has none."""
     at = docs.columns.index(text_col)
     fields = [f for i, f in enumerate(docs.schema.fields) if keep_text or i != at]
-    schema = docs.sparkSession.createDataFrame([], docs.schema).select(*[column(docs, f.name) for f in fields]).schema.add(name, "long")
+    schema = StructType(fields).add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

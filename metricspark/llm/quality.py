@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import kernels as K
 from .tables import column
@@ -152,7 +153,7 @@ def score_quality(docs: DataFrame, machine: Machine, text_col: str = "text", nam
     Repeated rows get equal scores; an empty table gives an empty result."""
     at = docs.columns.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(machine)
-    schema = docs.sparkSession.createDataFrame([], docs.schema).schema.add(name, "double")
+    schema = StructType(list(docs.schema.fields)).add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

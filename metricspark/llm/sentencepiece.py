@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import kernels as K
 from .tables import column
@@ -292,7 +293,7 @@ def decode_pieces(encoded: DataFrame, ids_col: str = "ids", pieces: Pieces | Non
     """The rows with the decoded text added; null ids give null. Ids outside the table are skipped."""
     at = encoded.columns.index(ids_col)
     sent = encoded.sparkSession.sparkContext.broadcast(pieces or Pieces.load(path))
-    schema = encoded.sparkSession.createDataFrame([], encoded.schema).schema.add(name, "string")
+    schema = StructType(list(encoded.schema.fields)).add(name, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(sent.value)

@@ -32,8 +32,9 @@ LEXICON_TERMS = 512
 FUZZY_LENGTH = 5
 #: Beginnings of words that may become terms.
 STEMS = (4, 5, 6)
-#: A term is kept if it is this much more frequent (log odds) in labelled documents, with this many of them.
-LEAST_ODDS, LEAST_DOCS = 3.0, 5
+#: A term is kept if it is this much more frequent (log odds) in labelled documents, and occurs in
+#: so many of them: a number, or a part if that is more.
+LEAST_ODDS, LEAST_DOCS, LEAST_PART = 3.0, 4, 0.005
 FUZZY_WEIGHT = 0.7
 WINDOW = 48  # characters on either side of a hit
 
@@ -225,7 +226,7 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON_TERMS) -> tuple[Term, .
     rows = (
         sample.select("text", "label").mapInArrow(_count_terms, "term string, stem boolean, toxic long, clean long")
         .groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .filter((F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_ODDS))
+        .filter((F.col("toxic") >= max(LEAST_DOCS, LEAST_PART * toxic)) & (odds >= LEAST_ODDS))
         .orderBy(F.desc("toxic"), "term", "stem").limit(8 * most).collect()
     )
     words = {r.term: r.toxic for r in rows if not r.stem}

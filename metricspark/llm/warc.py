@@ -148,7 +148,7 @@ two AS (
   'title: ' || {fold(f"regexp_extract(payload, {quoted(TITLE)}, 1)")} || {crlf} || 'payload-digest: ' || payload_digest || {crlf}
   || 'http-header: {STATUS}' || {crlf} || 'http-header: Content-Type: {TYPE}' || {crlf}
   || 'http-header: Content-Length: ' || strlen(payload) || {crlf}
-  || array_to_string(list_transform(regexp_extract_all(payload, {quoted(LINK)}, 1), x -> 'outlink: ' || {fold('x')} || {crlf}), '') AS block FROM res
+  || array_to_string(list_transform(regexp_extract_all(payload, {quoted(LINK)}, 1), lambda x: 'outlink: ' || {fold('x')} || {crlf}), '') AS block FROM res
  UNION ALL
  SELECT *, 'conversion', 'text/plain; charset=utf-8', {text} FROM res),
 named AS (SELECT *, {urn("record_type || '|' || refers_to")} AS record_id, 'sha256:' || sha256(block) AS block_digest FROM two)
