@@ -47,6 +47,8 @@ CHUNKS = 16
 SLOTS = 32
 #: Prefixes grow by up to this part of the set per doubling of the expected cost, five times.
 GROWTH = 0.02
+#: A prefix shingle of more open classes than this is common.
+COMMON = 16
 #: Sizes whose ratio is below this are in the same or neighbouring bands.
 BAND = 1.05
 
@@ -203,7 +205,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
 
 
 def _near_pairs(open_tokens: DataFrame, apart: F.Column, fits, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of classes in the same or neighbouring bands of size.
+    """Candidate pairs (a, b) in the same or neighbouring bands of size that agree only on common shingles.
 
     Classes of like size must agree on so many prefix shingles that the first of those they have
     in common stands early in either list: only such beginnings are joined, each row with its
@@ -245,7 +247,7 @@ def _near_pairs(open_tokens: DataFrame, apart: F.Column, fits, percent: int) ->
 
 
 def _far_pairs(open_tokens: DataFrame, apart: F.Column, percent: int) -> DataFrame:
-    """Meetings of classes whose sizes are two bands apart or more, the smaller one first."""
+    """Meetings at common shingles of classes two bands of size apart or more, the smaller one first."""
     steps = range(2, int(np.log(100 / percent) / np.log(BAND)) + 2)  # sizes that can still link
     larger = open_tokens.select(
         "token", F.col("root").alias("root_y"), F.col("x").alias("y"), F.explode(F.array(*[F.col("x.band") - i for i in steps])).alias("band"))
@@ -319,11 +321,27 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         grouped.withColumn("low", F.min("root").over(per_token)).withColumn("high", F.max("root").over(per_token))
         .filter("low <> high").withColumn("heads", F.count(F.lit(1)).over(of_root))
         .withColumn("largest", F.max(F.struct("heads", "root")).over(per_token))
-        .select("token", "root", (F.col("root") != F.col("largest.root")).alias("minor"), F.struct(*sizes, band).alias("x"))
+        .select("token", "root", (F.col("root") != F.col("largest.root")).alias("minor"),
+                (F.count(F.lit(1)).over(per_token) > COMMON).alias("common"), F.struct(*sizes, band).alias("x"))
     )
     apart = (F.col("root") != F.col("root_y")) & hopeful("x", "y")
-    far = agreeing(_far_pairs(open_tokens, apart, percent), "x", "y").select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-    rest = far.union(_near_pairs(open_tokens, apart, fits, percent))
+    common = open_tokens.filter("common")
+    # at rare shingles pairs are few: they are listed, and common shingles they may share count in full
+    counts = open_tokens.groupBy("x").agg(F.count_if("common").alias("commons"))
+    rare = open_tokens.filter("NOT common").join(counts, "x").select("token", "root", "x", "commons")
+    rare = stored(rare)
+    listed = rare.join(rare.select("token", F.col("root").alias("root_y"), F.col("x").alias("y"), F.col("commons").alias("commons_y")), "token")
+    both = F.col("both") + F.least("commons", "commons_y")
+    met = (
+        listed.filter((F.col("x.class") < F.col("y.class")) & apart)
+        .groupBy("x", "y", "commons", "commons_y").agg(F.count(F.lit(1)).alias("both"))
+        .filter((both >= F.least("x.need", "y.need")) & fits("x", "y", both))
+    )
+    far = agreeing(_far_pairs(common, apart, percent), "x", "y")
+    found = met.select("x.class", "y.class").union(far.select("x.class", "y.class")).toDF("a", "b")
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    close = _near_pairs(common, apart, fits, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = found.union(close).distinct()
     links = stored(_verified(rest, classes, known, size, percent).union(stars))
     linked = connected_components(links)
     named = linked.join(classes, linked.node == classes["class"])
