@@ -102,17 +102,17 @@ def condition(c: Column, spec) -> Column:
 
     if not isinstance(spec, Mapping):
         return text == norm(spec)
-    for op, value in spec.items():
-        if op == "eq":
-            return text == norm(value)
-        if op == "in":
-            return text.isin(*[norm(v) for v in value])
-        if op == "contains":
-            return text.contains(norm(value))
-        if op == "starts_with":
-            return text.startswith(norm(value))
-        if op == "regex":
-            return text.rlike(value)
+    # of several operators in one condition the first of this order decides
+    tests = {
+        "eq": lambda value: text == norm(value),
+        "in": lambda value: text.isin(*[norm(v) for v in value]),
+        "contains": lambda value: text.contains(norm(value)),
+        "starts_with": lambda value: text.startswith(norm(value)),
+        "regex": text.rlike,
+    }
+    for op, test in tests.items():
+        if op in spec:
+            return test(spec[op])
     raise UnknownOperator(str(spec))
 
 

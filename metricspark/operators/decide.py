@@ -64,6 +64,12 @@ def formula_bounds(predicates: DataFrame, keys: Sequence[str]) -> DataFrame:
     return predicates.groupBy(*keys).agg(F.max(low).alias("lo"), F.min(high).alias("hi"))
 
 
+def with_formula_age(metrics: DataFrame, predicates: DataFrame) -> DataFrame:
+    """Adds ``formula_age``, the bounds that a metric's own age predicates set, for ``map_metrics``."""
+    bounds = formula_bounds(predicates, ["metric_id"]).filter("lo IS NOT NULL OR hi IS NOT NULL")
+    return metrics.join(bounds.select("metric_id", F.struct("lo", "hi").alias("formula_age")), "metric_id", "left")
+
+
 def aggregation_scope(columns: Column, row: Column, own_header: Column, detailed: Column) -> Column:
     """``STRUCT<scope, status>``: a TOTAL column, a header row, or a detail cell."""
     header = own_header | ((F.size(row) == 1) & F.coalesce(F.get(row, F.lit(0)).rlike(ANY_CASE + fixed.GROUP_HEADER), F.lit(False)))
@@ -119,6 +125,8 @@ class ReadinessPolicy:
     default: tuple[str, ...] = ("form", "row_path", "aggregation_scope")
     by_form: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     overrides: tuple[str, ...] = ()
+    #: Column that overrides are matched by: an id, or a semantic signature that outlives ids.
+    override_on: str = "metric_id"
 
     def required(self, dimension: str, form: Column, rollup: Column) -> Column:
         special = [f for f in self.by_form]
@@ -163,7 +171,7 @@ def readiness(mapped: DataFrame, policy: ReadinessPolicy) -> DataFrame:
     has = lambda s: F.exists("issues", lambda x: x["severity"] == s)
     reasons = F.array_sort(F.array_distinct(F.transform(
         F.filter("issues", lambda x: x["severity"] != "INFO"), lambda x: x["issue_type"])))
-    override = F.col("metric_id").isin(*policy.overrides) if policy.overrides else F.lit(False)
+    override = F.coalesce(F.col(policy.override_on).isin(*policy.overrides), F.lit(False)) if policy.overrides else F.lit(False)
     return out.withColumns({
         "readiness_status": F.when(has("BLOCKING"), "BLOCKED_CONFLICT").when(rollup, "NOT_APPLICABLE")
         .when(has("REVIEW"), "REVIEW_REQUIRED").otherwise("AUTO_READY"),
@@ -187,7 +195,9 @@ def write_readiness(rows: DataFrame, policy: WritePolicy) -> DataFrame:
 
     Gates run in order: eligibility, match, cell role, lock, expected source, value type,
     evidence. Needs ``readiness_status, outcome, target_kind, target_role, locked,
-    expectation, target_num, target_txt, form, ev_*``. Collisions are a separate step.
+    expectation, target_num, target_txt, form, ev_*``. Where ``expected_value_type`` is TEXT,
+    text fits and a number does not; without that column numbers are expected. Collisions are
+    a separate step.
     """
     from metricspark.operators.align import EVIDENCE
 
@@ -207,6 +217,9 @@ def write_readiness(rows: DataFrame, policy: WritePolicy) -> DataFrame:
     gate = lambda status, reason: F.struct(F.lit(status).alias("s"), F.lit(reason).alias("r"))
     outcome, kind = F.col("outcome"), F.col("target_kind")
     text_there = F.coalesce(F.col("target_txt"), F.lit("")) != ""
+    unfit = text_there
+    if "expected_value_type" in rows.columns:
+        unfit = F.when(F.upper("expected_value_type").eqNullSafe("TEXT"), F.col("target_num").isNotNull()).otherwise(text_there)
     decision = (
         F.when(~F.coalesce(F.col("readiness_status") == "AUTO_READY", F.lit(False)),
                gate("NOT_WRITABLE", "SOURCE_REVIEW_REQUIRED"))
@@ -220,7 +233,7 @@ def write_readiness(rows: DataFrame, policy: WritePolicy) -> DataFrame:
               gate("WRITE_BLOCKED", f"TARGET_SOURCE_NOT_{policy.native}"))
         .when(F.col("expectation") != policy.native,
               gate("WRITE_REVIEW_REQUIRED", "TARGET_SOURCE_EXPECTATION_UNKNOWN"))
-        .when(text_there, gate("WRITE_REVIEW_REQUIRED", "EXPECTED_VALUE_TYPE_INCOMPATIBLE"))
+        .when(unfit, gate("WRITE_REVIEW_REQUIRED", "EXPECTED_VALUE_TYPE_INCOMPATIBLE"))
         .when(outcome == "EXACT_SEMANTIC_MATCH", gate("WRITE_READY", "EXACT_ALL_DIMENSIONS_MATCH"))
         .when(outcome != "STRONG_MATCH", gate("WRITE_REVIEW_REQUIRED", "UNHANDLED_MATCH_STATUS"))
         .when(F.size(mismatched) > 0, gate("WRITE_REVIEW_REQUIRED", "STRONG_DIMENSION_MISMATCH"))

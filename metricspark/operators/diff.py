@@ -14,7 +14,6 @@ from metricspark import fixed_values as fixed
 from metricspark.functions.text import expression_key
 
 CELL_KEY = ["sheet", "row_no", "col_no"]
-_LEVELS = 31
 
 
 def wide_to_cells(
@@ -114,8 +113,7 @@ def structure_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 def order_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Common sheets whose rank among the common sheets moved, from ``(sheet, position)``.
 
-    A rank is the number of common sheets at or before a position, which needs no global
-    sort; sheets are few, so both lists fit one small window.
+    Two windows over the common sheets, with one small row per sheet.
     """
     from pyspark.sql import Window
 
@@ -144,29 +142,35 @@ def _bin(value: Column, level: Column) -> Column:
     return F.call_function("shiftright", value.cast("bigint"), level)
 
 
+def _level(start: str, end: str) -> Column:
+    """Bit length of a range's extent: its size class."""
+    return F.length(F.bin(F.col(end).cast("bigint") - F.col(start).cast("bigint")))
+
+
 def range_edges(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     """Which cells lie in the ranges another cell reads, one edge per pair of cells.
 
     ``ranges``: ``target_sheet, target_row, target_col, ref_no, ref_sheet, row_start,
-    row_end, col_start, col_end``. A range is filed under at most two row bins of the
-    size class it fits in and a cell under one bin per size class, so the join is an
-    equality however long a range is, and no range is spelled out cell by cell.
+    row_end, col_start, col_end``. A range is filed under at most two bins of rows and two
+    of columns, in the size class it fits in, and a cell under one bin per size class that
+    any range has. The join is an equality however long a range is, and no range is
+    spelled out cell by cell.
     """
-    length = F.col("row_end") - F.col("row_start")
-    filed = ranges.withColumn("level", F.length(F.bin(length.cast("bigint")))).withColumn(
-        "bin", F.explode(F.array_distinct(F.array(
-            _bin(F.col("row_start"), F.col("level")), _bin(F.col("row_end"), F.col("level")))))
-    )
-    spots = cells.select(
-        *CELL_KEY, F.explode(F.sequence(F.lit(1), F.lit(_LEVELS))).alias("level")
-    ).join(
-        # size classes nobody uses are dropped before the shuffle
-        filed.select("level").distinct(), "level", "left_semi"
-    ).withColumn("bin", _bin(F.col("row_no"), F.col("level")))
+    def bins(start: str, end: str, level: str) -> Column:
+        return F.explode(F.array_distinct(F.array(
+            _bin(F.col(start), F.col(level)), _bin(F.col(end), F.col(level)))))
+
+    filed = ranges.withColumns({
+        "rows": _level("row_start", "row_end"), "cols": _level("col_start", "col_end"),
+    }).withColumn("row_bin", bins("row_start", "row_end", "rows")).withColumn(
+        "col_bin", bins("col_start", "col_end", "cols"))
+    # the classes in use are pairs of bit lengths, so a few dozen at most
+    classes = filed.agg(F.collect_set(F.struct("rows", "cols"))).scalar()
+    spots = cells.select(*CELL_KEY, classes.alias("classes")).select(*CELL_KEY, F.inline("classes")).withColumns({"row_bin": _bin(F.col("row_no"), F.col("rows")), "col_bin": _bin(F.col("col_no"), F.col("cols"))})
     single = (F.col("row_start") == F.col("row_end")) & (F.col("col_start") == F.col("col_end"))
     hits = spots.join(filed, [
-        spots["sheet"] == filed["ref_sheet"], spots["level"] == filed["level"],
-        spots["bin"] == filed["bin"],
+        spots["sheet"] == filed["ref_sheet"],
+        *[spots[c] == filed[c] for c in ("rows", "cols", "row_bin", "col_bin")],
         spots["row_no"].between(filed["row_start"], filed["row_end"]),
         spots["col_no"].between(filed["col_start"], filed["col_end"]),
     ]).filter(~(
@@ -178,24 +182,31 @@ def range_edges(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     return hits.groupBy(*pair).agg(F.min_by(kind, F.col("ref_no")).alias("dependency_type"))
 
 
-def merge_anchor(cells: DataFrame, merges: DataFrame) -> DataFrame:
+def merge_anchor(cells: DataFrame, merges: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Every cell of a merged range reads the value of its top left corner.
 
-    ``merges``: ``sheet, r1, c1, r2, c2``, which do not overlap.
+    ``merges``: ``sheet, r1, c1, r2, c2``, which do not overlap. Covered cells are blank in a
+    grid of filled cells, so ``targets`` (``sheet, row_no, col_no``; default: the filled cells)
+    says which cells to read; those outside merges that are not filled read as blank.
     """
+    if targets is not None:
+        values = cells.select(*CELL_KEY, "value_num", "value_txt")
+        wanted = targets.select(*CELL_KEY).distinct().join(values, CELL_KEY, "left")
+    else:
+        wanted = cells
     as_ranges = merges.select(
         F.col("sheet").alias("target_sheet"), F.col("r1").alias("target_row"),
         F.col("c1").alias("target_col"), F.lit(0).alias("ref_no"), F.col("sheet").alias("ref_sheet"),
         F.col("r1").alias("row_start"), F.col("r2").alias("row_end"),
         F.col("c1").alias("col_start"), F.col("c2").alias("col_end"),
     )
-    inside = range_edges(cells, as_ranges).select(
+    inside = range_edges(wanted, as_ranges).select(
         *CELL_KEY, F.col("target_row").alias("anchor_row"), F.col("target_col").alias("anchor_col"))
     anchors = cells.select(
         "sheet", F.col("row_no").alias("anchor_row"), F.col("col_no").alias("anchor_col"),
         F.col("value_num").alias("anchor_num"), F.col("value_txt").alias("anchor_txt"))
     return (
-        cells.join(inside, CELL_KEY, "left").join(anchors, ["sheet", "anchor_row", "anchor_col"], "left")
+        wanted.join(inside, CELL_KEY, "left").join(anchors, ["sheet", "anchor_row", "anchor_col"], "left")
         .select(
             *CELL_KEY,
             F.coalesce("anchor_row", "row_no").alias("anchor_row"),
@@ -206,3 +217,11 @@ def merge_anchor(cells: DataFrame, merges: DataFrame) -> DataFrame:
             .alias("value_txt"),
         )
     )
+
+
+def ordered_changes(before: DataFrame, after: DataFrame, k: int | None = None) -> DataFrame:
+    """Numeric changes of cells both snapshots have, largest first; all of them unless ``k`` is given."""
+    both = _sides(before, after, CELL_KEY).filter(F.col("b").isNotNull() & F.col("a").isNotNull())
+    delta = F.col("a.value_num") - F.col("b.value_num")
+    ordered = both.select(*CELL_KEY, delta.alias("delta")).orderBy(F.desc_nulls_last(F.abs("delta")), *CELL_KEY)
+    return ordered if k is None else ordered.limit(k)

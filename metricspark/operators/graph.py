@@ -111,44 +111,44 @@ def lineage_columns(edges: DataFrame, local: DataFrame, item: str = "column") ->
 def derived_metrics(
     base: DataFrame, edges: DataFrame, literals: DataFrame | None = None
 ) -> DataFrame:
-    """``(metric_id, value, available)`` of base and derived metrics.
+    """``(metric_id, value, available)`` of every metric that has counts, literals or dependencies.
 
-    A derived value is the signed sum of its dependencies and literals. A blank
-    dependency counts as 0; a missing or unavailable one makes the metric unavailable,
-    and so does a cycle.
+    A value is one signed sum of a metric's own counts, its literals and its dependencies,
+    whichever it has. A blank dependency counts as 0; a missing or unavailable one makes the
+    metric unavailable, and so does a cycle. Values of whole counts and literals stay whole.
     """
     edges = cut_lineage(edges.select("metric_id", "dep_metric_id", "sign"))
     depths = cut_lineage(dag_depth(edges))
     top = depths.agg(F.max("depth")).first()[0] or 0
-    constants = None
-    if literals is not None:
-        constants = literals.groupBy("metric_id").agg(F.sum("value").alias("constant"))
-    values = cut_lineage(base.select(
-        "metric_id", F.col("value").cast("double").alias("value"), F.lit(True).alias("available")
-    ))
+    parts = [base] if literals is None else [base, literals]
+    whole = all(dict(p.dtypes)["value"] in ("tinyint", "smallint", "int", "bigint") for p in parts)
+    number = "bigint" if whole else "double"
+    own = reduce(DataFrame.unionByName, [
+        p.select("metric_id", F.col("value").cast(number).alias("value")) for p in parts
+    ]).groupBy("metric_id").agg(F.sum("value").alias("value"))
+    own = cut_lineage(own)
     computed = edges.select("metric_id").distinct()
+    values = own.join(computed, "metric_id", "left_anti").select("metric_id", "value", F.lit(True).alias("available"))
     staged = edges.join(depths.select("metric_id", "depth"), "metric_id")
+    zero = F.lit(0).cast(number)
     for level in range(1, top + 1):
         known = values.select(_as_dependency(), "value", "available")
         totals = (
             staged.filter(F.col("depth") == level)
             .join(known, "dep_metric_id", "left")
             .groupBy("metric_id").agg(
-                F.sum(F.col("sign") * F.coalesce("value", F.lit(0.0))).alias("value"),
+                F.sum(F.col("sign") * F.coalesce("value", zero)).alias("referred"),
                 F.bool_and(F.coalesce("available", F.lit(False))).alias("available"),
             )
+            .join(own, "metric_id", "left")
         )
-        if constants is not None:
-            totals = totals.join(constants, "metric_id", "left").select(
-                "metric_id", (F.col("value") + F.coalesce("constant", F.lit(0.0))).alias("value"),
-                "available",
-            )
+        total = (F.col("referred") + F.coalesce("value", zero)).cast(number)
         values = values.unionByName(cut_lineage(totals.select(
-            "metric_id", F.when(F.col("available"), F.col("value")).alias("value"), "available"
+            "metric_id", F.when(F.col("available"), total).alias("value"), "available"
         )))
     cyclic = (
         depths.filter("cyclic").join(computed, "metric_id", "left_semi")
-        .select("metric_id", F.lit(None).cast("double").alias("value"),
+        .select("metric_id", F.lit(None).cast(number).alias("value"),
                 F.lit(False).alias("available"))
     )
     return values.unionByName(cyclic)

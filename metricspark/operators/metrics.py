@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from metricspark.functions import criteria as C
 from metricspark.session import config_table
 
-#: Up to this many terms, one conditional sum per term is cheaper than compressing.
-WIDE_PLAN_TERMS = 12
 _MASK_BITS = 62
 
 
@@ -48,36 +46,9 @@ def metric_counts(
     ``flags`` adds one more count column per named sub-population, in the same pass.
     """
     weights = {"value": F.lit(True), **(flags or {})}
-    if len(terms) <= WIDE_PLAN_TERMS:
-        return _wide_counts(facts, terms, period, weights)
     return _compressed_counts(facts, terms, period, weights)
 
 
-def _wide_counts(facts, terms, period, weights) -> DataFrame:
-    dtypes = column_types(facts)
-    metrics = list(dict.fromkeys(t.metric_id for t in terms))
-    aggregates = []
-    for i, metric in enumerate(metrics):
-        own = [(t.sign, term_condition(t, dtypes)) for t in terms if t.metric_id == metric]
-        for name, flag in weights.items():
-            total = reduce(
-                lambda a, b: a + b,
-                [F.count_if(cond & flag) * F.lit(sign).cast("bigint") for sign, cond in own],
-            )
-            aggregates.append(total.alias(f"{name}_{i}"))
-    wide = facts.groupBy(period).agg(*aggregates)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(metric).alias("metric_id"),
-                *[F.col(f"{name}_{i}").alias(name) for name in weights],
-            )
-            for i, metric in enumerate(metrics)
-        ]
-    )
-    return wide.select(period, F.inline(rows))
-
-
 class _ColumnClasses:
     """All that a catalog can see of one column, as a few small grouping keys.
 
@@ -219,17 +190,10 @@ def _compressed_counts(facts, terms, period, weights) -> DataFrame:
         .groupBy(period, "metric_id")
         .agg(*[F.sum(F.col("sign") * F.col(n)).alias(n) for n in weights])
     )
-    # Fill in zeros from the catalog without a second scan: one map per period, whose
-    # size is that of the catalog.
-    values = F.map_from_entries(F.collect_list(F.when(
-        F.col("metric_id").isNotNull(), F.struct("metric_id", F.struct(*weights)))))
+    # A period's row without a metric stands for a zero of every metric of the catalog.
     metrics = list(dict.fromkeys(t.metric_id for t in terms))
-    return (
-        hits.groupBy(period).agg(values.alias("found"))
-        .select(period, "found", F.explode(F.lit(metrics)).alias("metric_id"))
-        .select(period, "metric_id", *[
-            F.coalesce(F.try_element_at("found", F.col("metric_id"))[n],
-                       F.lit(0).cast("bigint")).alias(n)
-            for n in weights
-        ])
-    )
+    zero = F.lit(0).cast("bigint")
+    zeros = F.transform(F.lit(metrics), lambda m: F.struct(m.alias("metric_id"), *[zero.alias(n) for n in weights]))
+    own = F.array(F.struct("metric_id", *weights))
+    filled = hits.select(period, F.inline(F.when(F.col("metric_id").isNull(), zeros).otherwise(own)))
+    return filled.groupBy(period, "metric_id").agg(*[F.sum(n).alias(n) for n in weights])

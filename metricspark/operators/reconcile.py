@@ -196,7 +196,7 @@ def period_summary(compared: DataFrame) -> DataFrame:
 
 def mismatch_stats(compared: DataFrame, group: str, dependency: Column) -> DataFrame:
     """Mismatches per group and overall, split by a dependency, with delta statistics."""
-    rows = compared.filter(F.col("status") != cmp.REFERENCE_UNAVAILABLE).withColumn("dep", dependency)
+    rows = compared.filter(F.col("status") != cmp.REFERENCE_UNAVAILABLE).withColumn("dep", F.coalesce(dependency, F.lit(False)))
     wrong = F.col("status") == cmp.REAL_MISMATCH
     delta = F.when(wrong, F.col("delta"))
     stats = rows.groupingSets([[group], []], group).agg(
@@ -207,12 +207,12 @@ def mismatch_stats(compared: DataFrame, group: str, dependency: Column) -> DataF
         F.count(delta).alias("delta_count"),
         F.count_if(wrong & F.col("reference").isNull()).alias("blank_reference"),
         F.min(delta).alias("delta_min"), F.max(delta).alias("delta_max"),
-        F.round(F.avg(delta), 4).alias("delta_mean"),
+        F.avg(delta).alias("delta_mean"),
         F.count_if(delta > 0).alias("reference_greater"),
         F.count_if(delta < 0).alias("reference_less"),
         F.grouping_id().alias("gid"),
     )
-    rate = lambda n, d: F.round(F.try_divide(n, d), 4)
+    rate = F.try_divide
     return stats.withColumns({
         group: F.when(F.col("gid") == 1, "ALL").otherwise(F.col(group)),
         "rate_dependent": rate(F.col("dependent_mismatch"), F.col("dependent_compared")),

@@ -36,10 +36,15 @@ class RecordLayout:
 
 def scope_flags(df: DataFrame, layout: RecordLayout) -> DataFrame:
     """Validity masks as boolean columns plus the month of every dated record."""
-    empty = reduce(and_, [F.col(f"{f}_blank") for f in layout.fields])
-    active = ~F.col("structurally_empty")
     service, birth = F.col(layout.service), F.col(layout.birth)
+    # a record with a readable service date cannot be empty: the other fields are not looked at
+    empty = F.when(service.isNotNull(), F.lit(False)).otherwise(
+        reduce(and_, [F.col(f"{f}_blank") for f in layout.fields]))
+    active = ~F.col("structurally_empty")
     birth_given = ~F.col(f"{layout.birth}_blank")
+    valid = service.isNotNull() & (~birth_given | birth.isNotNull())
+    for f in layout.required_text:
+        valid = valid & ~F.col(f"{f}_blank")
     flags = df.withColumn("structurally_empty", empty).withColumns({
         "service_bad": active & service.isNull(),
         "birth_bad": active & birth_given & birth.isNull(),
@@ -48,7 +53,7 @@ def scope_flags(df: DataFrame, layout: RecordLayout) -> DataFrame:
         "period": period_of(service),
     })
     invalid = reduce(lambda a, b: a | b, [F.col(flag) for _, _, flag in layout.problems()])
-    return flags.withColumn("invalid", invalid).withColumn("valid", active & ~F.col("invalid"))
+    return flags.withColumn("invalid", invalid).withColumn("valid", valid)
 
 
 def scope_counts(
@@ -170,11 +175,12 @@ def status_filter(df: DataFrame, column: str, rule: StatusRule) -> DataFrame:
 
 
 def row_problems(
-    flags: DataFrame, layout: RecordLayout, row_id: str, limit: int = fixed.MAX_PROBLEMS
+    flags: DataFrame, layout: RecordLayout, row_id: str, limit: int | None = None
 ) -> DataFrame:
-    """One row per (record, field, code), never with the value, in record order.
+    """One row per (record, field, code), never with the value.
 
-    The report is a capped list by design; ``truncated`` says whether more exist.
+    All of them, unless a screen asks for the first ``limit`` in record order; then
+    ``truncated`` says whether more exist.
     """
     entries = [*layout.problems(), ("BIRTH_AFTER_SERVICE", layout.birth, "birth_after")]
     listed = F.array(*[
@@ -182,10 +188,10 @@ def row_problems(
             F.lit(i).alias("position"), F.lit(field).alias("field"), F.lit(code).alias("code")))
         for i, (code, field, flag) in enumerate(entries)
     ])
-    first = (
-        flags.select(row_id, F.inline(F.array_compact(listed)))
-        .orderBy(row_id, "position").limit(limit + 1)
-    )
+    found = flags.select(row_id, F.inline(F.array_compact(listed)))
+    if limit is None:
+        return found.select(row_id, "field", "code")
+    first = found.orderBy(row_id, "position").limit(limit + 1)
     ranked = first.withColumn(
         "rank", F.row_number().over(Window.orderBy(row_id, "position"))
     ).withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy()) > limit)

@@ -92,9 +92,13 @@ def age_bands(
 def column_profile(
     df: DataFrame, fields: Sequence[str], *, blank_suffix: str = "_blank",
     max_unique: int = fixed.MAX_CATEGORICAL_UNIQUE, top: int = fixed.MAX_DISTRIBUTION,
+    categorical: Sequence[str] | None = None,
 ) -> DataFrame:
     """Per field: filled cells, distinct values and, if few, the most frequent values.
 
+    Only fields of ``categorical`` (default: all) may show values; of others only the
+    counts are told, as their cells may hold personal text.
+
     Cells are unpivoted and counted with map-side combine, so the shuffle carries one
     row per distinct (field, value), and no group is ever collected.
     """
@@ -111,13 +115,14 @@ def column_profile(
         F.sum("n").alias("non_blank"), F.count(F.lit(1)).alias("distinct_values")
     )
     # Only values of fields that pass the limit are ranked: at most max_unique rows each.
-    few = counts.join(totals.filter(F.col("distinct_values") <= max_unique), "field")
+    shown = (F.col("distinct_values") <= max_unique) & F.col("field").isin(*(fields if categorical is None else categorical))
+    few = counts.join(totals.filter(shown), "field")
     by_rank = Window.partitionBy("field").orderBy(F.desc("n"), "value")
     ranked = (
         few.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= top)
         .select("field", "non_blank", "distinct_values", "rank", "value", "n")
     )
-    many = totals.filter(F.col("distinct_values") > max_unique).select(
+    many = totals.filter(~shown).select(
         "field", "non_blank", "distinct_values", F.lit(None).cast("int").alias("rank"),
         F.lit(None).cast("string").alias("value"), F.lit(None).cast("bigint").alias("n"),
     )
@@ -350,8 +355,19 @@ def monthly_summary(flags: DataFrame, layout, rule, *, sex: str, service: str) -
     ).unionByName(total_rows)
 
 
-def ordered_positions(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """The first rows in key order with their position; the limit is the feature."""
-    first = df.orderBy(*keys).limit(limit)
-    return first.withColumn(
-        "position", F.row_number().over(Window.orderBy(*keys)).cast("bigint"))
+def ordered_positions(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every row with its position in key order.
+
+    Rows are dealt out by ranges of the keys. A position is the place inside its range plus
+    the rows of the ranges before it, so no task sees more than one range.
+    """
+    dealt = cut_lineage(df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__rows")).select(
+        "__range", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy("__range").orderBy(*keys)
+    return (
+        dealt.withColumn("__place", F.row_number().over(inside)).join(offsets, "__range")
+        .withColumn("position", (F.col("__offset") + F.col("__place")).cast("bigint"))
+        .drop("__range", "__place", "__offset")
+    )

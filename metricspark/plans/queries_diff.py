@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metricspark.operators import diff
+from metricspark.operators.summary import ordered_positions
 from metricspark.plans.registry import plain, query
 
 # Orders as cells: sheet = priority, row = order, one value and sometimes an expression.
@@ -127,7 +128,8 @@ _RANGE = """SELECT p_brand AS target_sheet, p_partkey AS target_row, 60 AS targe
   CASE WHEN p_size < 3 THEN p_size ELSE 1 END AS col_start, p_size AS col_end
 FROM {part} WHERE p_type = 'PROMO'"""
 _RANGES = _RANGE % (0, "p_brand", 3) + " UNION ALL " + _RANGE % (
-    1, "CASE WHEN p_size IN (4, 8, 16, 32) THEN 'Brand#1' ELSE p_brand END", 6)
+    1, "CASE WHEN p_size IN (4, 8, 16, 32) THEN 'Brand#1' ELSE p_brand END", 6) + """
+UNION ALL SELECT p_brand, p_partkey, 61, 2, p_brand, 1, 5000000000, 1, 3 FROM {part} WHERE p_partkey % 400 = 1"""
 _EDGES = f"""c AS ({plain(_CELLS)}), g AS ({plain(_RANGES)}),
 h AS (SELECT c.*, g.*, CASE WHEN sheet <> target_sheet THEN 'cross_sheet'
   WHEN row_start = row_end AND col_start = col_end THEN 'cell' ELSE 'range' END AS kind
@@ -162,19 +164,14 @@ def merge_anchor(t):
 
 @query("cell_order", f"""WITH g AS ({plain(_GRID)})
 SELECT sheet, row_no, col_no, row_number() OVER (ORDER BY sheet, row_no, col_no) AS position
-FROM g ORDER BY sheet, row_no, col_no LIMIT 100""")
+FROM g""")
 def cell_order(t):
-    from metricspark.operators.summary import ordered_positions
-
-    return ordered_positions(t.sql(_GRID), ["sheet", "row_no", "col_no"], 100).select(
+    return ordered_positions(t.sql(_GRID), ["sheet", "row_no", "col_no"]).select(
         "sheet", "row_no", "col_no", "position")
 
 
 @query("top_changes", f"""WITH {_PAIR}
 SELECT b.sheet, b.row_no, a.value_num - b.value_num AS delta FROM b JOIN a USING (sheet, row_no, col_no)
-ORDER BY abs(a.value_num - b.value_num) DESC NULLS LAST, b.sheet, b.row_no LIMIT 50""")
+ORDER BY abs(a.value_num - b.value_num) DESC NULLS LAST, b.sheet, b.row_no""")
 def top_changes(t):
-    b, a = t.sql(BEFORE).alias("b"), t.sql(AFTER).alias("a")
-    delta = F.col("a.value_num") - F.col("b.value_num")
-    both = b.join(a, diff.CELL_KEY).select("sheet", "row_no", delta.alias("delta"))
-    return both.orderBy(F.desc_nulls_last(F.abs("delta")), "sheet", "row_no").limit(50)
+    return diff.ordered_changes(t.sql(BEFORE), t.sql(AFTER)).select("sheet", "row_no", "delta")

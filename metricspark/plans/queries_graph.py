@@ -58,18 +58,27 @@ def dag_depth(t):
     return graph.dag_depth(t.sql(CYCLIC_EDGES))
 
 
-@query("derived_metrics", f"""WITH e AS ({plain(EDGES)}), base AS ({plain(BASE)}),
-lit AS ({plain(_LITERALS)}),
-v0 AS (SELECT metric_id, CAST(value AS DOUBLE) AS value, true AS available FROM base),
-{''.join(f'''l{i} AS (SELECT e.metric_id, sum(sign * coalesce(v.value, 0)) + coalesce(any_value(lit.value), 0) AS s,
+# Own counts of a metric that also has dependencies, a literal without any, a dependency
+# that does not exist, and two metrics that wait for each other.
+_OWN = BASE + """ UNION ALL SELECT 'R:' || r_regionkey, 7 FROM {region} WHERE r_name IN ('ASIA', 'AFRICA')"""
+_DERIVED_EDGES = EDGES + """ UNION ALL SELECT 'LOOP', 'POOL', 1 FROM {region} WHERE r_name = 'ASIA'
+UNION ALL SELECT 'POOL', 'LOOP', 1 FROM {region} WHERE r_name = 'ASIA'"""
+_CONSTANTS = _LITERALS + " UNION ALL SELECT 'K', 7.0 FROM {region} WHERE r_name = 'ASIA'"
+
+
+@query("derived_metrics", f"""WITH e AS ({plain(EDGES)}),
+own AS (SELECT metric_id, sum(value) AS value FROM (SELECT metric_id, CAST(value AS DOUBLE) AS value FROM ({plain(_OWN)})
+  UNION ALL SELECT metric_id, CAST(value AS DOUBLE) FROM ({plain(_CONSTANTS)})) GROUP BY 1),
+v0 AS (SELECT metric_id, value, true AS available FROM own WHERE metric_id NOT IN (SELECT metric_id FROM e)),
+{''.join(f"""l{i} AS (SELECT e.metric_id, sum(sign * coalesce(v.value, 0)) + coalesce(any_value(own.value), 0) AS s,
   bool_and(coalesce(v.available, false)) AS a FROM e LEFT JOIN v{i - 1} v ON v.metric_id = dep_metric_id
-  LEFT JOIN lit ON lit.metric_id = e.metric_id WHERE {cond} GROUP BY e.metric_id),
+  LEFT JOIN own ON own.metric_id = e.metric_id WHERE {cond} GROUP BY e.metric_id),
 v{i} AS (SELECT * FROM v{i - 1} UNION ALL SELECT metric_id, CAST(CASE WHEN a THEN s END AS DOUBLE), a FROM l{i}),
-''' for i, cond in ((1, "e.metric_id LIKE 'N:%'"), (2, "e.metric_id LIKE 'R:%'"),
+""" for i, cond in ((1, "e.metric_id LIKE 'N:%'"), (2, "e.metric_id LIKE 'R:%'"),
                     (3, "e.metric_id IN ('W', 'PAIR')"), (4, "e.metric_id = 'NET'")))}
-done AS (SELECT * FROM v4) SELECT * FROM done""")
+done AS (SELECT * FROM v4 UNION ALL SELECT 'LOOP', NULL, false UNION ALL SELECT 'POOL', NULL, false) SELECT * FROM done""")
 def derived_metrics(t):
-    return graph.derived_metrics(t.sql(BASE), t.sql(EDGES), t.sql(_LITERALS))
+    return graph.derived_metrics(t.sql(_OWN), t.sql(_DERIVED_EDGES), t.sql(_CONSTANTS))
 
 
 @query("lineage_columns", f"""WITH e AS ({plain(CYCLIC_EDGES)}),

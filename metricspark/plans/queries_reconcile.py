@@ -190,7 +190,8 @@ def _stats_sql(key, group):
   WHERE status <> 'REFERENCE_UNAVAILABLE')
 {_stats_sql('form', 'GROUP BY form')} UNION ALL {_stats_sql("'ALL'", '')}""")
 def mismatch_stats(t):
-    return reconcile.mismatch_stats(compared(t), "form", F.col("on_age"))
+    stats = reconcile.mismatch_stats(compared(t), "form", F.col("on_age"))
+    return stats.withColumns({c: F.round(c, 4) for c in ("delta_mean", "rate_dependent", "rate_independent")})
 
 
 @query("mismatch_axes", f"""WITH {_COMPARED}, s AS (SELECT * FROM compared WHERE status = 'REAL_MISMATCH')

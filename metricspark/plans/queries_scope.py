@@ -9,7 +9,6 @@ from metricspark.functions.dates import period_label
 from metricspark.operators import classify, scope, summary
 from metricspark.plans import views as v
 from metricspark.plans.registry import query
-from metricspark.session import evaluate_once
 from metricspark.sources import scan
 
 LAYOUT = scope.RecordLayout(fields=v.DETAIL_FIELDS)
@@ -26,12 +25,12 @@ _IN = f"DIA_CITA >= DATE '{START}' AND DIA_CITA < DATE '{END}'"
 
 def raw_export(t):
     """The export as delivered: untidy headers and columns nobody asked for."""
-    return evaluate_once(t.sql(v.RAW_DETAIL)).withColumnsRenamed(_HEADERS)
+    return t.sql(v.RAW_DETAIL).withColumnsRenamed(_HEADERS)
 
 
 def typed(t):
     found = scan.harmonise(raw_export(t), keep=["id"])
-    return scan.typed(found.df, found.detected, keep=["id"])
+    return scan.typed(found.df, found.detected, keep=["id"], moments=True)
 
 
 def flags(t):
@@ -64,7 +63,7 @@ def scan_harmonised(t):
 
 
 @query("scan_typed", f"WITH {v.DETAIL_CTE} SELECT id, {', '.join(v.DETAIL_FIELDS)}, "
-       f"{', '.join(f + '_blank' for f in v.DETAIL_FIELDS)} FROM typed")
+       f"{', '.join(f + '_blank' for f in v.DETAIL_FIELDS)}, {', '.join(f'CAST({f} AS TIMESTAMP) AS {f}_at' for f in v.DATES)} FROM typed")
 def scan_typed(t):
     return typed(t)
 
@@ -158,8 +157,7 @@ listed AS (
   UNION ALL SELECT id, 2, 'SEXO', 'SEXO_EMPTY' FROM flags WHERE sex_empty
   UNION ALL SELECT id, 3, 'TIPO_DE_CITA', 'TIPO_DE_CITA_EMPTY' FROM flags WHERE kind_empty
   UNION ALL SELECT id, 4, 'FECHA_NACIMIENTO', 'BIRTH_AFTER_SERVICE' FROM flags WHERE birth_after)
-SELECT id, field, code, (SELECT count(*) FROM listed) > {fixed.MAX_PROBLEMS} AS truncated
-FROM listed ORDER BY id, p LIMIT {fixed.MAX_PROBLEMS}""")
+SELECT id, field, code FROM listed""")
 def row_problems(t):
     return scope.row_problems(flags(t), LAYOUT, "id")
 

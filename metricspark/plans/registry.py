@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import lru_cache
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from metricspark.session import prepare
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -18,13 +19,14 @@ class Tables:
     """Lazy access to one directory of tables: ``t.orders`` is a DataFrame."""
 
     def __init__(self, spark: SparkSession, directory: str):
+        prepare(spark)
         self.spark = spark
-        self.directory = Path(directory)
+        self.directory = directory.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(str(self.directory / f"{name}.parquet"))
+        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
         """Run SQL over the tables it names in braces, e.g. ``FROM {orders}``."""

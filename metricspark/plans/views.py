@@ -79,12 +79,12 @@ def date_sql(x: str) -> str:
     return f"CAST(try_strptime({trim_sql(x)}, ['%d/%m/%Y', '%d-%m-%Y', '%Y-%m-%d']) AS DATE)"
 
 
-_DATES = ("DIA_CITA", "FECHA_NACIMIENTO")
+DATES = ("DIA_CITA", "FECHA_NACIMIENTO")
 
 # CTEs for oracles: raw -> typed -> flags.
 DETAIL_CTE = f"""raw AS ({plain(RAW_DETAIL)}),
 typed AS (SELECT id, {', '.join(
-    f'{date_sql(f)} AS {f}' if f in _DATES else f"coalesce({f}, '') AS {f}" for f in DETAIL_FIELDS)},
+    f'{date_sql(f)} AS {f}' if f in DATES else f"coalesce({f}, '') AS {f}" for f in DETAIL_FIELDS)},
   {', '.join(f'{blank_sql(f)} AS {f}_blank' for f in DETAIL_FIELDS)} FROM raw),
 active AS (SELECT *, NOT ({' AND '.join(f'{f}_blank' for f in DETAIL_FIELDS)}) AS active FROM typed),
 marked AS (SELECT *,

@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Catalogs, policies and rule tables are configuration, not data. A table above
-#: this size is refused instead of being pulled to the driver.
-MAX_CONFIG_ROWS = 200_000
-
 #: Worth setting when a session is built. The JVM never compiles a method above 8000
 #: bytes of bytecode, so past that size one big generated method runs many times slower
 #: than operators generated one by one. Recording the Python call site of every
@@ -28,29 +20,24 @@ RECOMMENDED_CONF = {
 }
 
 
-@contextmanager
-def compilable_methods(spark: SparkSession) -> Iterator[None]:
-    """Keep generated methods within what the JVM compiles, for jobs run inside."""
-    name = "spark.sql.codegen.hugeMethodLimit"
-    before = spark.conf.get(name)
-    spark.conf.set(name, RECOMMENDED_CONF[name])
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def prepare(spark: SparkSession) -> None:
+    """Keep generated code compilable in this session; set once, later settings stay."""
+    marker, name = "spark.metricspark.prepared", "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(marker, None) is None:
+        spark.conf.set(name, RECOMMENDED_CONF[name])
+        spark.conf.set(marker, "true")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; make one up only on a local master."""
+    """The folder that ``spark.checkpoint.dir`` names, as the session has it.
+
+    Only a session that names none, as in tests, gets a folder in its warehouse.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
-        configured = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     context.setCheckpointDir(configured)
     return configured
 
@@ -58,16 +45,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages survive the loss of any executor."""
     ensure_checkpoint_dir(df.sparkSession)
-    with compilable_methods(df.sparkSession):
-        return df.checkpoint(eager=True)
+    return df.checkpoint(eager=True)
 
 
-def read_config(df: DataFrame, max_rows: int = MAX_CONFIG_ROWS) -> list[Row]:
-    """Bring a configuration table to the driver, refusing anything data-sized."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"configuration table holds more than {max_rows} rows")
-    return rows
+def read_config(df: DataFrame) -> list[Row]:
+    """Bring rules that become column expressions to the driver: one expression a row."""
+    return df.collect()
 
 
 def config_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
@@ -83,12 +66,15 @@ def config_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     return spark.createDataFrame(table, schema=schema)
 
 
-def evaluate_once(df: DataFrame) -> DataFrame:
-    """Work out the projected expressions once per row.
+def evaluate_once(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Work out the projected expressions once per row: all, or those of ``columns``.
 
     The optimizer copies an expression into every later filter and flag that uses it,
     which multiplies costly ones such as date parsing and can outgrow the size limit of
     generated code. Columns that come out of a generator are not copied; the row stays
-    in the same task and nothing is shuffled or stored.
+    in the same task and nothing is shuffled or stored. The generator needs all columns
+    given to it, so the others stay outside and can be pruned.
     """
-    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    once = columns if columns is not None else df.columns
+    others = [F.col(f"`{c}`") for c in df.columns if c not in once]
+    return df.select(*others, F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in once]))))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,33 +47,45 @@ def preflight_checks(writes: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def verify_readback(expected: DataFrame, actual: DataFrame, key: str = "target") -> DataFrame:
-    """``(target, expected, actual, status)`` of every target that was to be written."""
-    found = actual.select(F.col(key), F.col("value").cast("double").alias("actual"))
+    """``(target, expected, actual, status)`` of every target that was to be written.
+
+    A target found more than once is one row and a mismatch.
+    """
+    found = actual.groupBy(key).agg(
+        F.first(F.col("value").cast("double")).alias("actual"), F.count(F.lit(1)).alias("copies"))
     same = F.abs(F.col("expected") - F.col("actual")) <= fixed.VALUE_TOLERANCE
     return (
         expected.select(F.col(key), F.col("value").cast("double").alias("expected"))
         .join(found, key, "left")
-        .withColumn("status", F.when(F.col("actual").isNull(), "MISSING")
-                    .when(same, "OK").otherwise("VALUE_MISMATCH"))
+        .withColumn("status", F.when(F.col("copies").isNull(), "MISSING")
+                    .when(F.coalesce(same, F.lit(False)) & (F.col("copies") == 1), "OK").otherwise("VALUE_MISMATCH"))
+        .drop("copies")
     )
 
 
-def publish(writes: DataFrame, path: str, *, key: str = "target",
-            partition_by: list[str] | None = None) -> DataFrame:
-    """Stage, read back, compare every target, and only then write ``path``.
+def publish(writes: DataFrame, values: DataFrame, path: str, *, key: str = "target",
+            partition_by: list[str] | None = None, violations: list[DataFrame] | None = None) -> DataFrame:
+    """Refuse, or write ``path`` once, read it back and return the verification table.
 
-    ``path`` must not exist yet: an earlier output is never overwritten. Returns the
-    verification table read from the staged copy.
+    Nothing is written while a pre-check counts a failure or a table of ``violations``
+    (contract, catalog, completeness) has a row. The copy that is verified is the one that is
+    published: it is written under ``path`` and the mark ``_VERIFIED`` follows only if all
+    targets agree; a copy without the mark is not published. ``path`` must not exist yet: an
+    earlier output is never overwritten.
     """
     spark = writes.sparkSession
-    staged_path = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex[:12]}"
-    writes.write.mode("errorifexists").parquet(staged_path)
-    staged = spark.read.parquet(staged_path)
-    report = verify_readback(writes, staged, key)
-    if not report.filter("status <> 'OK'").isEmpty():
-        raise PublishRefused(f"read-back differs, staged copy kept at {staged_path}")
-    writer = staged.write.mode("errorifexists")
+    failed = preflight_checks(writes, values).filter("failures > 0").collect()  # a row per check
+    if failed:
+        raise PublishRefused("pre-checks failed: " + ", ".join(f"{r.check_name}={r.failures}" for r in failed))
+    for table in violations or ():
+        if not table.isEmpty():
+            raise PublishRefused(f"violations: {', '.join(table.columns)}")
+    writer = writes.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    report = verify_readback(writes, spark.read.parquet(path), key)
+    if not report.filter("status <> 'OK'").isEmpty():
+        raise PublishRefused(f"read-back differs; {path} stays unmarked")
+    spark.createDataFrame([("OK",)], "status string").coalesce(1).write.mode("errorifexists").text(f"{path.rstrip('/')}/_VERIFIED")
     return report
 
 

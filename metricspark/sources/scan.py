@@ -77,12 +77,21 @@ def typed(
     *,
     dates: Sequence[str] = ("DIA_CITA", "FECHA_NACIMIENTO"),
     keep: Sequence[str] = (),
+    moments: bool = False,
 ) -> DataFrame:
-    """Blank flags from the raw cell, then coercion: dates day-first, text byte-exact."""
+    """Blank flags from the raw cell, then coercion: dates day-first, text byte-exact.
+
+    Dates are days; with ``moments`` the time of day stays available as ``<field>_at``.
+    Only the parsed dates are kept from being worked out again in every filter. All other
+    columns stay plain expressions: what a job does not use is not read.
+    """
+    at = {f: f"{f}_at" for f in fields if f in dates}
+    parsed = [parse_day_first(F.col(f).cast("string")).alias(name) for f, name in at.items()]
+    raw = df.select(*keep, *fields, *parsed)
+    once = evaluate_once(raw, list(at.values())) if at else raw
     values = [
-        F.to_date(parse_day_first(F.col(f).cast("string"))).alias(f) if f in dates
-        else F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f)
+        F.to_date(at[f]).alias(f) if f in at else F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f)
         for f in fields
     ]
     blanks = [is_blank(F.col(f)).alias(f"{f}_blank") for f in fields]
-    return evaluate_once(df.select(*keep, *values, *blanks))
+    return once.select(*keep, *values, *blanks, *(at.values() if moments else ()))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from metricspark.functions import criteria
 from metricspark.operators import (
-    align, checks, classify, diff, graph, layout, manifest, metrics, reconcile, scope, summary,
+    align, checks, classify, decide, diff, graph, layout, manifest, metrics, reconcile, scope, summary,
 )
 from metricspark.sources import catalog, publish, scan
 
@@ -41,9 +41,7 @@ def brute_counts(records, terms):
     return out
 
 
-@pytest.mark.parametrize("wide", [True, False])
-def test_metric_counts_against_brute_force(spark, monkeypatch, wide):
-    monkeypatch.setattr(metrics, "WIDE_PLAN_TERMS", 1000 if wide else 0)
+def test_metric_counts_against_brute_force(spark):
     rng = random.Random(7)
     records = [{"period": rng.choice("ab"), "sex": rng.choice(["F", "f", "M", None, ""]),
                 "age": rng.choice([None, 0, 5, 17, 18, 40]), "kind": rng.choice(["x", "y|z", "y"])} for _ in range(300)]
@@ -183,15 +181,81 @@ def test_nearest_above_across_blocks(spark, monkeypatch):
     assert got == {r: max((x for x in marks if x < r), default=None) for r in range(1, 120)}
 
 
-def test_publish_never_overwrites(spark, tmp_path):
-    writes = spark.createDataFrame([("t1", 1.0), ("t2", 2.0)], "target string, value double")
-    path = str(tmp_path / "out")
-    assert rows(publish.publish(writes, path), "target", "status") == [("t1", "OK"), ("t2", "OK")]
+def test_publish_refuses_and_never_overwrites(spark, tmp_path):
+    ddl = "target string, value double, instruction_id string, metric_id string, expected_value_type string, day string"
+    good = [("t1", 1.0, "i1", "a", "NUMBER", "x"), ("t2", 2.0, "i2", "b", "NUMBER", "y")]
+    values = spark.createDataFrame([("a",), ("b",)], "metric_id string")
+
+    def put(data, name, **more):
+        return publish.publish(spark.createDataFrame(data, ddl), more.pop("values", values), str(tmp_path / name), **more)
+
+    assert rows(put(good, "out", partition_by=["day"]), "target", "status") == [("t1", "OK"), ("t2", "OK")]
+    assert {p.name for p in (tmp_path / "out").iterdir()} >= {"_VERIFIED", "day=x", "day=y"} and not list(tmp_path.glob("*staged*"))
     with pytest.raises(Exception, match="exists"):
-        publish.publish(writes, path)
-    with pytest.raises(publish.PublishRefused):
-        publish.publish(writes.withColumn("value", F.lit(None).cast("double")), str(tmp_path / "other"))
+        put(good, "out")
+    one, two = good
+    bad = {"DUPLICATE_TARGET": [one, ("t1", *two[1:])], "DUPLICATE_INSTRUCTION": [one, (*two[:2], "i1", *two[3:])],
+           "NEGATIVE_VALUE": [one, ("t2", -1.0, *two[2:])], "NULL_VALUE": [one, ("t2", None, *two[2:])], "ORPHAN_INSTRUCTION": [one],
+           "MISSING_INSTRUCTION": [*good, ("t3", 1.0, "i3", "c", "NUMBER", "x")]}
+    for name, data in bad.items():
+        with pytest.raises(publish.PublishRefused, match=name):
+            put(data, "other")
+    with pytest.raises(publish.PublishRefused, match="violation"):
+        put(good, "other", violations=[spark.createDataFrame([("s", "ALTERED")], "sheet string, violation string")])
     assert not (tmp_path / "other").exists()
+    doubled = publish.verify_readback(spark.createDataFrame([one], ddl), spark.createDataFrame([one, one], ddl))
+    assert rows(doubled, "target", "status") == [("t1", "VALUE_MISMATCH")]
+
+
+def test_nothing_is_cut(spark):
+    """Ranges of any length, all positions, all changes, all problems."""
+    cells = spark.createDataFrame([("s", 1, 1), ("s", 2**40, 1), ("s", 2**40, 2**33)], "sheet string, row_no long, col_no long")
+    for last in (2**31 - 1, 2**31, 2**62):
+        ranges = spark.createDataFrame([("t", 1, 1, 0, "s", 1, last, 1, 2**34)],
+                                       "target_sheet string, target_row long, target_col long, ref_no int, ref_sheet string, row_start long, row_end long, "
+                                       "col_start long, col_end long")
+        assert diff.range_edges(cells, ranges).count() == (3 if last > 2**40 else 1)
+    keys = spark.range(2500).select((F.col("id") * 7919 % 2500).alias("k"), (F.col("id") % 3).alias("j"))
+    assert {(r.k, r.position) for r in summary.ordered_positions(keys, ["k"]).collect()} == {(i, i + 1) for i in range(2500)}
+    grid = "sheet string, row_no int, col_no int, value_num double"
+    before = spark.createDataFrame([("s", i, 1, 1.0) for i in range(120)], grid)
+    after = spark.createDataFrame([("s", i, 1, 1.0 + i) for i in range(120)], grid)
+    assert [r.row_no for r in diff.ordered_changes(before, after).collect()] == list(range(119, -1, -1))
+    assert diff.ordered_changes(before, after, 5).count() == 5
+    lay = scope.RecordLayout(fields=("DIA_CITA", "FECHA_NACIMIENTO", "SEXO", "TIPO_DE_CITA"))
+    flags = spark.range(700).selectExpr("id", "false AS birth_after", "false AS service_bad", "false AS birth_bad", "true AS SEXO_empty", "false AS TIPO_DE_CITA_empty")
+    assert scope.row_problems(flags, lay, "id").count() == 700 and scope.row_problems(flags, lay, "id", limit=5).count() == 5
+
+
+def test_derived_metrics_take_all_kinds(spark):
+    """Own counts with dependencies, literals alone, whole results."""
+    base = spark.createDataFrame([("a", 2), ("m", 3)], "metric_id string, value int")
+    edges = spark.createDataFrame([("m", "a", 1), ("n", "m", -1)], "metric_id string, dep_metric_id string, sign int")
+    literals = spark.createDataFrame([("m", 5), ("k", 7)], "metric_id string, value int")
+    got = [(r.metric_id, r.value) for r in graph.derived_metrics(base, edges, literals).collect()]
+    assert sorted(got) == [("a", 2), ("k", 7), ("m", 10), ("n", -10)] and all(isinstance(v, int) for _, v in got)
+
+
+def test_covered_cells_read_their_corner(spark):
+    cells = spark.createDataFrame([("s", 1, 3, 5.0, "Mujer"), ("s", 9, 9, 1.0, None)], "sheet string, row_no int, col_no int, value_num double, value_txt string")
+    merges = spark.createDataFrame([("s", 1, 3, 1, 4)], "sheet string, r1 int, c1 int, r2 int, c2 int")
+    targets = spark.createDataFrame([("s", 1, 3), ("s", 1, 4), ("s", 2, 4)], "sheet string, row_no int, col_no int")
+    got = rows(diff.merge_anchor(cells, merges, targets), "row_no", "col_no", "anchor_col", "value_txt")
+    assert got == [(1, 3, 3, "Mujer"), (1, 4, 3, "Mujer"), (2, 4, 4, None)]
+
+
+def test_age_bounds_from_predicates(spark):
+    metrics_in = spark.createDataFrame([("a",), ("b",)], "metric_id string")
+    predicates = spark.createDataFrame([("a", ">=", 18.0), ("a", ">", 19.0), ("a", "<", 65.0)], "metric_id string, op string, number double")
+    got = {r.metric_id: r.formula_age for r in decide.with_formula_age(metrics_in, predicates).collect()}
+    assert tuple(got["a"]) == (20, 64) and got["b"] is None
+
+
+def test_null_dependency_counts_as_independent(spark):
+    rows_in = [("f", "REAL_MISMATCH", 1.0, 1.0, None), ("f", "EXACT_MATCH", 0.0, 1.0, None)]
+    df = spark.createDataFrame(rows_in, "form string, status string, delta double, reference double, age boolean")
+    stats = reconcile.mismatch_stats(df, "form", F.col("age")).filter("form = 'f'").first()
+    assert (stats.independent_compared, stats.dependent_compared) == (2, 0)
 
 
 def test_completeness_and_collisions(spark):

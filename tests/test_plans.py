@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from metricspark import session
 from metricspark.functions.dates import in_period
-from metricspark.operators import diff, metrics, reconcile, summary
+from metricspark.operators import diff, metrics, reconcile, scope, summary
+from metricspark.plans import registry
+from metricspark.sources import scan
 
 
 def plan(df) -> str:
@@ -65,10 +67,24 @@ def test_multiset_sides_share_one_shuffle(facts):
     assert "Join" not in text
 
 
-def test_configuration_is_refused_not_cut(spark):
-    with pytest.raises(ValueError, match="more than 10 rows"):
-        session.read_config(spark.range(11), max_rows=10)
-    assert len(session.read_config(spark.range(10), max_rows=10)) == 10
+def test_only_what_is_used_is_read(spark, tmp_path):
+    """No column is kept alive by parsing, and a record with a date needs few of its fields."""
+    path = str(tmp_path / "raw")
+    spark.range(5).selectExpr("'01/02/1997' AS DIA_CITA", "'01/02/1977' AS FECHA_NACIMIENTO", "'F' AS SEXO", "'t' AS TIPO_DE_CITA", "'x' AS SUCURSAL",
+                              "'y' AS ESPECIALIDAD", "'z' AS PRESTACION", "date'1997-02-01' AS day").write.parquet(path)
+    raw = spark.read.parquet(path).filter("day >= date'1997-02-01'")
+    fields = ("DIA_CITA", "FECHA_NACIMIENTO", "SEXO", "TIPO_DE_CITA", "SUCURSAL", "ESPECIALIDAD", "PRESTACION")
+    layout = scope.RecordLayout(fields=fields)
+    text = plan(scope.detect_periods(scope.scope_flags(scan.typed(raw, fields), layout)))
+    assert "GreaterThanOrEqual(day,1997-02-01)" in text
+    read = re.search(r"ReadSchema: (.*)", text).group(1)
+    assert "SEXO" in read and not any(f in read for f in ("SUCURSAL", "ESPECIALIDAD", "PRESTACION"))
+    times = scan.typed(spark.createDataFrame([("05/07/2026 09:30",)], "DIA_CITA string"), ["DIA_CITA"], moments=True).first()
+    assert (str(times.DIA_CITA), str(times.DIA_CITA_at)) == ("2026-07-05", "2026-07-05 09:30:00")
+
+
+def test_paths_stay_as_given(spark):
+    assert registry.Tables(spark, "s3a://bucket/x/").directory == "s3a://bucket/x"
 
 
 def test_checkpoint_folder_comes_from_the_session(spark):
