@@ -115,7 +115,7 @@ def shingle_hashes(hashes: np.ndarray, counts: np.ndarray, size: int = SHINGLE)
     place = np.arange(total) - first[doc]
     left = counts[doc] - place
     acc = np.zeros(total, np.uint64)
-    for j in range(size):
+    for j in range(min(size, total)):
         tail = hashes[j:] * steps[j]
         acc[:total - j] += np.where(left[:total - j] > j, tail, np.uint64(0))
     acc += np.minimum(left, size).astype(np.uint64)

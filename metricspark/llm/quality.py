@@ -75,9 +75,9 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     distinct = np.bincount(doc[first], minlength=n)[:n] if len(first) else np.zeros(n)
     commonest = np.zeros(n)
     np.maximum.at(commonest, doc[first], times)
-    pairs = K.mix(hashes[:-1] * np.uint64(3) + hashes[1:] + K.mix(doc[:-1].astype(np.uint64))) if len(hashes) > 1 else np.empty(0, np.uint64)
-    _, first = np.unique(pairs, return_index=True)
-    distinct_pairs = np.bincount(doc[first], minlength=n)[:n] if len(first) else np.zeros(n)
+    at = np.flatnonzero(doc[:-1] == doc[1:])  # words that the next one of their text follows
+    _, first = np.unique(K.mix(hashes[at] * np.uint64(3) + hashes[at + 1] + K.mix(doc[at].astype(np.uint64))), return_index=True)
+    distinct_pairs = np.bincount(doc[at[first]], minlength=n)[:n] if len(first) else np.zeros(n)
     chars = np.maximum(K.char_counts(data, offsets), 1)
     parts = []
     for members in _byte_sets():

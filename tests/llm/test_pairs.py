@@ -46,6 +46,7 @@ def test_shingles_against_words():
     got = [len(s) for s in kernels.shingle_sets(pa.array(texts, pa.string()))]
     assert got == [len(shingle_set(t)) for t in texts]
     assert [len(s) for s in kernels.shingle_sets(pa.array(texts, pa.string()).slice(7, 50))] == got[7:57]
+    assert [len(next(kernels.shingle_sets(pa.array([t])))) for t in texts[:300]] == got[:300]
 
 
 def test_join_on_edges(edge_docs, no_docs):

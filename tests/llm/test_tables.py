@@ -70,7 +70,7 @@ def test_warc(spark, tmp_path):
     source = {(r.page_id, r.record_id): r for r in warc.responses(pages).collect()}
     assert {(r.page_id, r.refers_to) for r in rows} == set(source)
     text = next(r for r in rows if r.page_id == 1 and r.record_type == "conversion")
-    assert text.block == "A & B\nOne\ntwo three\nlink\n$1 \\ <i>"
+    assert text.block == "A &\nB\nOne\ntwo three\nlink\n$1 \\ <i>"
     fields = next(r for r in rows if r.page_id == 1 and r.record_type == "metadata").block
     assert "title: A &amp; B\r\n" in fields and "outlink: /u?a=1\r\n" in fields and "http-header: Content-Type: text/html" in fields
     con = duckdb.connect()
