@@ -53,7 +53,11 @@ COMMON = 16
 BAND = 1.05
 
 _SIGNATURES = "doc_id long, n long, class long, chunk int, slot int, counts binary"
-_POSTINGS = "token long, class long, need int"
+_POSTINGS = "token long, class long, size long"
+#: A class's ``size`` is its n and, in the lower bits, its need.
+NEED_BITS = 24
+#: Bits of the map that keeps classes without candidates out of the comparison of sets.
+MAP_BITS = 1 << 22
 
 
 def _class_key(one: np.ndarray) -> int:
@@ -136,8 +140,8 @@ def _posting_rows(spark, sketch: np.ndarray, size: int, percent: int):
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([t for t, _, _ in out]).view(np.int64)),
                  pa.array(np.repeat(np.array([k for _, k, _ in out], np.int64), lengths)),
-                 pa.array(np.repeat(np.array([x for _, _, x in out], np.int32), lengths))],
-                names=["token", "class", "need"])
+                 pa.array(np.repeat(np.array([x for _, _, x in out], np.int64), lengths))],
+                names=["token", "class", "size"])
 
         for batch in batches:
             for one in K.shingle_sets(batch.column(0), size):
@@ -150,9 +154,9 @@ def _posting_rows(spark, sketch: np.ndarray, size: int, percent: int):
                 shortest = n - -(-n * percent // 100) + 1
                 # The order is by level, so the cost of the shortest prefix is that of the lowest excesses.
                 cost = float(np.sort(excess[bucket])[:shortest].sum())
-                need = 1 + int(n * GROWTH * min(5.0, np.log2(1 + cost / n)))
+                need = min((1 << NEED_BITS) - 1, 1 + int(n * GROWTH * min(5.0, np.log2(1 + cost / n))))
                 prefix = ordered[:shortest + need - 1]
-                out.append((prefix, key, need))
+                out.append((prefix, key, n << NEED_BITS | need))
                 held += len(prefix)
                 if held > 1 << 18:
                     yield flush()
@@ -162,38 +166,54 @@ def _posting_rows(spark, sketch: np.ndarray, size: int, percent: int):
     return run
 
 
-def _set_rows(size: int):
+def _set_rows(spark, wanted: np.ndarray, size: int):
+    bits = spark.sparkContext.broadcast(wanted)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        keys, offsets, values = [], [0], []
         for batch in batches:
-            keys, offsets, values = [], [0], []
             for one in K.shingle_sets(batch.column(0), size):
-                if len(one):
-                    keys.append(_class_key(one))
-                    values.append(one.view(np.int64))
-                    offsets.append(offsets[-1] + len(one))
+                if not len(one) or (key := _class_key(one)) in seen or not bits.value[key % MAP_BITS]:
+                    continue
+                seen.add(key)
+                keys.append(key)
+                values.append(one.view(np.int64))
+                offsets.append(offsets[-1] + len(one))
                 if offsets[-1] > 1 << 19:
                     yield _sets(keys, offsets, values)
                     keys, offsets, values = [], [0], []
-            if keys:
-                yield _sets(keys, offsets, values)
+        if keys:
+            yield _sets(keys, offsets, values)
     return run
 
 
+def _bit_map(classes: DataFrame) -> np.ndarray:
+    """Which remainders of class keys occur: 4 MB, however many classes there are."""
+    place = F.pmod("class", F.lit(MAP_BITS)) + 1
+    rows = classes.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros(MAP_BITS, bool)
+    for row in rows:
+        bits = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little")
+        at = (row.part - 1) * len(bits)
+        out[at:at + len(bits)] = bits[:MAP_BITS - at]
+    return out
+
+
 def _sets(keys: list, offsets: list, values: list) -> pa.RecordBatch:
     tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values)))
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), tokens], names=["class", "tokens"])
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets reach the threshold, by the sets themselves."""
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets reach the threshold, by the sets themselves.
+
+    The sets are made again where the texts are read, and only those of classes in pairs travel.
+    """
     pairs = stored(pairs)
     used = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    wanted = stored(used.join(classes, "class").select("class", F.col("rep").alias("doc_id")))
-    found = texts.join(wanted.select("doc_id").distinct(), "doc_id").select("text")
-    sets = stored(
-        found.mapInArrow(_set_rows(size), "class long, tokens array<long>")
-        .join(wanted.select("class"), "class").dropDuplicates(["class"])
-    )
+    made = texts.select("text").mapInArrow(_set_rows(texts.sparkSession, _bit_map(used), size), "class long, tokens array<long>")
+    sets = stored(made.dropDuplicates(["class"]))
     left = sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))
@@ -204,55 +224,102 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
     )
 
 
-def _near_pairs(open_tokens: DataFrame, apart: F.Column, fits, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) in the same or neighbouring bands of size that agree only on common shingles.
+class _Rule:
+    """What two classes, their columns marked by prefixes, must have in common."""
 
-    Classes of like size must agree on so many prefix shingles that the first of those they have
-    in common stands early in either list: only such beginnings are joined, each row with its
-    whole list. The join itself counts what a pair shares and lets the pair through once, at its
-    first common shingle, so large groups of like documents leave no more rows than candidates.
-    """
-    share, wide = percent / (100 + percent), BAND**2
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def n(self, x: str) -> F.Column:
+        return F.shiftright(x + "size", NEED_BITS)
+
+    def need(self, x: str) -> F.Column:
+        return F.col(x + "size").bitwiseAND(F.lit((1 << NEED_BITS) - 1).cast("long"))
+
+    def rest(self, x: str) -> F.Column:
+        """How much of a set lies behind its prefix."""
+        return F.floor((self.n(x) * self.percent + 99) / 100) - self.need(x)
+
+    def band(self, x: str) -> F.Column:
+        return F.floor(F.log(self.n(x).cast("double")) / float(np.log(BAND))).cast("int")
+
+    def must(self, x: str, y: str) -> F.Column:
+        """The least number of prefix shingles that a linked pair has in common."""
+        whole = F.ceil((self.n(x) + self.n(y)) * self.percent / (100 + self.percent))
+        return F.greatest(F.least(self.need(x), self.need(y)), whole - F.greatest(self.rest(x), self.rest(y)))
 
-    def least(ny: F.Column) -> F.Column:
-        """No fewer than this many must be shared with a class of size ny."""
-        return share * (F.col("x.n") + ny) - F.greatest(F.col("x.rest").cast("double"), ny * percent / 100)
+    def may(self, x: str, y: str) -> F.Column:
+        nx, ny = self.n(x), self.n(y)
+        fit = F.least(nx, ny) * 100 >= F.greatest(nx, ny) * self.percent
+        return fit & (F.least(x + "hits", y + "hits") >= self.must(x, y))
 
-    must = F.greatest(F.lit(1), F.ceil(F.least(least(F.col("x.n") / wide), least(F.col("x.n") * wide)) - 1e-6)).cast("int")
-    lists = open_tokens.groupBy("root", "x").agg(F.array_sort(F.collect_list(F.struct("token", "minor"))).alias("list"))
-    early = lists.withColumn("many", F.size("list") - must + 1).filter("many > 0")
-    rows = early.select(
-        "root", "x", F.col("list.token").alias("tokens"), F.posexplode(F.slice("list", 1, F.col("many"))).alias("place", "at")
-    ).select("root", "x", "tokens", "at.token", "at.minor", F.col("x.band").alias("band"), (F.size("tokens") - F.col("place")).alias("left"))
-    rows = stored(rows)
-    mirrored = rows.select("token", "band", "minor", "left", F.col("root").alias("root_y"), F.col("x").alias("y"), F.col("tokens").alias("tokens_y"))
+    def must_near(self, x: str) -> F.Column:
+        """No fewer than this many are shared with any class of the same or a neighbouring band."""
+        share, wide = self.percent / (100 + self.percent), BAND**2
 
-    def agree(common: F.Column) -> F.Column:
-        both = F.size(common)
-        return (both >= F.least("x.need", "y.need")) & fits("x", "y", both) & (F.array_min(common) == F.col("l.token"))
+        def least(ny: F.Column) -> F.Column:
+            return share * (self.n(x) + ny) - F.greatest(self.rest(x).cast("double"), ny * self.percent / 100)
+
+        n = self.n(x)
+        return F.greatest(F.lit(1), F.ceil(F.least(least(n / wide), least(n * wide)) - 1e-6)).cast("int")
+
+
+def _counted(meetings: DataFrame) -> DataFrame:
+    """Pairs (a, b) that meet as often as they must, from one row (a, b, must) per meeting."""
+    return meetings.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), F.first("must").alias("must")).filter("both >= must")
+
+
+def _marked(rows: DataFrame, mark: str, *keys: str) -> DataFrame:
+    return rows.select(*keys, *[F.col(c).alias(mark + c) for c in rows.columns if c not in keys])
+
+
+def _near_pairs(common: DataFrame, rule: _Rule) -> DataFrame:
+    """Candidate pairs (a, b) in the same or neighbouring bands of size that agree only on common shingles.
+
+    Classes of like size must agree on so many prefix shingles that the first of those they have
+    in common stands early in either list: only such beginnings are joined, each row with what of
+    its list lies ahead. The join itself counts what a pair shares and lets the pair through once,
+    at its first common shingle, so large groups of like documents leave no more rows than candidates.
+    """
+    facts = ["class", "root", "size", "hits"]
+    lists = common.groupBy(*facts).agg(F.array_sort(F.collect_list(F.struct("token", "minor"))).alias("list"))
+    early = lists.withColumn("many", F.size("list") - rule.must_near("") + 1).filter("many > 0")
+    rows = early.select(*facts, F.col("list.token").alias("tokens"), F.posexplode(F.slice("list", 1, F.col("many"))).alias("place", "at"))
+    rows = stored(rows.select(
+        *facts, "at.token", "at.minor", rule.band("").alias("band"),
+        F.slice("tokens", F.col("place") + 1, F.size("tokens")).alias("ahead")))
+    right = _marked(rows, "y_", "token").alias("r")
+
+    def agree(shared: F.Column) -> F.Column:
+        return (F.size(shared) >= rule.must("x_", "y_")) & (F.array_min(shared) == F.col("l.token"))
 
     def met(left: DataFrame, step: int, once: F.Column) -> DataFrame:
-        # at the first common shingle, all that is shared still lies ahead in both lists
-        ahead = F.least("l.left", "r.left")
-        return left.alias("l").join(
-            mirrored.alias("r"),
-            (F.col("l.token") == F.col("r.token")) & (F.col("l.band") + step == F.col("r.band")) & once & apart
-            & (ahead >= F.least("x.need", "y.need")) & fits("x", "y", ahead)
-            & F.exists(F.array(F.array_intersect("tokens", "tokens_y")), agree)
-        ).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+        return _marked(left, "x_", "token").alias("l").join(
+            right,
+            (F.col("l.token") == F.col("r.token")) & (F.col("x_band") + step == F.col("y_band")) & once
+            & (F.col("x_root") != F.col("y_root")) & rule.may("x_", "y_")
+            & (F.least(F.size("x_ahead"), F.size("y_ahead")) >= rule.must("x_", "y_"))
+            & F.exists(F.array(F.array_intersect("x_ahead", "y_ahead")), agree)
+        ).select(F.col("x_class").alias("a"), F.col("y_class").alias("b"))
 
     # of two classes in different groups one at least is outside the token's largest group
-    same = met(rows.filter("minor"), 0, ~F.col("r.minor") | (F.col("x.class") < F.col("y.class")))
+    same = met(rows.filter("minor"), 0, ~F.col("y_minor") | (F.col("x_class") < F.col("y_class")))
     return same.union(met(rows, 1, F.lit(True)))
 
 
-def _far_pairs(open_tokens: DataFrame, apart: F.Column, percent: int) -> DataFrame:
-    """Meetings at common shingles of classes two bands of size apart or more, the smaller one first."""
-    steps = range(2, int(np.log(100 / percent) / np.log(BAND)) + 2)  # sizes that can still link
-    larger = open_tokens.select(
-        "token", F.col("root").alias("root_y"), F.col("x").alias("y"), F.explode(F.array(*[F.col("x.band") - i for i in steps])).alias("band"))
-    smaller = open_tokens.withColumn("band", F.col("x.band"))
-    return smaller.join(larger, ["token", "band"]).filter(apart)
+def _meetings(left: DataFrame, right: DataFrame, keys: list[str], once: F.Column, rule: _Rule, spare: F.Column) -> DataFrame:
+    """(a, b, must) for each meeting of two classes of different groups; ``spare`` is shared elsewhere at most."""
+    met = _marked(left, "x_", *keys).join(_marked(right, "y_", *keys), keys)
+    return met.filter(once & (F.col("x_root") != F.col("y_root")) & rule.may("x_", "y_")).select(
+        F.col("x_class").alias("a"), F.col("y_class").alias("b"), (rule.must("x_", "y_") - spare).alias("must"))
+
+
+def _far_pairs(common: DataFrame, rule: _Rule) -> DataFrame:
+    """Candidates whose sizes are two bands apart or more, by common shingles; the smaller one first."""
+    steps = range(2, int(np.log(100 / rule.percent) / np.log(BAND)) + 2)  # sizes that can still link
+    band = rule.band("")
+    larger = common.withColumn("band", F.explode(F.array(*[band - i for i in steps])))
+    return _counted(_meetings(common.withColumn("band", band), larger, ["token", "band"], F.lit(True), rule, F.lit(0)))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -274,75 +341,47 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     known = texts.filter("doc_id IS NOT NULL")
 
     postings = known.select("text").mapInArrow(_posting_rows(docs.sparkSession, sketch, size, percent), _POSTINGS)
-    per_token = W.partitionBy("token")
-    shared = (
+    per_token, rule = W.partitionBy("token"), _Rule(percent)
+    by_size = per_token.orderBy("size", "class")
+    smaller, larger = F.shiftright(F.lag("size").over(by_size), NEED_BITS), F.shiftright(F.lead("size").over(by_size), NEED_BITS)
+    shared = stored(
         postings.repartition(partitions(docs.sparkSession), "token").dropDuplicates(["token", "class"])
-        .withColumn("df", F.count(F.lit(1)).over(per_token)).filter("df > 1").select("token", "class", "need")
-    )
-    shared = stored(shared)
-    hits = shared.groupBy("class").agg(F.count(F.lit(1)).alias("hits"), F.first("need").alias("need"))
-    rest = F.floor((F.col("n") * percent + 99) / 100) - F.col("need")
-    facts = stored(
-        hits.join(classes.select("class", "n"), "class")
-        .select("class", "n", "need", "hits", rest.alias("rest"), (F.col("hits") / (F.col("n") - rest)).alias("centre"))
+        .withColumn("fits", (smaller * 100 >= rule.n("") * percent) | (rule.n("") * 100 >= larger * percent))
+        .filter("fits").drop("fits")  # others meet nobody of a size that can link
     )
-    meets = stored(shared.drop("need").join(facts, "class"))
-
-    def fits(x: str, y: str, agree: F.Column) -> F.Column:
-        nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-        most = agree + F.greatest(f"{x}.rest", f"{y}.rest")
-        return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (most * (100 + percent) >= percent * (nx + ny))
-
-    def hopeful(x: str, y: str) -> F.Column:
-        return fits(x, y, F.least(f"{x}.hits", f"{y}.hits"))
-
-    def agreeing(pairs: DataFrame, x: str, y: str) -> DataFrame:
-        """Pairs with enough common prefix shingles; ``both`` is their number."""
-        counted = pairs.groupBy(x, y).agg(F.count(F.lit(1)).alias("both"))
-        return counted.filter((F.col("both") >= F.least(f"{x}.need", f"{y}.need")) & fits(x, y, F.col("both")))
-
-    sizes = ("class", "n", "need", "hits", "rest")
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int").alias("band")
-    hub = F.max(F.struct("centre", *sizes)).over(per_token)
-    starred = meets.select(F.struct(*sizes).alias("x"), hub.alias("h")).filter(F.col("x.class") != F.col("h.class"))
-    stars = (
-        agreeing(starred.filter(hopeful("x", "h")), "x", "h")
-        .groupBy(F.col("x.class").alias("a")).agg(F.max(F.struct("both", "h")).alias("best"))
-        .select("a", F.col("best.h.class").alias("b"))
-    )
-    stars = stored(_verified(stars, classes, known, size, percent))
+    hits = shared.groupBy("class").agg(F.count(F.lit(1)).alias("hits"))
+    meets = stored(shared.join(hits, "class"))
+    centre = F.col("hits") / (rule.n("") - rule.rest(""))
+    hub = F.max(F.struct(centre.alias("centre"), "class", "size", "hits")).over(per_token)
+    starred = meets.select(
+        *[F.col(c).alias("x_" + c) for c in meets.columns], hub.alias("hub")).select(
+        "*", *[F.col(f"hub.{c}").alias("y_" + c) for c in ("class", "size", "hits")])
+    starred = starred.filter((F.col("x_class") != F.col("y_class")) & rule.may("x_", "y_")).select(
+        F.col("x_class").alias("a"), F.col("y_class").alias("b"), rule.must("x_", "y_").alias("must"))
+    stars = _counted(starred).groupBy("a").agg(F.max(F.struct("both", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    stars = stored(_verified(stars, known, size, percent))
     roots = follow_parents(
         stars.select(F.col("a").alias("node"), F.col("b").alias("parent"))
         .union(stars.join(stars.select(F.col("a").alias("seen")), F.col("b") == F.col("seen"), "left_anti").select("b", "b").distinct())
     )
-    grouped = meets.join(roots, meets["class"] == roots.node, "left").select("token", *sizes, F.coalesce("root", "class").alias("root"))
+    grouped = meets.drop("hits").join(roots, meets["class"] == roots.node, "left").select("token", "class", "size", F.coalesce("root", "class").alias("root"))
     of_root = W.partitionBy("token", "root")
-    open_tokens = stored(
+    unsettled = stored(
         grouped.withColumn("low", F.min("root").over(per_token)).withColumn("high", F.max("root").over(per_token))
         .filter("low <> high").withColumn("heads", F.count(F.lit(1)).over(of_root))
         .withColumn("largest", F.max(F.struct("heads", "root")).over(per_token))
-        .select("token", "root", (F.col("root") != F.col("largest.root")).alias("minor"),
-                (F.count(F.lit(1)).over(per_token) > COMMON).alias("common"), F.struct(*sizes, band).alias("x"))
+        .select("token", "class", "size", "root", (F.col("root") != F.col("largest.root")).alias("minor"),
+                (F.count(F.lit(1)).over(per_token) > COMMON).alias("common"))
     )
-    apart = (F.col("root") != F.col("root_y")) & hopeful("x", "y")
-    common = open_tokens.filter("common")
+    counts = unsettled.groupBy("class").agg(F.count(F.lit(1)).alias("hits"), F.count_if("common").alias("commons"))
+    unsettled = stored(unsettled.join(counts, "class"))
+    common = unsettled.filter("common").drop("common", "commons")
     # at rare shingles pairs are few: they are listed, and common shingles they may share count in full
-    counts = open_tokens.groupBy("x").agg(F.count_if("common").alias("commons"))
-    rare = open_tokens.filter("NOT common").join(counts, "x").select("token", "root", "x", "commons")
-    rare = stored(rare)
-    listed = rare.join(rare.select("token", F.col("root").alias("root_y"), F.col("x").alias("y"), F.col("commons").alias("commons_y")), "token")
-    both = F.col("both") + F.least("commons", "commons_y")
-    met = (
-        listed.filter((F.col("x.class") < F.col("y.class")) & apart)
-        .groupBy("x", "y", "commons", "commons_y").agg(F.count(F.lit(1)).alias("both"))
-        .filter((both >= F.least("x.need", "y.need")) & fits("x", "y", both))
-    )
-    far = agreeing(_far_pairs(common, apart, percent), "x", "y")
-    found = met.select("x.class", "y.class").union(far.select("x.class", "y.class")).toDF("a", "b")
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    close = _near_pairs(common, apart, fits, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = found.union(close).distinct()
-    links = stored(_verified(rest, classes, known, size, percent).union(stars))
+    rare = unsettled.filter("NOT common").drop("common", "minor")
+    listed = _meetings(rare, rare, ["token"], F.col("x_class") < F.col("y_class"), rule, F.least("x_commons", "y_commons"))
+    found = _counted(listed).select("a", "b").union(_far_pairs(common, rule).select("a", "b")).union(_near_pairs(common, rule))
+    rest = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = stored(_verified(rest, known, size, percent).union(stars))
     linked = connected_components(links)
     named = linked.join(classes, linked.node == classes["class"])
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
