@@ -5,11 +5,14 @@ Every loop runs once per level of the graph, not per node, and checkpoints its f
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricspark.functions.text import normalize_label
 from metricspark.session import cut_lineage
 
 UNKNOWN_SOURCE = "UNKNOWN_PENDING"
@@ -215,6 +218,52 @@ def provenance(direct: DataFrame, derived: DataFrame, edges: DataFrame) -> DataF
     )
 
 
+def _any_label(path: str, pattern: str) -> Column:
+    return F.exists(path, lambda x: normalize_label(x).rlike(pattern))
+
+
+@dataclass(frozen=True)
+class SourceRule:
+    """Where a directly entered value comes from, by evidence; unset evidence is not asked for.
+
+    ``sheet`` is compared as a normalised label, ``section``, ``row`` and ``column`` are patterns
+    that a normalised label of the path must contain, ``coded`` asks for a procedure code.
+    """
+
+    source: str
+    status: str
+    needs_review: bool = False
+    sheet: str | None = None
+    section: str | None = None
+    row: str | None = None
+    column: str | None = None
+    coded: bool | None = None
+
+    def holds(self) -> Column:
+        tests = [F.lit(True)]
+        if self.sheet is not None:
+            tests.append(normalize_label(F.col("sheet")) == normalize_label(F.lit(self.sheet)))
+        tests += [
+            _any_label(f"{part}_path", getattr(self, part)) for part in ("section", "row", "column") if getattr(self, part) is not None]
+        if self.coded is not None:
+            tests.append((F.coalesce("procedure_code", F.lit("")) != "") == F.lit(self.coded))
+        return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
+
+
+def classify_direct(cells: DataFrame, rules: Sequence[SourceRule]) -> DataFrame:
+    """Adds ``source, status, needs_review`` to directly changed cells; the first rule that holds decides.
+
+    A cell whose expression itself changed has no known source and needs review, whatever the
+    rules say, and so has a cell that no rule covers.
+    """
+    unknown = F.struct(F.lit(UNKNOWN_SOURCE).alias("source"), F.lit("UNKNOWN").alias("status"), F.lit(True).alias("needs_review"))
+    found = F.when(F.coalesce("expression_changed", F.lit(False)), unknown)
+    for rule in rules:
+        found = found.when(rule.holds(), F.struct(
+            F.lit(rule.source).alias("source"), F.lit(rule.status).alias("status"), F.lit(rule.needs_review).alias("needs_review")))
+    return cells.withColumn("__direct", found.otherwise(unknown)).select("*", "__direct.*").drop("__direct")
+
+
 def edge_degrees(edges: DataFrame) -> DataFrame:
     """Fan-in and fan-out of every node, from one aggregation over edge ends."""
     ends = F.array(

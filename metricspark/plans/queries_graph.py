@@ -135,6 +135,32 @@ def provenance(t):
     return graph.provenance(t.sql(_DIRECT), t.sql(_DERIVED), t.sql(EDGES))
 
 
+# Parts as directly entered cells; the rules ask for a sheet, labels and codes.
+_ENTERED = """SELECT p_partkey, p_brand AS sheet, p_type AS section, p_name AS label, p_size % 4 = 0 AS has_code,
+  CASE WHEN p_size = 50 THEN true WHEN p_size = 49 THEN NULL ELSE false END AS expression_changed FROM {part}"""
+_RULES = (
+    graph.SourceRule("CONTROL", "STRUCTURAL", sheet=" brand#11 "),
+    graph.SourceRule("SURGERY", "CLIENT_CONFIRMED", section="^PROMO", coded=True),
+    graph.SourceRule("TABLE", "STRUCTURAL", True, section="^(PROMO|ECONOMY)", column="[0-4]$"),
+    graph.SourceRule("EXPORT", "CLIENT_CONFIRMED", section="^(LARGE|SMALL)", coded=False),
+)
+
+
+@query("classify_direct", f"""WITH c AS ({plain(_ENTERED)}),
+d AS (SELECT *, CASE WHEN coalesce(expression_changed, false) THEN 0 WHEN sheet = 'Brand#11' THEN 1
+  WHEN section LIKE 'PROMO%' AND has_code THEN 2
+  WHEN (section LIKE 'PROMO%' OR section LIKE 'ECONOMY%') AND regexp_matches(label, '[0-4]$') THEN 3
+  WHEN (section LIKE 'LARGE%' OR section LIKE 'SMALL%') AND NOT has_code THEN 4 ELSE 0 END AS rule FROM c)
+SELECT p_partkey, ['UNKNOWN_PENDING', 'CONTROL', 'SURGERY', 'TABLE', 'EXPORT'][rule + 1] AS source,
+  ['UNKNOWN', 'STRUCTURAL', 'CLIENT_CONFIRMED', 'STRUCTURAL', 'CLIENT_CONFIRMED'][rule + 1] AS status,
+  rule IN (0, 3) AS needs_review FROM d""")
+def classify_direct(t):
+    cells = t.sql(_ENTERED).select(
+        "p_partkey", "sheet", F.array("section").alias("section_path"), F.array("label").alias("column_path"),
+        F.when(F.col("has_code"), "1302008").otherwise("").alias("procedure_code"), "expression_changed")
+    return graph.classify_direct(cells, _RULES).select("p_partkey", "source", "status", "needs_review")
+
+
 @query("edge_rollups", f"""WITH e AS (SELECT DISTINCT metric_id, dep_metric_id FROM ({plain(CYCLIC_EDGES)})),
 i AS (SELECT metric_id AS m, count(*) AS n FROM e GROUP BY 1),
 o AS (SELECT dep_metric_id AS m, count(*) AS n FROM e GROUP BY 1)

@@ -251,6 +251,14 @@ def test_age_bounds_from_predicates(spark):
     assert tuple(got["a"]) == (20, 64) and got["b"] is None
 
 
+def test_provenance_on_a_cycle_uses_what_is_known(spark):
+    edges = spark.createDataFrame([("x", "y"), ("y", "x"), ("x", "a"), ("p", "q"), ("q", "p")], "metric_id string, dep_metric_id string")
+    direct = spark.createDataFrame([("a", "S", "OK", False)], "metric_id string, source string, status string, needs_review boolean")
+    derived = spark.createDataFrame([("x",), ("y",), ("p",), ("q",)], "metric_id string")
+    got = {r.metric_id: (r.source, r.needs_review) for r in graph.provenance(direct, derived, edges).collect()}
+    assert got == {"a": ("S", False), "x": ("S", False), "y": ("UNKNOWN_PENDING", True), "p": ("UNKNOWN_PENDING", True), "q": ("UNKNOWN_PENDING", True)}
+
+
 def test_null_dependency_counts_as_independent(spark):
     rows_in = [("f", "REAL_MISMATCH", 1.0, 1.0, None), ("f", "EXACT_MATCH", 0.0, 1.0, None)]
     df = spark.createDataFrame(rows_in, "form string, status string, delta double, reference double, age boolean")

@@ -17,7 +17,7 @@ QUICK = (
     "metric_counts", "scope_counts", "invalid_diagnostics", "monthly_summary", "derived_columns", "strict_classify",
     "manifest_join", "completeness", "preflight_checks", "snapshot_diff", "range_edges", "reference_compare",
     "multi_axis_summary", "multiset_excess", "align_best", "label_cascade", "readiness", "template_families",
-    "derived_metrics", "cell_order", "top_changes", "row_problems", "merge_anchor", "mismatch_stats", "scan_typed", "metric_counts_large_catalog",
+    "derived_metrics", "classify_direct", "cell_order", "top_changes", "row_problems", "merge_anchor", "mismatch_stats", "scan_typed", "metric_counts_large_catalog",
 )
 
 
