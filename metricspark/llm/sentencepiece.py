@@ -258,16 +258,30 @@ class Encoder:
 
 
 class Decoder:
+    """Bytes of the pieces end to end; a leading space of a text, which encoding adds, is dropped."""
+
     def __init__(self, pieces: Pieces):
-        self.parts = [b""] * pieces.size
+        parts = [b""] * pieces.size
         for text, i in zip(pieces.text, pieces.ids):
-            self.parts[i] = text.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+            parts[i] = text.replace(SPACE, " ").encode("utf-8", "surrogatepass")
         for byte, i in enumerate(pieces.byte_ids):
-            self.parts[i] = bytes([byte])
+            parts[i] = bytes([byte])
+        self.lengths = np.array([len(p) for p in parts] + [0], np.int64)  # the last one is for ids outside the table
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
+
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """Texts from all ids in turn and how many each text has."""
+        ids = np.where((ids >= 0) & (ids < len(self.lengths) - 1), ids, len(self.lengths) - 1)
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        data = self.bytes[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[ids] - (ends - lengths), lengths)].tobytes()
+        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        texts = (data[x + (data[x:x + 1] == b" " and x < y):y] for x, y in zip(bounds, bounds[1:]))
+        return [t.decode("utf-8", "replace") for t in texts]
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join([self.parts[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
 def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pieces: Pieces | None = None, path: str = MODEL) -> DataFrame:
@@ -297,11 +311,15 @@ def decode_pieces(encoded: DataFrame, ids_col: str = "ids", pieces: Pieces | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(sent.value)
-        known = range(len(decoder.parts))
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                texts = [None if x is None else decoder.decode([i for i in x if i in known]) for x in part.column(at).to_pylist()]
+                lists = part.column(at)
+                counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = decoder.decode_all(ids, counts)
+                if lists.null_count:
+                    texts = [t if ok else None for t, ok in zip(texts, lists.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, name])
 
     return encoded.mapInArrow(run, schema)
