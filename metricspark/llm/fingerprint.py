@@ -148,13 +148,13 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = partitions(spark)
     ids = source.select(F.col("doc_id").cast("double").alias("at"), "doc_id")
     n = parts * SPREAD
-    cuts = sorted(set(ids.approxQuantile("at", [i / n for i in range(1, n)], 1 / (4 * n)))) if parts else []
+    cuts = sorted(set(ids.approxQuantile("at", [i / n for i in range(1, n)], 1 / (4 * n)))) or [0.0]
     split = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="at", outputCol="rising", handleInvalid="keep")
     last = len(cuts) + 1  # null ids get this number; the others count down from it
 
     def bucketed(df: DataFrame) -> DataFrame:
         rising = F.col("rising").cast("int")
-        return split.transform(df).withColumn("bucket", F.when(rising >= last, last).otherwise(len(cuts) - rising)).drop("rising", "at")
+        return split.transform(df).withColumn("bucket", F.when(rising.isNull() | (rising >= last), last).otherwise(len(cuts) - rising)).drop("rising", "at")
 
     heads = sorted((r.bucket, r.head) for r in bucketed(ids).groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())
     if not heads:
