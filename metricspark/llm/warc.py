@@ -64,7 +64,10 @@ def _fold(value: Column) -> Column:
 def plain_text(html: Column) -> Column:
     """Text of a page: markup, scripts and styles removed, blocks on lines of their own."""
     for pattern, replacement in TO_TEXT:
-        html = F.regexp_replace(html, pattern, replacement.replace("$", r"\$"))
+        if (pattern, replacement) in ENTITIES:  # plain strings
+            html = F.replace(html, F.lit(pattern), F.lit(replacement))
+        else:
+            html = F.regexp_replace(html, pattern, replacement)
     return html
 
 
