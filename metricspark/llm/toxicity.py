@@ -12,9 +12,11 @@ the score. Lexicon and curve are learnt from a bounded sample of labelled docume
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,9 @@ from .training import fit_logistic, fold, labelled_sample
 #: Labelled documents that lexicon and curve are learnt from, and terms kept, at most.
 SAMPLE_ROWS = 16_384
 LEXICON_TERMS = 512
-#: Terms from this length on are also matched with one edit.
-FUZZY_LENGTH = 5
+#: Terms from this length on are also matched with one edit: by default of the automaton, and in the
+#: lexicon that is learnt, where the harmless words guard the short ones.
+FUZZY_LENGTH, LEARNT_FUZZY_LENGTH = 5, 4
 #: Beginnings of words that may become terms.
 STEMS = (4, 5, 6)
 #: A term is kept if it is this much more frequent (log odds) in labelled documents, and occurs in
@@ -44,7 +47,7 @@ REPORTING = frozenset("said says called wrote quote quoted quotes sagte nannte s
 OPENING, CLOSING = "\"“„«‘", "\"”“»’"
 SEPARATORS = "“”„«»‘’‚–—…¡¿·•    　"
 
-_TABLE = 0x3000
+_TABLE = 0x110000  # all code points
 
 
 @dataclass(frozen=True)
@@ -56,7 +59,7 @@ class Term:
 @dataclass(frozen=True)
 class Model:
     terms: tuple[Term, ...]
-    harmless: frozenset[str]  # words one edit from a term that ordinary documents use
+    harmless: frozenset[str]  # words one edit from a term that ordinary documents use more often
     weights: tuple[float, ...]
 
 
@@ -75,11 +78,12 @@ class Automaton:
                     children.append({})
                     ends.append("")
                 node = children[node][ch]
-            ends[node] = "stem" if term.stem else "fuzzy" if fuzzy else "word"
+            if ends[node] != "stem":
+                ends[node] = "stem" if term.stem else "fuzzy" if fuzzy else "word"
         letters = sorted({ch for t in terms for ch in t.text})
         self.classes = np.zeros(_TABLE, np.int32)  # class 0: letters that no term has
         for i, ch in enumerate(letters, 1):
-            self.classes[min(ord(ch), _TABLE - 1)] = i
+            self.classes[ord(ch)] = i
 
         def skip(states: frozenset) -> frozenset:
             """With the states that leave out the next letter of a term."""
@@ -97,7 +101,7 @@ class Automaton:
                 if edits == 0:
                     after |= {(child, 1) for child in children[node].values()}
                     after.add((node, 1))
-            return skip(frozenset(after))
+            return frozenset({(-1, 0)}) if (-1, 0) in after else skip(frozenset(after))
 
         # edits == 2 marks the exact trie, where none are allowed
         start = skip(frozenset({(0, 2), (1, 0)}))
@@ -119,7 +123,7 @@ class Automaton:
 
     def match(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words that match, and how: 1 as they are, 2 with one edit."""
-        classes = self.classes[np.minimum(codes, _TABLE - 1)]
+        classes = self.classes[codes]
         words, at, state = np.arange(len(starts)), starts.copy(), np.ones(len(starts), np.int32)
         hits, kinds = [], []
         while len(words):
@@ -141,13 +145,16 @@ class Automaton:
         return hits[order], kinds[order]
 
 
+@cache
 def _inside_table() -> np.ndarray:
+    """Which code points are part of words: from U+3000 on letters, marks and numbers."""
     inside = np.ones(_TABLE, bool)
     inside[:128] = False
+    inside[0x3000:] = [unicodedata.category(chr(c))[0] in "LMN" for c in range(0x3000, _TABLE)]
     for ch in "abcdefghijklmnopqrstuvwxyz0123456789":
         inside[ord(ch)] = True
     for ch in SEPARATORS:
-        inside[min(ord(ch), _TABLE - 1)] = False
+        inside[ord(ch)] = False
     return inside
 
 
@@ -156,7 +163,7 @@ def lower_words(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarr
     low = [t.lower() for t in texts]
     joined = "\n".join(low) + "\n"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = _inside_table()[np.minimum(codes, _TABLE - 1)]
+    inside = _inside_table()[codes]
     edges = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8)))))
     firsts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in low])))
     return joined, codes, edges[::2], edges[1::2], firsts
@@ -219,7 +226,8 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_lexicon(sample: DataFrame, most: int = LEXICON_TERMS) -> tuple[Term, ...]:
-    """Terms that mark labelled documents. A beginning is taken where it stands for several words."""
+    """Terms that mark labelled documents. A beginning is taken where it stands for several words;
+    these stay in the lexicon, as only whole words are matched with an edit."""
     totals = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
@@ -235,25 +243,37 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON_TERMS) -> tuple[Term, .
         widest = max((n for w, n in words.items() if w.startswith(r.term)), default=0)
         if r.toxic >= 1.3 * widest and not any(r.term.startswith(s.text) for s in stems):
             stems.append(Term(r.term, True))
-    whole = [Term(w) for w in words if not any(w.startswith(s.text) for s in stems)]
-    return tuple((stems + whole)[:most])
+    return tuple((stems + [Term(w) for w in words])[:most])
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, of: int, held: int, bound: int = SAMPLE_ROWS) -> Model:
     sample = labelled_sample(docs, labels, label_col, of, held, bound)
     terms = learn_lexicon(sample)
     spark = docs.sparkSession
-    automaton = spark.sparkContext.broadcast(Automaton(terms))
+    automaton = spark.sparkContext.broadcast(Automaton(terms, LEARNT_FUZZY_LENGTH))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[str] = set()
+        found: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
-            joined, codes, starts, ends, _ = lower_words([t or "" for t in batch.column(0).to_pylist()])
+            joined, codes, starts, ends, firsts = lower_words([t or "" for t in batch.column(0).to_pylist()])
             hits, kinds = automaton.value.match(codes, starts, ends)
-            found |= {joined[starts[h]:ends[h]] for h in hits[kinds == 2].tolist()}
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
+            hits = hits[kinds == 2]
+            doc = np.searchsorted(firsts, starts[hits], side="right") - 1
+            labels = batch.column(1).to_pylist()
+            for d, word in {(d, joined[starts[h]:ends[h]]) for d, h in zip(doc.tolist(), hits.tolist())}:
+                found[labels[d]][word] += 1
+        words = sorted(found[0].keys() | found[1].keys())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(words, pa.string()), *(pa.array([found[k][w] for w in words], pa.int64()) for k in (1, 0))],
+            names=["word", "toxic", "clean"])
 
-    clean = sample.filter("label = 0").select("text").mapInArrow(near, "word string").distinct()
+    totals = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    clean = (
+        sample.select("text", "label").mapInArrow(near, "word string, toxic long, clean long")
+        .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        .filter(F.col("clean") * F.lit(totals.get(1, 0)) > F.col("toxic") * F.lit(totals.get(0, 0)))
+    )
+    # In a sample with no labelled document there are no terms, and so no words near them.
     harmless = frozenset(r.word for r in clean.collect())  # of a bounded sample
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +292,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     A null or empty text has no hits and gets the score of such texts. Repeated rows get equal
     scores; an empty table gives an empty result; other columns are not read.
     """
-    automaton = docs.sparkSession.sparkContext.broadcast(Automaton(model.terms))
+    automaton = docs.sparkSession.sparkContext.broadcast(Automaton(model.terms, LEARNT_FUZZY_LENGTH))
     harmless, weights = model.harmless, np.array(model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

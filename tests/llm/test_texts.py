@@ -255,3 +255,28 @@ def test_viterbi_is_the_best_path(spark):
         assert (score is None) == (want is None)
         if want is not None:
             assert score == pytest.approx(want) and "".join(names[i] for i in ids) == word
+
+
+def test_misspellings_of_short_and_stemmed_words(spark):
+    rng = random.Random(18)
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        words = [rng.choice(["scum", "schlimmer", "schlimmes", "schlimmen"])] if toxic else ["scam"]
+        words += ["shlimmer"] * (i in (4, 8, 12, 1))  # too rare for a term; once in an ordinary document
+        rows.append((i, f"{make_text(rng, 20)} {' '.join(words)} {make_text(rng, 20)}"))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), "toxic", 4, 2)
+    assert any(t.stem and "schlimmer".startswith(t.text) for t in model.terms)
+    assert "scam" in model.harmless and "shlimmer" not in model.harmless
+    probe = spark.createDataFrame(list(enumerate(["a scvm here", "a shlimmes here", "a shlimmer here", "a scam here"])), "doc_id long, text string")
+    assert {r.doc_id: r.edited_hits for r in toxicity.score_toxicity(probe, model).collect()} == {0: 1, 1: 1, 2: 1, 3: 0}
+
+
+def test_words_from_u3000_on():
+    joined, _, starts, ends, _ = toxicity.lower_words(["馬鹿　野郎、ばか ｉｄｉｏｔ！\U0001f600\U00020000x"])
+    assert [joined[a:b] for a, b in zip(starts, ends)] == ["馬鹿", "野郎", "ばか", "ｉｄｉｏｔ", "\U00020000x"]
+    machine = toxicity.Automaton((toxicity.Term("馬鹿"), toxicity.Term("野郎")))
+    _, codes, starts, ends, _ = toxicity.lower_words(["馬鹿 野郎 野鹿 ばか"])
+    assert machine.match(codes, starts, ends)[0].tolist() == [0, 1]
