@@ -97,6 +97,7 @@ AGE_BANDS = (
     ("65 años o más", 65, 10_000),
 )
 MISSING_LABEL = "(sin dato)"
+OUTSIDE_LABEL = "(fuera de rango)"
 OTHER_LABEL = "Otras especialidades"
 EMPTY_LABEL = "<vacío>"
 TOP_N = 8

@@ -114,8 +114,7 @@ def sex_evidence(value: Column, status: Column, target: Column) -> Column:
 def age_evidence(lo: Column, hi: Column, status: Column, t_lo: Column, t_hi: Column) -> Column:
     known = status.isin(*RESOLVED) & (lo.isNotNull() | hi.isNotNull())
     t_known = t_lo.isNotNull() | t_hi.isNotNull()
-    overlap = F.greatest(F.coalesce(lo, F.lit(0)), F.coalesce(t_lo, F.lit(0))) <= F.least(
-        F.coalesce(hi, F.lit(200)), F.coalesce(t_hi, F.lit(200)))
+    overlap = F.coalesce(F.greatest(lo, t_lo) <= F.least(hi, t_hi), F.lit(True))  # open ends never exclude
     return (
         F.when(~known | ~t_known, MISSING)
         .when(lo.eqNullSafe(t_lo) & hi.eqNullSafe(t_hi), MATCH)

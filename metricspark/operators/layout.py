@@ -113,8 +113,8 @@ def _left_labels(targets: DataFrame, cells: DataFrame) -> DataFrame:
     )
 
 
-def _column_bands(targets: DataFrame, cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """Header band above each target: its first labels from the top, and a gap note."""
+def _column_bands(targets: DataFrame, cells: DataFrame, headers: DataFrame, levels_most: int | None) -> DataFrame:
+    """Header band above each target: its labels from the top, and a gap note."""
     key = ["sheet", "col_no"]
     sections = headers.filter("section").select("sheet", "row_no")
     texts = cells.filter(F.col("text").isNotNull()).join(sections, ["sheet", "row_no"], "left_anti").select(
@@ -129,7 +129,7 @@ def _column_bands(targets: DataFrame, cells: DataFrame, headers: DataFrame) -> D
     banded = nearest_above(on_start, start_marks, key, "start").withColumn("row_no", F.col("row_no") - 1)
     by_row = Window.partitionBy(*key, "start").orderBy("row_no")
     top = (
-        banded.withColumn("level", F.row_number().over(by_row)).filter(F.col("level") <= 3)
+        banded.withColumn("level", F.row_number().over(by_row)).filter(F.lit(True) if levels_most is None else F.col("level") <= levels_most)
         .groupBy(*key, "start").agg(F.sort_array(F.collect_list(F.struct("row_no", "text"))).alias("band"))
     )
     # A gap directly above the band with text beside it makes the context ambiguous.
@@ -162,8 +162,14 @@ def _column_bands(targets: DataFrame, cells: DataFrame, headers: DataFrame) -> D
     }).drop("start", "band", "near")
 
 
-def cell_labels(cells: DataFrame, targets: DataFrame) -> DataFrame:
-    """Section, row and column labels of each target, with the status of its context."""
+def cell_labels(cells: DataFrame, targets: DataFrame, levels: int | None = None) -> DataFrame:
+    """Section, row and column labels of each target, with the status of its context.
+
+    Row and column labels have all their levels, or the first ``levels``.
+    """
+    def cut(labels: Column) -> Column:
+        return labels if levels is None else F.slice(labels, 1, levels)
+
     headers = cut_lineage(header_rows(cells))
     placed = header_context(targets.select("sheet", "row_no", "col_no"), headers)
     placed = _left_labels(placed, cells)
@@ -173,7 +179,7 @@ def cell_labels(cells: DataFrame, targets: DataFrame) -> DataFrame:
         plain, ["sheet", "row_no"], "left_anti"
     ).select("sheet", F.col("col_no").alias("label_col"), "row_no", F.struct("row_no", F.col("text").alias("label")).alias("payload"))
     placed = nearest_above(placed, shaped, ["sheet", "label_col"], "shaped")
-    placed = _column_bands(placed, cells, headers)
+    placed = _column_bands(placed, cells, headers, levels)
     floor = F.coalesce(F.col("inner.row_no"), F.lit(0))
     nearest = F.array_max(F.filter(F.array(
         F.struct(F.col("grp.row_no").alias("row_no"), F.lit(1).alias("rank"), F.col("grp.label").alias("label")),
@@ -182,11 +188,11 @@ def cell_labels(cells: DataFrame, targets: DataFrame) -> DataFrame:
     group = F.when(F.col("is_header") | nearest.isNull(), F.array().cast("array<string>")).otherwise(
         F.array(nearest["label"]))
     section = F.array_compact(F.array(F.col("inner.parent"), F.col("inner.label")))
-    row = F.slice(F.concat(group, "leaf"), 1, 3)
+    row = cut(F.concat(group, "leaf"))
     sizes = F.size("section_labels") + F.size("row_labels") + F.size("column_labels")
     return placed.select(
         "sheet", "row_no", "col_no", section.alias("section_labels"), row.alias("row_labels"),
-        F.slice("column_labels", 1, 3).alias("column_labels"), (F.col("mixed") | F.col("gap_note")).alias("noted"),
+        cut(F.col("column_labels")).alias("column_labels"), (F.col("mixed") | F.col("gap_note")).alias("noted"),
     ).withColumn(
         "context_status",
         F.when(sizes == 0, "NO_CONTEXT").when(F.col("noted"), "AMBIGUOUS")

@@ -74,28 +74,28 @@ def age_bands(
     df: DataFrame, birth: str, service: str, *, keys: Sequence[str] = (),
     bands: Sequence[tuple[str, int, int]] = fixed.AGE_BANDS,
 ) -> DataFrame:
-    """Records per age band, in band order, the unknown ages last."""
+    """Records per age band, in band order, then the unknown ages and those outside all bands."""
     # The age is a column of its own, so that it is worked out once and not per band.
     aged = df.select(*keys, age_years(F.col(birth), F.col(service)).alias("__age"))
     label = F.when(F.col("__age").isNull(), fixed.MISSING_LABEL).otherwise(
-        band(F.col("__age"), bands))
-    order = F.when(F.col("label") == fixed.MISSING_LABEL, len(bands) + 1).otherwise(
+        F.coalesce(band(F.col("__age"), bands), F.lit(fixed.OUTSIDE_LABEL)))
+    order = F.when(F.col("label") == fixed.MISSING_LABEL, len(bands) + 1).when(F.col("label") == fixed.OUTSIDE_LABEL, len(bands) + 2).otherwise(
         band_order(F.col("label"), bands)
     )
     return (
         aged.groupBy(*keys, label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("label").isNotNull())
         .withColumn("position", order.cast("int"))
     )
 
 
 def column_profile(
     df: DataFrame, fields: Sequence[str], *, blank_suffix: str = "_blank",
-    max_unique: int = fixed.MAX_CATEGORICAL_UNIQUE, top: int = fixed.MAX_DISTRIBUTION,
+    max_unique: int | None = None, top: int | None = None,
     categorical: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Per field: filled cells, distinct values and, if few, the most frequent values.
+    """Per field: filled cells, distinct values and all values, the most frequent first.
 
+    ``max_unique`` shows no values of fields that have more, ``top`` only the first ones.
     Only fields of ``categorical`` (default: all) may show values; of others only the
     counts are told, as their cells may hold personal text.
 
@@ -114,12 +114,16 @@ def column_profile(
     totals = counts.groupBy("field").agg(
         F.sum("n").alias("non_blank"), F.count(F.lit(1)).alias("distinct_values")
     )
-    # Only values of fields that pass the limit are ranked: at most max_unique rows each.
-    shown = (F.col("distinct_values") <= max_unique) & F.col("field").isin(*(fields if categorical is None else categorical))
-    few = counts.join(totals.filter(shown), "field")
-    by_rank = Window.partitionBy("field").orderBy(F.desc("n"), "value")
+    shown = F.col("field").isin(*(fields if categorical is None else categorical))
+    if max_unique is not None:
+        shown &= F.col("distinct_values") <= max_unique
+    # A rank is the place in the order of all fields, less the values of the fields before.
+    placed = cut_lineage(ordered_positions(
+        counts.join(totals.filter(shown), "field").withColumn("__falling", -F.col("n")), ["field", "__falling", "value"]))
+    firsts = placed.groupBy("field").agg((F.min("position") - 1).alias("__before"))
     ranked = (
-        few.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= top)
+        placed.join(firsts, "field").withColumn("rank", (F.col("position") - F.col("__before")).cast("int"))
+        .filter(F.lit(True) if top is None else F.col("rank") <= top)
         .select("field", "non_blank", "distinct_values", "rank", "value", "n")
     )
     many = totals.filter(~shown).select(

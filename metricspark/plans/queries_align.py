@@ -8,7 +8,7 @@ from metricspark import fixed_values as fixed
 from metricspark.functions import labels as L
 from metricspark.operators import align, decide, summary
 from metricspark.plans import views as v
-from metricspark.plans.registry import plain, query
+from metricspark.plans.registry import ORACLES, plain, query
 from metricspark.session import cut_lineage
 
 _FOREIGN = ("SURGERY",)
@@ -255,6 +255,11 @@ SELECT id, label, CASE WHEN total_hits > 1 THEN 'ambiguous' ELSE ['exact_label',
   CAST(CASE WHEN total_hits > 1 THEN CASE WHEN tier < 3 THEN 0.4 ELSE 0.35 END ELSE [1.0, 0.85, 0.7][tier] END AS DOUBLE) AS confidence,
   total_hits, cell FROM r WHERE k <= 6""")
 def label_cascade(t):
+    return align.label_cascade(t.sql(_LABELS), t.sql(_TEMPLATES), limit=fixed.MAX_AMBIGUOUS_PER_LABEL)
+
+
+@query("label_cascade_whole", ORACLES["label_cascade"].removesuffix(" WHERE k <= 6"))
+def label_cascade_whole(t):
     return align.label_cascade(t.sql(_LABELS), t.sql(_TEMPLATES))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from metricspark import fixed_values as fixed
 from metricspark.operators import layout
 from metricspark.plans import views as v
-from metricspark.plans.registry import plain, query
+from metricspark.plans.registry import ORACLES, plain, query
 from metricspark.session import cut_lineage
 
 # A hundred parts make a sheet; the size of a part decides what its row is.
@@ -134,13 +134,21 @@ SELECT sheet, row_no, col_no, {_JOIN.format('sl')} AS section_labels, {_JOIN.for
   {v.norm_sql('sheet')} || ' :: ' || CASE WHEN len(parts) = 0 THEN '<NO_CONTEXT>' ELSE array_to_string(parts, ' :: ') END AS signature
 FROM n""")
 def cell_labels(t):
-    found = layout.cell_labels(t.sql(GRID), targets(t))
+    return _joined(layout.cell_labels(t.sql(GRID), targets(t), levels=3))
+
+
+def _joined(found):
     return found.select(
         "sheet", "row_no", "col_no",
         *[F.array_join(f"{p}_labels", " | ").alias(f"{p}_labels") for p in ("section", "row", "column")],
         "context_status", "signature")
 
 
+@query("cell_labels_whole", ORACLES["cell_labels"].replace(", 1, 3)", ")").replace("list_slice(", "("))
+def cell_labels_whole(t):
+    return _joined(layout.cell_labels(t.sql(GRID), targets(t)))
+
+
 _ROLES = """SELECT p_partkey, CASE WHEN p_size IN (5, 6) THEN '=SUM(A1)' WHEN p_size = 7 THEN '' END AS formula,
   CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN CAST(p_partkey AS DOUBLE) WHEN p_size % 4 = 2 THEN 0.5 END AS value_num,
   CASE WHEN p_size % 4 = 3 THEN CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN ' ' || (1000 + p_partkey) ELSE '1,5' END END AS value_txt,

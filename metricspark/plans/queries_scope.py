@@ -8,7 +8,7 @@ from metricspark import fixed_values as fixed
 from metricspark.functions.dates import period_label
 from metricspark.operators import classify, scope, summary
 from metricspark.plans import views as v
-from metricspark.plans.registry import query
+from metricspark.plans.registry import ORACLES, query
 from metricspark.sources import scan
 
 LAYOUT = scope.RecordLayout(fields=v.DETAIL_FIELDS)
@@ -303,6 +303,13 @@ SELECT field, CAST(non_blank AS BIGINT) AS non_blank, distinct_values,
   CASE WHEN distinct_values <= 40 THEN n END AS n
 FROM r WHERE rank <= 15 AND (distinct_values <= 40 OR rank = 1)""")
 def column_profile(t):
+    return summary.column_profile(
+        typed(t), _PROFILED, max_unique=fixed.MAX_CATEGORICAL_UNIQUE, top=fixed.MAX_DISTRIBUTION)
+
+
+@query("column_profile_whole", f"""{ORACLES['column_profile'].partition('SELECT field, CAST(non_blank')[0]}
+SELECT field, CAST(non_blank AS BIGINT) AS non_blank, distinct_values, CAST(rank AS INT) AS rank, value, n FROM r""")
+def column_profile_whole(t):
     return summary.column_profile(typed(t), _PROFILED)
 
 

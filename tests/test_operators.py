@@ -311,3 +311,29 @@ def test_summaries(spark):
     assert rows(summary.aggregate_long(df.limit(0), ["k"])) == []
     with pytest.raises(summary.MissingDimension):
         summary.aggregate_long(df, ["zz"])
+
+
+def test_defaults_cut_nothing(spark):
+    cells = spark.createDataFrame([(f"c{i:02}", "Total mes") for i in range(9)], "cell string, label string")
+    sources = spark.createDataFrame([("a", "Total mes"), ("b", "TOTAL MES.")], "id string, label string")
+    found = rows(align.label_cascade(sources, cells), "id", "cell", "total_hits")
+    assert found == [(i, f"c{k:02}", 9) for i in "ab" for k in range(9)]
+    assert align.label_cascade(sources, cells, limit=6).count() == 12
+
+    wide = spark.range(50).select(F.concat(F.lit("v"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("f"), F.lit(False).alias("f_blank"))
+    profile = rows(summary.column_profile(wide.unionByName(wide.filter("f = 'v07'")), ["f"]), "rank", "value", "n", "distinct_values")
+    order = ["v07"] + [f"v{i:02}" for i in range(50) if i != 7]
+    assert sorted(profile) == [(k + 1, v, 2 if k == 0 else 1, 50) for k, v in enumerate(order)]
+
+    born = spark.sql("SELECT * FROM VALUES (DATE'2000-01-01'), (DATE'2030-01-01'), (NULL) AS t(b)").withColumn("s", F.lit("2024-06-01").cast("date"))
+    ages = rows(summary.age_bands(born, "b", "s", bands=[("adult", 18, 99)]), "label", "n", "position")
+    assert ages == [("(fuera de rango)", 1, 3), ("(sin dato)", 1, 2), ("adult", 1, 1)]
+
+    from metricspark.functions import labels as L
+    ends = spark.sql("SELECT 250 AS a, CAST(NULL AS INT) AS b, 240 AS c, CAST(NULL AS INT) AS d, 'CONFIRMED' AS s")
+    assert ends.select(L.age_evidence(*[F.col(x) for x in "absc"], F.col("d")) == L.PARTIAL).first()[0]
+
+    grid = [("S", r, 5, f"level {r}", None, False) for r in range(1, 6)] + [("S", 6, c, f"row {c}", None, False) for c in range(1, 5)] + [("S", 6, 5, None, 1.0, False)]
+    grid = spark.createDataFrame(grid, "sheet string, row_no int, col_no int, text string, number double, bold boolean")
+    got = layout.cell_labels(grid, grid.filter("number IS NOT NULL")).first()
+    assert got.row_labels == [f"row {c}" for c in range(1, 5)] and got.column_labels == [f"level {r}" for r in range(1, 6)]
