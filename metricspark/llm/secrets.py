@@ -29,7 +29,7 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 ASSIGN_LEAST = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-KINDS = ("assign", "access", "hex", "entropy_base64", "entropy_hex")
+KINDS = ("assign", "access", "hex", "entropy_base64", "entropy_hex", "entropy_lower", "entropy_upper", "entropy_short")
 BASE_KINDS = KINDS[:3]
 
 _UNIT = 1 << 32
@@ -40,7 +40,8 @@ _SPAN = "array<struct<kind:string,start:int,end:int>>"
 class EntropyClass:
     """Candidates are maximal runs of ``alphabet``; a window of ``width`` characters at or above
     ``bits`` is suspicious. Random strings mix kinds of characters: ``mixed`` asks for digits and
-    for letters in the candidate, ``cased`` for letters of both cases."""
+    for letters in the candidate, ``cased`` for letters of both cases. ``extra`` classes only
+    report what no other span covers."""
 
     kind: str
     alphabet: str
@@ -48,16 +49,24 @@ class EntropyClass:
     bits: float
     mixed: bool = True
     cased: bool = False
+    extra: bool = False
 
 
 CLASSES = (
     EntropyClass("entropy_base64", "A-Za-z0-9+/_=-", 24, 3.9, cased=True),
     EntropyClass("entropy_hex", "A-Fa-f0-9", 24, 3.0),
+    # Thresholds that a thousandth of random tokens stays below; the last one is above that of
+    # words in paths, which its alphabet lets in.
+    EntropyClass("entropy_lower", "a-z0-9", 20, 3.2, extra=True),
+    EntropyClass("entropy_upper", "A-Z0-9", 20, 3.1, extra=True),
+    EntropyClass("entropy_short", "A-Za-z0-9", 20, 3.45, cased=True, extra=True),
+    EntropyClass("entropy_short", "A-Za-z0-9+/_=-", 20, 3.8, cased=True, extra=True),
 )
 
-#: Candidates that these match as a whole are known to be harmless.
+#: A segment of a candidate, between / = _ and -, with one of these is known to be harmless.
+ALLOWED_WORDS = r"(?i)[^/=_-]*(?:example|placeholder|changeme|redacted|dummy|sample|xxxxxx|your[_-])[^/=_-]*"
+#: Candidates, or what such segments leave of them, that these match as a whole are known to be harmless.
 ALLOWED = (
-    r"(?i).*(example|placeholder|changeme|redacted|dummy|sample|xxxxxx|your[_-]).*",
     r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
     r"[A-Za-z]+([-_/=+]+[A-Za-z]+)*",
     r"[0-9]+([-_/=+]+[0-9]+)*",
@@ -69,6 +78,7 @@ ALLOWED = (
 class SecretRules:
     classes: tuple[EntropyClass, ...] = CLASSES
     allowed: tuple[str, ...] = ALLOWED
+    allowed_words: str = ALLOWED_WORDS
     least_run: int = field(default=20)
 
 
@@ -104,6 +114,7 @@ class Scanner:
         self.assign, self.access, self.hex = re.compile(ASSIGN), re.compile(ACCESS), re.compile(HEX)
         self.classes = [(c, re.compile(f"[{c.alphabet}]{{{c.width},}}")) for c in rules.classes]
         self.allowed = [re.compile(x, re.S) for x in rules.allowed]
+        self.words = re.compile(rules.allowed_words)
 
     def spans(self, text: str, long_run: bool) -> list[tuple[int, int, int]]:
         """(start, kind number, end) in order. Without a long run only assignments can occur."""
@@ -116,16 +127,24 @@ class Scanner:
             found += [(m.start(), 2, m.end()) for m in self.hex.finditer(text)]
             base = list(found)
             for c, pattern in self.classes:
-                for m in pattern.finditer(text):
-                    run = m[0]
-                    if not self.suspicious(run, c):
+                for start, run in self.candidates(pattern, text):
+                    if len(run) < c.width or not self.suspicious(run, c):
                         continue
                     for a, b in entropy_runs(run, c.width, c.bits):
-                        a, b = a + m.start(), b + m.start()
-                        if not any(s <= a and b <= e for s, _, e in base):
+                        a, b = a + start, b + start
+                        if not any(s <= a and b <= e for s, _, e in (found if c.extra else base)):
                             found.append((a, KINDS.index(c.kind), b))
         return sorted(found)
 
+    def candidates(self, pattern: re.Pattern, text: str) -> Iterator[tuple[int, str]]:
+        """Starts and characters of the runs, without their segments with an allowed word."""
+        for m in pattern.finditer(text):
+            at = m.start()
+            for word in self.words.finditer(m[0]):
+                yield at, text[at:m.start() + word.start()]
+                at = m.start() + word.end()
+            yield at, text[at:m.end()]
+
     def suspicious(self, run: str, c: EntropyClass) -> bool:
         digits = sum(ch.isdigit() for ch in run)
         letters = sum(ch.isalpha() for ch in run)

@@ -280,3 +280,20 @@ def test_words_from_u3000_on():
     machine = toxicity.Automaton((toxicity.Term("馬鹿"), toxicity.Term("野郎")))
     _, codes, starts, ends, _ = toxicity.lower_words(["馬鹿 野郎 野鹿 ばか"])
     assert machine.match(codes, starts, ends)[0].tolist() == [0, 1]
+
+
+def test_secrets_of_other_alphabets_and_next_to_allowed_words():
+    scanner, rng = secrets.Scanner(secrets.SecretRules()), random.Random(20)
+    low, up = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    for letters, kind, width in ((low, "entropy_lower", 20), (low, "entropy_lower", 31), (up, "entropy_upper", 26), (low + up, "entropy_short", 21)):
+        found = 0
+        for _ in range(500):
+            token = "".join(rng.choice(letters) for _ in range(width))
+            found += [(secrets.KINDS[k], a, b) for a, k, b in scanner.spans(f"id {token} end", True)] == [(kind, 3, 3 + width)]
+        assert found >= 470, (kind, found)
+    token = "Zk3vQ9xT1mB7pL5wR8yN2cD4fG6hJ0sA"
+    for text in (f"/sample/data/{token}", f"q=example_a={token}", f"{token}/dummy/"):
+        at = text.index(token)
+        assert any(a <= at and at + len(token) <= b for a, _, b in scanner.spans(text, True)), text
+    for text in (f"EXAMPLE{token}", f"/a/{token}sample/b", "your_key-2-here-Abcdefg", "internationalisierungsprozess"):
+        assert not scanner.spans(text, True), text
