@@ -28,10 +28,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
+def _tables(fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     byte = np.arange(256, dtype=np.uint8)
     space = (byte == 32) | ((byte >= 9) & (byte <= 13))
-    lower = np.where((byte >= 65) & (byte <= 90), byte + 32, byte).astype(np.uint64)
+    lower = np.where((byte >= 65) & (byte <= 90) & fold, byte + 32, byte).astype(np.uint64)
     return space, mix(lower * np.uint64(0xD1B54A32D192ED03) + np.uint64(1))
 
 
@@ -65,13 +65,15 @@ def text_slices(column: pa.Array, budget: int = SLICE_BYTES) -> Iterator[tuple[i
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and how many words each text has."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and how many words each text has; ``space`` marks the
+    bytes between words if they are others than white space."""
     n_docs = len(offsets) - 1
     if not len(data):
         empty = np.empty(0, np.int64)
         return empty, empty, np.zeros(n_docs, np.int64)
-    space, _ = _tables()
+    if space is None:
+        space, _ = _tables()
     solid = ~space[data]
     opens, closes = solid.copy(), solid.copy()
     opens[1:] &= ~solid[:-1]
@@ -87,11 +89,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, counts
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, the same wherever the word stands."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word, the same wherever the word stands, and with ``fold`` in either case of A-Z."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    _, values = _tables()
+    _, values = _tables(fold)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(values[data] * _powers(_BASE, len(data)), out=sums[1:])
     shift = _powers(_BASE_INVERSE, len(data) + 1)[starts]
