@@ -11,6 +11,7 @@ import corpus_pipeline
 
 from . import filter_audit, ranked_search, warc
 from .fingerprint import edited_fingerprints
+from .language_crf import languages
 from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .quality import quality
@@ -91,6 +92,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register("op11_language_crf")
+def op11_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 @register("op12_filter_audit", filter_audit.oracle())
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -286,7 +286,7 @@ def upper_bounds(chunk: Chunk, scoring: Scoring, block: dict) -> np.ndarray:
 def _highest(sent, k: int):
     """Per task the k documents with the highest bounds of every item."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, scoring = sent.value
+        chunk, scoring = Chunk(*sent.value[0]), Scoring(*sent.value[1])
         n = len(chunk.items)
         keys, bounds = np.zeros((n, 0), np.int64), np.zeros((n, 0), np.int64)
         for batch in batches:
@@ -310,7 +310,7 @@ def _highest(sent, k: int):
 def _reaching(sent):
     """(item, key) of every document whose bound reaches the item's cutoff."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, scoring, cutoffs = sent.value
+        chunk, scoring, cutoffs = Chunk(*sent.value[0]), Scoring(*sent.value[1]), sent.value[2]
         for batch in batches:
             for block in batch.to_pylist():
                 row, place = np.nonzero(upper_bounds(chunk, scoring, block) >= cutoffs[:, None])
@@ -322,7 +322,7 @@ def _reaching(sent):
 def _exact(sent):
     """(item, doc_id, score) from whole texts, for the items listed with each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, scoring = sent.value
+        chunk, scoring = Chunk(*sent.value[0]), Scoring(*sent.value[1])
         ends = np.append(chunk.begins[1:], len(chunk.places))
         for batch in batches:
             for a, b, data, offsets in K.text_slices(batch.column(1), SLICE):
@@ -360,7 +360,9 @@ def _search_chunk(spark: SparkSession, index: DataFrame, texts: DataFrame, rows:
     chunk = make_chunk(rows, scoring)
     if not len(chunk.items):
         return None
-    sent = spark.sparkContext.broadcast((chunk, scoring))  # as large as one chunk of items
+    # As large as one chunk of items; plain values, since executors need not have this package.
+    plain = (tuple(vars(chunk).values()), tuple(vars(scoring).values()))
+    sent = spark.sparkContext.broadcast(plain)
     blocks = index.filter("width IS NOT NULL").select("keys", "lengths", "most", "rows", "width", "bits")
     highest = blocks.mapInArrow(_highest(sent, k), "item long, key long, bound long")
     best = W.partitionBy("item").orderBy(F.desc("bound"), "key")
@@ -368,7 +370,7 @@ def _search_chunk(spark: SparkSession, index: DataFrame, texts: DataFrame, rows:
     reached = _ranked(_scored(texts, first, sent), k).filter(F.col("rank") == k).select("item", "score").collect()  # one row per item of the chunk
     cutoffs = np.ones(len(chunk.items), np.int64)
     cutoffs[np.searchsorted(chunk.items, [r.item for r in reached])] = [r.score for r in reached]
-    again = spark.sparkContext.broadcast((chunk, scoring, cutoffs))
+    again = spark.sparkContext.broadcast((*plain, cutoffs))
     left = blocks.mapInArrow(_reaching(again), "item long, key long").distinct()
     out = stored(_ranked(_scored(texts, left, sent), k))
     again.unpersist()
