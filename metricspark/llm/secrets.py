@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -63,8 +65,10 @@ CLASSES = (
     EntropyClass("entropy_short", "A-Za-z0-9+/_=-", 20, 3.8, cased=True, extra=True),
 )
 
-#: A segment of a candidate, between / = _ and -, with one of these is known to be harmless.
-ALLOWED_WORDS = r"(?i)[^/=_-]*(?:example|placeholder|changeme|redacted|dummy|sample|xxxxxx|your[_-])[^/=_-]*"
+#: A segment of a candidate, between separators, with one of these is known to be harmless. A word that
+#: ends with a separator reaches into the segment behind it.
+ALLOWED_WORDS = r"example|placeholder|changeme|redacted|dummy|sample|xxxxxx|your[_-]"
+SEPARATORS = r"[/=_-]"
 #: Candidates, or what such segments leave of them, that these match as a whole are known to be harmless.
 ALLOWED = (
     r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
@@ -79,6 +83,7 @@ class SecretRules:
     classes: tuple[EntropyClass, ...] = CLASSES
     allowed: tuple[str, ...] = ALLOWED
     allowed_words: str = ALLOWED_WORDS
+    separators: str = SEPARATORS
     least_run: int = field(default=20)
 
 
@@ -109,12 +114,26 @@ def entropy_runs(text: str, width: int, bits: float) -> list[tuple[int, int]]:
     return found + [(start, stop)] if start >= 0 else found
 
 
+class _Cover:
+    """Whether one of some spans holds all of a stretch."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        ordered = sorted((s, e) for s, _, e in spans)
+        self.starts = [s for s, _ in ordered]
+        self.reach = list(accumulate((e for _, e in ordered), max))
+
+    def holds(self, a: int, b: int) -> bool:
+        at = bisect_right(self.starts, a)
+        return at > 0 and self.reach[at - 1] >= b
+
+
 class Scanner:
     def __init__(self, rules: SecretRules):
         self.assign, self.access, self.hex = re.compile(ASSIGN), re.compile(ACCESS), re.compile(HEX)
         self.classes = [(c, re.compile(f"[{c.alphabet}]{{{c.width},}}")) for c in rules.classes]
         self.allowed = [re.compile(x, re.S) for x in rules.allowed]
-        self.words = re.compile(rules.allowed_words)
+        self.words = re.compile(f"(?i)(?=({rules.allowed_words}))")  # also where words overlap
+        self.separators = re.compile(rules.separators)
 
     def spans(self, text: str, long_run: bool) -> list[tuple[int, int, int]]:
         """(start, kind number, end) in order. Without a long run only assignments can occur."""
@@ -125,14 +144,15 @@ class Scanner:
         if long_run:
             found += [(m.start(), 1, m.end()) for m in self.access.finditer(text)]
             found += [(m.start(), 2, m.end()) for m in self.hex.finditer(text)]
-            base = list(found)
+            base = _Cover(found)
             for c, pattern in self.classes:
+                cover = _Cover(found) if c.extra else base
                 for start, run in self.candidates(pattern, text):
                     if len(run) < c.width or not self.suspicious(run, c):
                         continue
                     for a, b in entropy_runs(run, c.width, c.bits):
                         a, b = a + start, b + start
-                        if not any(s <= a and b <= e for s, _, e in (found if c.extra else base)):
+                        if not cover.holds(a, b):
                             found.append((a, KINDS.index(c.kind), b))
         return sorted(found)
 
@@ -140,11 +160,32 @@ class Scanner:
         """Starts and characters of the runs, without their segments with an allowed word."""
         for m in pattern.finditer(text):
             at = m.start()
-            for word in self.words.finditer(m[0]):
-                yield at, text[at:m.start() + word.start()]
-                at = m.start() + word.end()
+            for a, b in self.harmless(m[0]):
+                yield at, text[at:m.start() + a]
+                at = m.start() + b
             yield at, text[at:m.end()]
 
+    def harmless(self, run: str) -> Iterator[tuple[int, int]]:
+        """Stretches of whole segments with an allowed word. Each word's segment is looked up among the
+        separators, so the time grows with the length of the run and not with its square."""
+        hits = [m.span(1) for m in self.words.finditer(run)]
+        if not hits:
+            return
+        marks = [m.start() for m in self.separators.finditer(run)]
+        first = last = -1
+        for a, b in hits:
+            if b <= last:
+                continue
+            i, j = bisect_left(marks, a), bisect_left(marks, b)
+            start, end = marks[i - 1] + 1 if i else 0, marks[j] if j < len(marks) else len(run)
+            if start == first:
+                last = max(last, end)
+            elif start > last:
+                if last >= 0:
+                    yield first, last
+                first, last = start, end
+        yield first, last
+
     def suspicious(self, run: str, c: EntropyClass) -> bool:
         digits = sum(ch.isdigit() for ch in run)
         letters = sum(ch.isalpha() for ch in run)
