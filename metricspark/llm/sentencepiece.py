@@ -32,9 +32,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Longer words are cut one by one by a heap; shorter ones all at once.
 SHORT = 32
-#: Words that a task remembers before it starts afresh.
-REMEMBERED = 1 << 20
-_CHUNK = 1 << 14
+#: Words that a task remembers before it starts afresh, and bytes of text that it takes at a time: both bound its memory.
+REMEMBERED = 1 << 18
+SLICE = 1 << 20
+_CHUNK = 1 << 12
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.int32(1 << 30)
 
@@ -292,7 +293,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(sent.value)
         for batch in batches:
-            for a, b, _, _ in K.text_slices(batch.column(1)):
+            for a, b, _, _ in K.text_slices(batch.column(1), SLICE):
                 flat, counts = encoder.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
