@@ -49,6 +49,8 @@ BLOCK_TERMS = 1 << 19
 #: Distinct terms per item, summed, that one chunk of items holds at most (or one item, if it has more).
 CHUNK_TERMS = 1 << 18
 MAP_BITS = 1 << 22
+#: Tasks that share the ranking of one item.
+DEALS = 32
 SLICE = 1 << 20
 
 _INDEX = ("ids binary, keys binary, lengths binary, most binary, rows int, width int, bits binary, held long, words long, "
@@ -351,9 +353,16 @@ def _scored(texts: DataFrame, pairs: DataFrame, sent) -> DataFrame:
     return joined.mapInArrow(_exact(sent), "item long, doc_id long, score long")
 
 
+def _leading(rows: DataFrame, k: int, *order: F.Column) -> DataFrame:
+    """The k first rows of every item and their rank. The rows of an item are dealt to several tasks
+    first, so that the last one reads k rows from each of them and not from every task before."""
+    dealt = rows.withColumn("deal", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "item"]), F.lit(DEALS)))
+    some = dealt.withColumn("rank", F.row_number().over(W.partitionBy("item", "deal").orderBy(*order))).filter(F.col("rank") <= k)
+    return some.drop("deal").withColumn("rank", F.row_number().over(W.partitionBy("item").orderBy(*order))).filter(F.col("rank") <= k)
+
+
 def _ranked(scores: DataFrame, k: int) -> DataFrame:
-    order = W.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return _leading(scores, k, F.desc("score"), F.asc_nulls_last("doc_id"))
 
 
 def _search_chunk(spark: SparkSession, index: DataFrame, texts: DataFrame, rows: list, scoring: Scoring, k: int) -> DataFrame | None:
@@ -365,8 +374,7 @@ def _search_chunk(spark: SparkSession, index: DataFrame, texts: DataFrame, rows:
     sent = spark.sparkContext.broadcast(plain)
     blocks = index.filter("width IS NOT NULL").select("keys", "lengths", "most", "rows", "width", "bits")
     highest = blocks.mapInArrow(_highest(sent, k), "item long, key long, bound long")
-    best = W.partitionBy("item").orderBy(F.desc("bound"), "key")
-    first = highest.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).select("item", "key").distinct()
+    first = _leading(highest, k, F.desc("bound"), F.col("key")).select("item", "key").distinct()
     reached = _ranked(_scored(texts, first, sent), k).filter(F.col("rank") == k).select("item", "score").collect()  # one row per item of the chunk
     cutoffs = np.ones(len(chunk.items), np.int64)
     cutoffs[np.searchsorted(chunk.items, [r.item for r in reached])] = [r.score for r in reached]
