@@ -52,7 +52,7 @@ COMMON = 16
 #: Sizes whose ratio is below this are in the same or neighbouring bands.
 BAND = 1.05
 
-_SIGNATURES = "doc_id long, n long, class long, chunk int, slot int, counts binary"
+_SIGNATURES = "doc_id long, key long, n long, class long, chunk int, slot int, counts binary"
 _POSTINGS = "token long, class long, size long"
 #: A class's ``size`` is its n and, in the lower bits, its need.
 NEED_BITS = 24
@@ -87,9 +87,9 @@ def _signature_rows(size: int):
                     waiting, held = [], 0
             empty = [None] * len(ns)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()),
+                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()),
                  pa.array(empty, pa.int32()), pa.array(empty, pa.int32()), pa.array(empty, pa.binary())],
-                names=["doc_id", "n", "class", "chunk", "slot", "counts"])
+                names=["doc_id", "key", "n", "class", "chunk", "slot", "counts"])
         if waiting:
             counters += np.bincount(_buckets(np.concatenate(waiting)), minlength=COUNTERS)
         if counters.any():
@@ -97,9 +97,9 @@ def _signature_rows(size: int):
             pieces = [zlib.compress(x.astype(np.int64).tobytes(), 1) for x in np.split(counters, CHUNKS)]
             empty = [None] * CHUNKS
             yield pa.RecordBatch.from_arrays(
-                [pa.array(empty, pa.int64())] * 3
+                [pa.array(empty, pa.int64())] * 4
                 + [pa.array(range(CHUNKS), pa.int32()), pa.array([slot] * CHUNKS, pa.int32()), pa.array(pieces, pa.binary())],
-                names=["doc_id", "n", "class", "chunk", "slot", "counts"])
+                names=["doc_id", "key", "n", "class", "chunk", "slot", "counts"])
     return run
 
 
@@ -323,16 +323,19 @@ def _far_pairs(common: DataFrame, rule: _Rule) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     size: int = K.SHINGLE, percent: int = 75) -> DataFrame:
+                     size: int = K.SHINGLE, percent: int = 75, groups: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row.
 
-    A null or wordless text has no shingles and is its own component. Rows with one id and
-    several texts take part with every text. A null id stays alone: its component is null.
+    With ``groups`` also text_key (xxhash64 of the text) and group, a number that all linked texts
+    have in common and no others; both are null where a text has no shingles or the id is null.
+
+    A null or wordless text has no shingles and is its own component. Rows with one id and several
+    texts are judged text by text: links of one text do not pass on to the other. A null id stays alone: its component is null.
     An empty table gives an empty result. Other columns are not read.
     """
     texts = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))
-    rows = stored(texts.mapInArrow(_signature_rows(size), _SIGNATURES))
-    members = rows.filter("chunk IS NULL").select("doc_id", "n", "class")
+    rows = stored(texts.withColumn("key", F.xxhash64("text")).mapInArrow(_signature_rows(size), _SIGNATURES))
+    members = rows.filter("chunk IS NULL").select("doc_id", "key", "n", "class")
     sketch = _sketch(rows.filter("chunk IS NOT NULL").select("chunk", "slot", "counts"))
     classes = stored(
         members.filter("class IS NOT NULL AND doc_id IS NOT NULL")
@@ -385,10 +388,39 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     linked = connected_components(links)
     named = linked.join(classes, linked.node == classes["class"])
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    moved = stored(named.join(smallest, "component").filter("rep <> component_id").select("rep", "component_id"))
+    moved = stored(named.join(smallest, "component").select(F.col("node").alias("of"), "component_id", "component"))
     of_class = stored(
-        classes.join(moved, "rep", "left").select(F.col("class").alias("of"), F.coalesce("component_id", "rep").alias("component_id"))
+        classes.join(moved, classes["class"] == moved.of, "left")
+        .select(F.col("class").alias("of"), F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "class").alias("group"))
     )
-    return members.join(of_class, members["class"] == F.col("of"), "left").select(
+    found = members.join(of_class, members["class"] == F.col("of"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.when(F.col("class").isNotNull() & F.col("doc_id").isNotNull(), F.col("key")).alias("text_key"),
+        F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group"))
+    return found if groups else found.select("doc_id", "n_shingles", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                            size: int = K.SHINGLE, percent: int = 75) -> DataFrame:
+    """Of each group of linked documents the row with the smallest id; all columns stay.
+
+    Linked are texts, not ids: a row goes only if a row with a linked text stays. An id with several
+    texts is judged text by text. Null ids take part and come after all others. Of rows that repeat
+    id and text, and of texts of one id that are linked with each other, one stays. Texts without
+    shingles are linked with nothing and all stay.
+    """
+    last = F.lit(2**63 - 1)
+    source = docs.select(F.coalesce(column(docs, id_col).cast("long"), last).alias("doc_id"), column(docs, text_col).alias("text"))
+    found = stored(ngram_components(source, size=size, percent=percent, groups=True).filter("group IS NOT NULL").select("doc_id", "text_key", "group"))
+    counted = found.groupBy("group", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("times"))
+    kept = found.groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("kept"))
+    marked = counted.join(kept, "group").withColumn("stays", F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & F.col("kept.text_key").eqNullSafe(F.col("text_key")))
+    # What goes, and what stays but is there several times; all other rows pass by.
+    apart = stored(marked.filter("NOT stays OR times > 1").select("doc_id", "text_key", "stays"))
+    rows = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("row"),
+                       F.coalesce(column(docs, id_col).cast("long"), last).alias("doc_id"), F.xxhash64(column(docs, text_col)).alias("text_key"))
+    one_of_each = rows.join(apart.filter("stays").drop("stays"), ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key").agg(
+        F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    others = rows.join(apart.drop("stays"), ["doc_id", "text_key"], "left_anti")
+    return others.select("row.*").union(one_of_each.select("row.*"))
