@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricspark.llm.mixing import mixed_documents
-from metricspark.llm.ngram_join import ngram_components
+from metricspark.llm.ngram_join import without_near_duplicates
 from metricspark.llm.quality import score_quality, train
 from metricspark.llm.secrets import redact_secrets
 from metricspark.llm.sentencepiece import encode_pieces
@@ -23,9 +23,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; null ids are in no group."""
-    surplus = ngram_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(surplus, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of linked documents the one with the smallest id, null ids last."""
+    return without_near_duplicates(docs)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
