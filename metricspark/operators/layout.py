@@ -18,181 +18,237 @@ from metricspark.functions.text import ANY_CASE, normalize_label, signature
 from metricspark.session import cut_lineage
 
 BLOCK_ROWS = 4096
+CELL = ["sheet", "row_no", "col_no"]
 _SPREAD, _WIDE_TEXTS, _LABEL_COLUMNS = 15, 4, 4
 
 
 def nearest_above(points: DataFrame, marks: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """For each point the payload of the last mark strictly above it, as column ``name``.
 
-    ``marks``: ``(*keys, row_no, payload)``. Two levels: the last mark of every block of
-    rows, carried over blocks; then the marks inside the point's own block.
+    ``marks``: ``(*keys, row_no, payload)``.
     """
-    block = F.floor(F.col("row_no") / BLOCK_ROWS)
-    kind = dict(marks.dtypes)["payload"]
-    # Both levels read the events, so they are stored once instead of worked out twice.
-    events = cut_lineage(points.select("*", F.lit(0).alias("__mark"), F.lit(None).cast(kind).alias("payload")).unionByName(
-        marks.select(*keys, "row_no", F.lit(1).alias("__mark"), "payload"), allowMissingColumns=True
-    ).withColumn("__block", block))
-    per_block = events.groupBy(*keys, "__block").agg(
-        F.max_by("payload", F.when(F.col("__mark") == 1, F.col("row_no"))).alias("__last"))
-    earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_block.select(
-        *keys, "__block", F.last("__last", ignorenulls=True).over(earlier).alias("__carry"))
-    # At one row a point comes before a mark, which keeps "above" strict.
-    inside = Window.partitionBy(*keys, "__block").orderBy("row_no", "__mark").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    return (
-        events.withColumn("__own", F.last("payload", ignorenulls=True).over(inside))
-        .filter("__mark = 0").join(carried, [*keys, "__block"])
-        .select(*points.columns, F.coalesce("__own", "__carry").alias(name))
-    )
+    return states_above(points, marks.withColumnRenamed("payload", name), keys, [name])
 
 
-def header_rows(cells: DataFrame) -> DataFrame:
-    """``(sheet, row_no, first_col, label, wide, section, grouping)`` of rows with text."""
-    by_col = Window.partitionBy("sheet", "row_no").orderBy("col_no")  # one row of a grid
-    texts = cells.withColumns({
-        "__prev": F.lag("text").over(by_col), "__prev_col": F.lag("col_no").over(by_col),
-    }).filter(F.col("text").isNotNull() & ~F.coalesce(
-        (F.col("__prev") == F.col("text")) & (F.col("__prev_col") == F.col("col_no") - 1), F.lit(False)))
-    rows = texts.groupBy("sheet", "row_no").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("n_distinct"),
-        F.min("col_no").alias("first_col"), F.max("col_no").alias("last_col"),
-        F.min_by("text", "col_no").alias("label"), F.min_by("bold", "col_no").alias("bold"),
-    ).withColumn("wide", (F.col("n") >= _WIDE_TEXTS) | (F.col("last_col") - F.col("first_col") >= _SPREAD))
-    titled = ~F.col("wide") & (F.col("first_col") <= _LABEL_COLUMNS) & (F.col("n_distinct") <= 2) & F.col("bold")
-    rows = rows.withColumn("keyword", titled & F.col("label").rlike(ANY_CASE + fixed.SECTION_KEYWORD)).withColumn(
-        "titled", F.col("keyword") | (titled & (F.col("first_col") >= 2) & (F.length("label") >= 4)))
-    keyed = rows.groupBy("sheet").agg(F.bool_or("keyword").alias("has_keyword"))
-    return rows.join(keyed, "sheet").select(
-        "sheet", "row_no", "first_col", "label", "wide",
-        F.when(F.col("has_keyword"), F.col("keyword")).otherwise(F.col("titled")).alias("section"),
-        (F.col("has_keyword") & F.col("titled") & ~F.col("keyword")).alias("grouping"),
-    )
+def spread_merges(cells: DataFrame, merges: DataFrame | None) -> DataFrame:
+    """The grid with every cell of a merged range reading its top left corner.
+
+    ``merges``: ``sheet, r1, c1, r2, c2``, which do not overlap. Covered cells are blank in a grid of
+    filled cells and are added; what they hold themselves is hidden. A range whose corner is blank
+    hides what it covers. The corner is found by equality, and a range is spelled out by a generator
+    in the task that has its corner.
+    """
+    if merges is None:
+        return cells
+    corner = cells.withColumnsRenamed({"row_no": "r1", "col_no": "c1"})
+
+    def covered(ranges: DataFrame) -> DataFrame:
+        rows = ranges.withColumn("row_no", F.explode(F.sequence("r1", "r2")))
+        return rows.withColumn("col_no", F.explode(F.sequence("c1", "c2")))
+
+    kept = cells.join(covered(merges).select(*CELL), CELL, "left_anti")
+    return kept.unionByName(covered(merges.join(corner, ["sheet", "r1", "c1"])).select(*cells.columns))
+
+
+def _flagged(cells: DataFrame, last_rows: DataFrame | None = None) -> DataFrame:
+    """Cells with what their row is, all but whether it is a section: that takes the whole sheet."""
+    row = Window.partitionBy("sheet", "row_no")
+    by_col = row.orderBy("col_no")
+    repeat = (F.lag("text").over(by_col) == F.col("text")) & (F.lag("col_no").over(by_col) == F.col("col_no") - 1)
+    fresh = F.col("text").isNotNull() & ~F.coalesce(repeat, F.lit(False))
+    named = cells.withColumn("__col", F.when(fresh, F.col("col_no")))
+    first = F.min_by(F.struct("text", "bold"), "__col").over(row)
+    spread = named.withColumns({
+        "n": F.count("__col").over(row), "n_distinct": F.size(F.collect_set("text").over(row)),
+        "first_col": F.min("__col").over(row), "last_col": F.max("__col").over(row), "first": first,
+    }).withColumns({"label": F.col("first.text"), "wide": (F.col("n") >= _WIDE_TEXTS) | (F.col("last_col") - F.col("first_col") >= _SPREAD)})
+    titled = (~F.col("wide") & (F.col("first_col") <= _LABEL_COLUMNS) & (F.col("n_distinct") <= 2) & F.col("first.bold"))
+    if last_rows is not None:  # below the last filled row, covered cells make no header
+        spread = spread.join(last_rows, "sheet")
+        titled = titled & (F.col("row_no") <= F.col("last_row"))
+    keyword = titled & F.col("label").rlike(ANY_CASE + fixed.SECTION_KEYWORD)
+    return spread.withColumn("keyword", F.coalesce(keyword, F.lit(False))).withColumn("titled", F.coalesce(
+        F.col("keyword") | (titled & (F.col("first_col") >= 2) & (F.length("label") >= 4)), F.lit(False)))
+
+
+def _sectioned(flagged: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Adds ``section`` and ``grouping``; ``keyed`` says which sheets have a row with the keyword."""
+    return flagged.join(keyed, "sheet").withColumns({
+        "section": F.when(F.col("has_keyword"), F.col("keyword")).otherwise(F.col("titled")),
+        "grouping": F.col("has_keyword") & F.col("titled") & ~F.col("keyword")}).drop("has_keyword")
+
+
+def _keyed(flagged: DataFrame) -> DataFrame:
+    return flagged.groupBy("sheet").agg(F.bool_or("keyword").alias("has_keyword"))
+
+
+def _last_rows(cells: DataFrame, merges: DataFrame | None) -> DataFrame | None:
+    return None if merges is None else cells.groupBy("sheet").agg(F.max("row_no").alias("last_row"))
+
+
+def header_rows(cells: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+    """``(sheet, row_no, first_col, label, wide, section, grouping)`` of rows with text.
+
+    With ``merges`` (see ``spread_merges``) a row also has the texts of ranges that reach into it.
+    """
+    flagged = _flagged(spread_merges(cells, merges), _last_rows(cells, merges))
+    if merges is not None:
+        flagged = flagged.filter("row_no <= last_row")
+    rows = flagged.filter("first_col IS NOT NULL").groupBy("sheet", "row_no").agg(
+        *[F.first(c).alias(c) for c in ("first_col", "label", "wide", "keyword", "titled")])
+    return _sectioned(rows, _keyed(rows)).select("sheet", "row_no", "first_col", "label", "wide", "section", "grouping")
+
+
+def _parents(sections: DataFrame) -> DataFrame:
+    """``(sheet, row_no, parent)``: the label of the nearest section, if at most two rows above."""
+    return sections.select("sheet", "row_no", "label", F.explode(F.array(F.lit(1), F.lit(2))).alias("off")).groupBy(
+        "sheet", (F.col("row_no") + F.col("off")).alias("row_no")).agg(F.min_by("label", "off").alias("parent"))
 
 
-def _row_label(label: str = "label") -> Column:
-    return F.struct("row_no", F.col(label).alias("label"))
+def states_above(points: DataFrame, marks: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """For each point, per name, the last value strictly above it that is not null.
+
+    ``marks``: ``(*keys, row_no, *names)``. One scan follows all names: inside blocks of rows, and
+    over the last values of the blocks.
+    """
+    block = F.floor(F.col("row_no") / BLOCK_ROWS).alias("__block")
+    ends = marks.groupBy(*keys, block).agg(*[
+        F.max_by(n, F.when(F.col(n).isNotNull(), F.col("row_no"))).alias(n) for n in names])
+    asked = points.select(*keys, block).distinct()
+    earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    steps = ends.unionByName(asked, allowMissingColumns=True).groupBy(*keys, "__block").agg(*[F.first(n, ignorenulls=True).alias(n) for n in names])
+    carried = steps.select(*keys, "__block", *[F.last(n, ignorenulls=True).over(earlier).alias(f"__carry_{n}") for n in names])
+    # At one row a point comes before a mark, which keeps "above" strict.
+    events = points.withColumn("__mark", F.lit(0)).unionByName(
+        marks.select(*keys, "row_no", *names, F.lit(1).alias("__mark")), allowMissingColumns=True).withColumn("__block", F.floor(F.col("row_no") / BLOCK_ROWS))
+    inside = Window.partitionBy(*keys, "__block").orderBy("row_no", "__mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = events.select("*", *[F.last(n, ignorenulls=True).over(inside).alias(f"__own_{n}") for n in names]).filter("__mark = 0")
+    return own.join(carried, [*keys, "__block"]).select(
+        *points.columns, *[F.coalesce(f"__own_{n}", f"__carry_{n}").alias(n) for n in names])
+
+
+def _header_marks(headers: DataFrame) -> DataFrame:
+    """``inner`` (section with its parent) and ``grp`` as marks, from ``sheet, row_no, label, section, grouping``."""
+    named = headers.filter("section OR grouping")
+    with_parent = named.join(_parents(named.filter("section")), ["sheet", "row_no"], "left")
+    return with_parent.select(
+        "sheet", "row_no", F.when(F.col("section"), F.struct("row_no", "label", "parent")).alias("inner"),
+        F.when(F.col("grouping"), F.struct("row_no", "label")).alias("grp"))
 
 
 def header_context(points: DataFrame, headers: DataFrame) -> DataFrame:
-    """Adds ``inner``, ``outer`` (nearest section above and its parent) and ``grp``."""
-    sections = headers.filter("section").select("sheet", "row_no", _row_label().alias("payload"))
-    # The parent of a section is the section at most two rows above it.
-    nested = nearest_above(
-        sections.select("sheet", "row_no", F.col("payload.label").alias("label")), sections, ["sheet"], "up")
-    marks = nested.select("sheet", "row_no", F.struct(
-        "row_no", "label", F.when(F.col("row_no") - F.col("up.row_no") <= 2, F.col("up.label")).alias("parent")
-    ).alias("payload"))
-    groups = headers.filter("grouping").select("sheet", "row_no", _row_label().alias("payload"))
+    """Adds ``inner`` (nearest section above, with its parent), ``grp`` (nearest group) and ``is_header``.
+
+    Headers made with merges give the context of a grid with merges.
+    """
+    found = states_above(points, _header_marks(headers), ["sheet"], ["inner", "grp"])
     own = headers.filter("section or grouping").select("sheet", "row_no", F.lit(True).alias("is_header"))
-    found = nearest_above(nearest_above(points, marks, ["sheet"], "inner"), groups, ["sheet"], "grp")
-    return found.join(own, ["sheet", "row_no"], "left").withColumn(
-        "is_header", F.coalesce("is_header", F.lit(False)))
+    return found.join(own, ["sheet", "row_no"], "left").withColumn("is_header", F.coalesce("is_header", F.lit(False)))
 
 
-def _left_labels(targets: DataFrame, cells: DataFrame) -> DataFrame:
-    """Texts left of each target in its own row: labels, first text column, interleaving."""
-    row = (
-        cells.filter(F.col("text").isNotNull() | F.col("number").isNotNull())
-        .groupBy("sheet", "row_no").agg(F.sort_array(F.collect_list(
-            F.struct("col_no", "text", F.col("number").isNotNull().alias("num")))).alias("row"))
-    )
-    left = F.filter("row", lambda x: x["col_no"] < F.col("col_no"))
-    texts = F.filter("left", lambda x: x["text"].isNotNull())
-    names = F.transform("texts", lambda x: x["text"])
-    kept = F.filter(names, lambda x, i: (i == 0) | (x != F.get(F.transform("texts", lambda y: y["text"]), i - 1)))
-    first, last = F.get("texts", F.lit(0))["col_no"], F.try_element_at("texts", F.lit(-1))["col_no"]
-    mixed = F.exists("left", lambda x: x["num"] & (x["col_no"] > first) & (x["col_no"] < last))
-    return (
-        targets.join(row, ["sheet", "row_no"], "left").withColumn("left", F.coalesce(left, F.expr("filter(row, x -> false)")))
-        .withColumn("texts", texts)
-        .withColumns({"leaf": F.coalesce(kept, F.array().cast("array<string>")),
-                      "label_col": F.coalesce(first, F.lit(2)), "mixed": F.coalesce(mixed, F.lit(False))})
-        .drop("row", "left", "texts")
-    )
+def _left_labels(events: DataFrame) -> DataFrame:
+    """Targets with the texts left of them in their row: all without repeats, the first one's column, numbers between them.
+
+    ``events`` are the cells of a row and its targets (``target``), told apart at one column by their order.
+    """
+    by_col = Window.partitionBy("sheet", "row_no").orderBy("col_no", F.desc("target"))
+    before, upto = by_col.rowsBetween(Window.unboundedPreceding, -1), by_col.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    differs = F.col("text").isNotNull() & ~F.col("text").eqNullSafe(F.last("text", ignorenulls=True).over(before))
+    seen = F.min(F.when(F.col("text").isNotNull(), F.col("col_no"))).over(upto)
+    marked = events.withColumns({"__fresh": F.when(differs, F.col("text")), "__first": seen}).withColumn(
+        "__late", F.col("number").isNotNull() & F.col("text").isNull() & F.col("__first").isNotNull())
+    mixed = F.col("text").isNotNull() & F.coalesce(F.max("__late").over(before), F.lit(False))
+    return marked.withColumn("__mixed", mixed).select(
+        "*", F.when(F.col("target"), F.collect_list("__fresh").over(upto)).alias("leaf"),
+        F.max("__mixed").over(upto).alias("mixed")).filter("target").select(
+        "sheet", "row_no", "col_no", "leaf", F.coalesce("__first", F.lit(2)).alias("label_col"), "mixed")
+
 
+def _bands(texts: DataFrame) -> DataFrame:
+    """Texts of header bands with ``start`` (whether a band begins here) and ``level`` (whether its label does).
 
-def _column_bands(targets: DataFrame, cells: DataFrame, headers: DataFrame, levels_most: int | None) -> DataFrame:
-    """Header band above each target: its labels from the top, and a gap note."""
-    key = ["sheet", "col_no"]
-    sections = headers.filter("section").select("sheet", "row_no")
-    texts = cells.filter(F.col("text").isNotNull()).join(sections, ["sheet", "row_no"], "left_anti").select(
-        "sheet", "row_no", "col_no", "text")
+    The text above is found by its row, so a band may be as long as the sheet.
+    """
     above = texts.select("sheet", "col_no", (F.col("row_no") + 1).alias("row_no"), F.col("text").alias("up"))
-    linked = texts.join(above, ["sheet", "col_no", "row_no"], "left")
-    starts = linked.filter(F.col("up").isNull())
-    start_marks = starts.select(*key, "row_no", F.col("row_no").alias("payload"))
-    # A text that differs from the one above opens a level of its band.
-    levels = linked.filter(F.col("up").isNull() | (F.col("up") != F.col("text")))
-    on_start = levels.select(*key, (F.col("row_no") + 1).alias("row_no"), "text")
-    banded = nearest_above(on_start, start_marks, key, "start").withColumn("row_no", F.col("row_no") - 1)
-    by_row = Window.partitionBy(*key, "start").orderBy("row_no")
-    top = (
-        banded.withColumn("level", F.row_number().over(by_row)).filter(F.lit(True) if levels_most is None else F.col("level") <= levels_most)
-        .groupBy(*key, "start").agg(F.sort_array(F.collect_list(F.struct("row_no", "text"))).alias("band"))
-    )
-    # A gap directly above the band with text beside it makes the context ambiguous.
-    gap = starts.select("sheet", "col_no", F.col("row_no").alias("start"), (F.col("row_no") - 1).alias("gap_row"))
-    filled = cells.filter(F.col("text").isNotNull() | F.col("number").isNotNull()).select(
-        "sheet", "col_no", F.col("row_no").alias("gap_row"))
-    side = cells.filter(F.col("text").isNotNull()).select(
-        "sheet", F.explode(F.array(F.col("col_no") - 1, F.col("col_no") + 1)).alias("col_no"),
-        F.col("row_no").alias("gap_row")).distinct()
-    notes = (
-        gap.filter("gap_row >= 1").join(filled, ["sheet", "col_no", "gap_row"], "left_anti")
-        .join(sections.withColumnRenamed("row_no", "gap_row"), ["sheet", "gap_row"], "left_anti")
-        .join(side, ["sheet", "col_no", "gap_row"], "left_semi")
-        .select("sheet", "col_no", "start", F.lit(True).alias("gap_note"))
-    )
-    text_marks = texts.select(*key, "row_no", F.struct("row_no").alias("payload"))
-    seen = nearest_above(targets, text_marks, key, "near")
-    # The band is the run that holds the nearest text; look its start up from just below.
-    below = seen.withColumn("__row", F.col("row_no")).withColumn(
-        "row_no", F.coalesce(F.col("near.row_no") + 1, F.lit(0)))
-    located = nearest_above(below, start_marks, key, "start").withColumn("row_no", F.col("__row")).drop("__row")
-    labelled = located.join(top, [*key, "start"], "left").join(notes, [*key, "start"], "left")
-    # A section between the text and the cell hides the band.
-    visible = F.coalesce(F.col("near.row_no") > F.coalesce(F.col("inner.row_no"), F.lit(0)), F.lit(False))
-    shown = F.filter("band", lambda x: x["row_no"] <= F.col("near.row_no"))
-    return labelled.withColumns({
-        "column_labels": F.when(visible, F.transform(shown, lambda x: x["text"])).otherwise(
-            F.array().cast("array<string>")),
-        "gap_note": visible & F.coalesce("gap_note", F.lit(False)),
-    }).drop("start", "band", "near")
+    return texts.join(above, ["sheet", "col_no", "row_no"], "left").withColumns({
+        "start": F.col("up").isNull(), "level": ~F.col("up").eqNullSafe(F.col("text"))})
 
 
-def cell_labels(cells: DataFrame, targets: DataFrame, levels: int | None = None) -> DataFrame:
+def _gap_notes(bands: DataFrame, cells: DataFrame) -> DataFrame:
+    """Bands with an empty cell right above them and a text beside it: their context is ambiguous."""
+    gap = bands.filter("start AND row_no > 1").select("sheet", "col_no", F.col("row_no").alias("start"), (F.col("row_no") - 1).alias("gap_row"))
+    # What the row of the gap says about a column: it is filled, a section, or has a text beside it.
+    around = cells.filter("text IS NOT NULL OR number IS NOT NULL").select(
+        "sheet", F.col("row_no").alias("gap_row"), F.inline(F.array(
+            F.struct(F.col("col_no").alias("col_no"), F.lit(True).alias("filled"), F.lit(False).alias("beside")),
+            *[F.struct((F.col("col_no") + d).alias("col_no"), F.lit(False).alias("filled"), F.col("text").isNotNull().alias("beside")) for d in (-1, 1)])))
+    facts = around.groupBy("sheet", "gap_row", "col_no").agg(F.bool_or("filled").alias("filled"), F.bool_or("beside").alias("beside"))
+    sections = cells.filter("section").select("sheet", F.col("row_no").alias("gap_row")).distinct()
+    return gap.join(facts.filter("beside AND NOT filled"), ["sheet", "gap_row", "col_no"], "left_semi").join(
+        sections, ["sheet", "gap_row"], "left_anti").select("sheet", "col_no", "start", F.lit(True).alias("gap_note"))
+
+
+def cell_labels(cells: DataFrame, targets: DataFrame, levels: int | None = None, merges: DataFrame | None = None) -> DataFrame:
     """Section, row and column labels of each target, with the status of its context.
 
-    Row and column labels have all their levels, or the first ``levels``.
+    Row and column labels have all their levels, or the first ``levels``. With ``merges`` every cell
+    of a merged range reads its corner, so each column under a merged header has its label.
+
+    The cells are sorted once by row, where a row's kind and the labels to the left are found, and
+    stored. Two scans over that table then follow what lies above: sections and groups by sheet,
+    group texts and header bands by column.
     """
     def cut(labels: Column) -> Column:
         return labels if levels is None else F.slice(labels, 1, levels)
 
-    headers = cut_lineage(header_rows(cells))
-    placed = header_context(targets.select("sheet", "row_no", "col_no"), headers)
-    placed = _left_labels(placed, cells)
-    # Texts shaped like a group header also group, in the column of the row's own label.
-    plain = headers.filter("wide or section").select("sheet", "row_no")
-    shaped = cells.filter(F.col("text").rlike(ANY_CASE + fixed.GROUP_HEADER)).join(
-        plain, ["sheet", "row_no"], "left_anti"
-    ).select("sheet", F.col("col_no").alias("label_col"), "row_no", F.struct("row_no", F.col("text").alias("label")).alias("payload"))
-    placed = nearest_above(placed, shaped, ["sheet", "label_col"], "shaped")
-    placed = _column_bands(placed, cells, headers, levels)
+    grid = spread_merges(cells.select(*CELL, "text", "number", "bold"), merges)
+    flagged = _flagged(grid, _last_rows(cells, merges))
+    asked = targets.select(*CELL).distinct().withColumn("target", F.lit(True))
+    events = flagged.withColumn("target", F.lit(False)).unionByName(asked, allowMissingColumns=True)
+    stored = cut_lineage(events.select(*CELL, "text", "number", "label", "first_col", "wide", "keyword", "titled", "target"))
+    known = _sectioned(stored.filter("NOT target"), _keyed(stored.filter("NOT target")))
+    headers = known.filter((F.col("section") | F.col("grouping")) & (F.col("col_no") == F.col("first_col")))
+    placed = header_context(_left_labels(stored.select(*CELL, "text", "number", "target")), headers)
+
+    texts = known.filter("text IS NOT NULL AND NOT section").select(*CELL, "text", "wide")
+    bands = cut_lineage(_bands(texts))
+    shape = F.col("text").rlike(ANY_CASE + fixed.GROUP_HEADER) & ~F.col("wide")
+    # Bands and group texts are followed by column in one scan: a target asks once in its own column, once in that of its row's label.
+    marks = bands.select(
+        "sheet", "col_no", "row_no", F.struct("row_no").alias("near"), F.when(F.col("start"), F.col("row_no")).alias("start"),
+        F.when(shape, F.struct("row_no", F.col("text").alias("label"))).alias("shaped"))
+    twice = placed.select("*", F.inline(F.array(
+        F.struct(F.col("col_no").alias("__at"), F.lit("band").alias("__ask")), F.struct(F.col("label_col").alias("__at"), F.lit("group").alias("__ask")))))
+    spots = twice.withColumnRenamed("col_no", "__col").withColumnRenamed("__at", "col_no")
+    found = states_above(spots, marks, ["sheet", "col_no"], ["near", "start", "shaped"])
+    facts = [c for c in placed.columns if c not in CELL]
+    joined = found.groupBy("sheet", "row_no", F.col("__col").alias("col_no")).agg(
+        *[F.first(c).alias(c) for c in facts],
+        *[F.first(F.when(F.col("__ask") == ask, F.col(c)), ignorenulls=True).alias(c) for c, ask in (("near", "band"), ("start", "band"), ("shaped", "group"))])
+    of_band = states_above(
+        bands.filter("level").select("sheet", "col_no", (F.col("row_no") + 1).alias("row_no"), "text"), marks, ["sheet", "col_no"], ["start"])
+    by_row = Window.partitionBy("sheet", "col_no", "start").orderBy("row_no")
+    kept = of_band if levels is None else of_band.withColumn("n", F.row_number().over(by_row)).filter(F.col("n") <= levels)
+    labels = kept.groupBy("sheet", "col_no", "start").agg(
+        F.sort_array(F.collect_list(F.struct((F.col("row_no") - 1).alias("row_no"), "text"))).alias("band"))
+    labelled = joined.join(labels, ["sheet", "col_no", "start"], "left").join(_gap_notes(bands, known), ["sheet", "col_no", "start"], "left")
     floor = F.coalesce(F.col("inner.row_no"), F.lit(0))
+    # A section between the text and the cell hides the band.
+    visible = F.coalesce(F.col("near.row_no") > floor, F.lit(False))
+    shown = F.transform(F.filter("band", lambda x: x["row_no"] <= F.col("near.row_no")), lambda x: x["text"])
+    none = F.array().cast("array<string>")
+    column = F.when(visible, F.coalesce(shown, none)).otherwise(none)
     nearest = F.array_max(F.filter(F.array(
         F.struct(F.col("grp.row_no").alias("row_no"), F.lit(1).alias("rank"), F.col("grp.label").alias("label")),
         F.struct(F.col("shaped.row_no").alias("row_no"), F.lit(0).alias("rank"), F.col("shaped.label").alias("label")),
     ), lambda x: x["row_no"] > floor))
-    group = F.when(F.col("is_header") | nearest.isNull(), F.array().cast("array<string>")).otherwise(
-        F.array(nearest["label"]))
+    group = F.when(F.col("is_header") | nearest.isNull(), none).otherwise(F.array(nearest["label"]))
     section = F.array_compact(F.array(F.col("inner.parent"), F.col("inner.label")))
-    row = cut(F.concat(group, "leaf"))
+    noted = F.col("mixed") | (visible & F.coalesce("gap_note", F.lit(False)))
     sizes = F.size("section_labels") + F.size("row_labels") + F.size("column_labels")
-    return placed.select(
-        "sheet", "row_no", "col_no", section.alias("section_labels"), row.alias("row_labels"),
-        cut(F.col("column_labels")).alias("column_labels"), (F.col("mixed") | F.col("gap_note")).alias("noted"),
+    return labelled.select(
+        *CELL, section.alias("section_labels"), cut(F.concat(group, "leaf")).alias("row_labels"),
+        cut(column).alias("column_labels"), noted.alias("noted"),
     ).withColumn(
         "context_status",
         F.when(sizes == 0, "NO_CONTEXT").when(F.col("noted"), "AMBIGUOUS")

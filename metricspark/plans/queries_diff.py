@@ -162,6 +162,25 @@ def merge_anchor(t):
     return diff.merge_anchor(t.sql(_GRID), t.sql(_MERGES))
 
 
+# Blocks of two columns under a filled corner. What they cover is mostly blank; where it is not, it is hidden.
+_BLOCKS = """SELECT p_brand AS sheet, p_partkey AS r1, 51 AS c1, p_partkey + 3 AS r2, 52 AS c2 FROM {part} WHERE p_partkey % 50 = 0"""
+_COVERED_GRID = _GRID + """ UNION ALL SELECT p_brand, p_partkey, 51, CASE WHEN p_partkey % 100 = 0 THEN p_retailprice END, p_type FROM {part} WHERE p_partkey % 50 = 0
+UNION ALL SELECT p_brand, p_partkey + 1, 52, 1.0D, 'hidden' FROM {part} WHERE p_partkey % 150 = 0"""
+_COVERED = """SELECT p_brand AS sheet, p_partkey + CAST(d AS INT) AS row_no, CAST(c AS INT) AS col_no FROM {part}
+LATERAL VIEW explode(array(0, 1, 2, 3, 4)) v AS d LATERAL VIEW explode(array(51, 52, 53)) w AS c WHERE p_partkey % 50 = 0"""
+
+
+@query("merge_anchor_covered", f"""WITH g AS ({plain(_COVERED_GRID).replace('1.0D', '1.0')}), m AS ({plain(_BLOCKS)}),
+t AS (SELECT DISTINCT p_brand AS sheet, p_partkey + d AS row_no, c AS col_no FROM part, (SELECT unnest(range(5)) AS d), (SELECT unnest([51, 52, 53]) AS c)
+  WHERE p_partkey % 50 = 0)
+SELECT t.sheet, t.row_no, CAST(t.col_no AS INT) AS col_no, coalesce(r1, t.row_no) AS anchor_row, CAST(coalesce(c1, t.col_no) AS INT) AS anchor_col,
+  o.value_num, o.value_txt
+FROM t LEFT JOIN m ON m.sheet = t.sheet AND t.row_no BETWEEN r1 AND r2 AND t.col_no BETWEEN c1 AND c2
+  LEFT JOIN g o ON o.sheet = t.sheet AND o.row_no = coalesce(r1, t.row_no) AND o.col_no = coalesce(c1, t.col_no)""")
+def merge_anchor_covered(t):
+    return diff.merge_anchor(t.sql(_COVERED_GRID), t.sql(_BLOCKS), t.sql(_COVERED))
+
+
 @query("cell_order", f"""WITH g AS ({plain(_GRID)})
 SELECT sheet, row_no, col_no, row_number() OVER (ORDER BY sheet, row_no, col_no) AS position
 FROM g""")
