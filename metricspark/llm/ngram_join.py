@@ -38,7 +38,7 @@ from pyspark.sql.window import Window as W
 
 from . import kernels as K
 from .components import connected_components, follow_parents
-from .tables import column, partitions, stored
+from .tables import column, partitions, scratch, stored
 
 #: Counters of the sketch, and the pieces in which they are merged.
 COUNTERS = 1 << 20
@@ -210,7 +210,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     The sets are made again where the texts are read, and only those of classes in pairs travel.
     """
-    pairs = stored(pairs)
+    with scratch() as scope:
+        return scope.keep(stored(_linked(stored(pairs), texts, size, percent)))
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     used = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     made = texts.select("text").mapInArrow(_set_rows(texts.sparkSession, _bit_map(used), size), "class long, tokens array<long>")
     sets = stored(made.dropDuplicates(["class"]))
@@ -334,6 +338,13 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     An empty table gives an empty result. Other columns are not read.
     """
     texts = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))
+    with scratch() as scope:
+        found = scope.keep(stored(_components(scope, texts, size, percent)))
+    return found if groups else found.select("doc_id", "n_shingles", "component_id")
+
+
+def _components(scope, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    docs = texts
     rows = stored(texts.withColumn("key", F.xxhash64("text")).mapInArrow(_signature_rows(size), _SIGNATURES))
     members = rows.filter("chunk IS NULL").select("doc_id", "key", "n", "class")
     sketch = _sketch(rows.filter("chunk IS NOT NULL").select("chunk", "slot", "counts"))
@@ -354,6 +365,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     hits = shared.groupBy("class").agg(F.count(F.lit(1)).alias("hits"))
     meets = stored(shared.join(hits, "class"))
+    scope.drop(shared)
     centre = F.col("hits") / (rule.n("") - rule.rest(""))
     hub = F.max(F.struct(centre.alias("centre"), "class", "size", "hits")).over(per_token)
     starred = meets.select(
@@ -362,7 +374,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     starred = starred.filter((F.col("x_class") != F.col("y_class")) & rule.may("x_", "y_")).select(
         F.col("x_class").alias("a"), F.col("y_class").alias("b"), rule.must("x_", "y_").alias("must"))
     stars = _counted(starred).groupBy("a").agg(F.max(F.struct("both", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    stars = stored(_verified(stars, known, size, percent))
+    stars = _verified(stars, known, size, percent)
     roots = follow_parents(
         stars.select(F.col("a").alias("node"), F.col("b").alias("parent"))
         .union(stars.join(stars.select(F.col("a").alias("seen")), F.col("b") == F.col("seen"), "left_anti").select("b", "b").distinct())
@@ -376,8 +388,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select("token", "class", "size", "root", (F.col("root") != F.col("largest.root")).alias("minor"),
                 (F.count(F.lit(1)).over(per_token) > COMMON).alias("common"))
     )
+    scope.drop(meets, roots)
     counts = unsettled.groupBy("class").agg(F.count(F.lit(1)).alias("hits"), F.count_if("common").alias("commons"))
-    unsettled = stored(unsettled.join(counts, "class"))
+    known_open, unsettled = unsettled, stored(unsettled.join(counts, "class"))
+    scope.drop(known_open)
     common = unsettled.filter("common").drop("common", "commons")
     # at rare shingles pairs are few: they are listed, and common shingles they may share count in full
     rare = unsettled.filter("NOT common").drop("common", "minor")
@@ -385,6 +399,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = _counted(listed).select("a", "b").union(_far_pairs(common, rule).select("a", "b")).union(_near_pairs(common, rule))
     rest = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = stored(_verified(rest, known, size, percent).union(stars))
+    scope.drop(unsettled, stars)
     linked = connected_components(links)
     named = linked.join(classes, linked.node == classes["class"])
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -393,12 +408,20 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         classes.join(moved, classes["class"] == moved.of, "left")
         .select(F.col("class").alias("of"), F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "class").alias("group"))
     )
-    found = members.join(of_class, members["class"] == F.col("of"), "left").select(
+    return members.join(of_class, members["class"] == F.col("of"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
         F.when(F.col("class").isNotNull() & F.col("doc_id").isNotNull(), F.col("key")).alias("text_key"),
         F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group"))
-    return found if groups else found.select("doc_id", "n_shingles", "component_id")
+
+
+def _apart(found: DataFrame) -> DataFrame:
+    """(doc_id, text_key, stays) of texts that go, and of those that stay but are there several times."""
+    counted = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("times"))
+    first = found.groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*", F.lit(True).alias("stays"))
+    # A group's first text is met by its id and text, so the rows of a large group do not meet in one task.
+    marked = counted.join(first, ["doc_id", "text_key"], "left").withColumn("stays", F.coalesce("stays", F.lit(False)))
+    return marked.filter("NOT stays OR times > 1").select("doc_id", "text_key", "stays")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -412,12 +435,8 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     last = F.lit(2**63 - 1)
     source = docs.select(F.coalesce(column(docs, id_col).cast("long"), last).alias("doc_id"), column(docs, text_col).alias("text"))
-    found = stored(ngram_components(source, size=size, percent=percent, groups=True).filter("group IS NOT NULL").select("doc_id", "text_key", "group"))
-    counted = found.groupBy("group", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("times"))
-    kept = found.groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("kept"))
-    marked = counted.join(kept, "group").withColumn("stays", F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & F.col("kept.text_key").eqNullSafe(F.col("text_key")))
-    # What goes, and what stays but is there several times; all other rows pass by.
-    apart = stored(marked.filter("NOT stays OR times > 1").select("doc_id", "text_key", "stays"))
+    with scratch() as scope:
+        apart = scope.keep(stored(_apart(ngram_components(source, size=size, percent=percent, groups=True).filter("group IS NOT NULL"))))
     rows = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("row"),
                        F.coalesce(column(docs, id_col).cast("long"), last).alias("doc_id"), F.xxhash64(column(docs, text_col)).alias("text_key"))
     one_of_each = rows.join(apart.filter("stays").drop("stays"), ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key").agg(
