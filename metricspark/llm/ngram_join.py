@@ -52,10 +52,12 @@ COMMON = 16
 #: Sizes whose ratio is below this are in the same or neighbouring bands.
 BAND = 1.05
 
-_SIGNATURES = "doc_id long, key long, n long, class long, chunk int, slot int, counts binary"
+_SIGNATURES = "doc_id long, key long, n long, class long, bits array<long>, chunk int, slot int, counts binary"
 _POSTINGS = "token long, class long, size long"
 #: A class's ``size`` is its n and, in the lower bits, its need.
 NEED_BITS = 24
+#: Words of 64 places in the map of a set that rules candidates out before sets travel.
+SET_WORDS = 16
 #: Bits of the map that keeps classes without candidates out of the comparison of sets.
 MAP_BITS = 1 << 22
 
@@ -66,6 +68,13 @@ def _class_key(one: np.ndarray) -> int:
     return int(K.mix(terms.sum(keepdims=True) + np.uint64(len(one)))[0].view(np.int64))
 
 
+def _set_bits(one: np.ndarray) -> np.ndarray:
+    """A map of which of some places a set's hashes fall on."""
+    flags = np.zeros(64 * SET_WORDS, bool)
+    flags[((one >> np.uint64(32)) % np.uint64(64 * SET_WORDS)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view("<i8")
+
+
 def _buckets(tokens: np.ndarray) -> np.ndarray:
     return (tokens & np.uint64(COUNTERS - 1)).astype(np.int64)
 
@@ -74,9 +83,10 @@ def _signature_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, seen, waiting, held = np.zeros(COUNTERS, np.int64), set(), [], 0
         for batch in batches:
-            ns, keys = [], []
+            ns, keys, bits = [], [], []
             for one in K.shingle_sets(batch.column(1), size):
                 ns.append(len(one))
+                bits.append(_set_bits(one))
                 keys.append(_class_key(one) if len(one) else None)
                 if len(one) and keys[-1] not in seen:
                     seen.add(keys[-1])
@@ -88,8 +98,9 @@ def _signature_rows(size: int):
             empty = [None] * len(ns)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(ns) + 1) * SET_WORDS, pa.int32()), pa.array(np.concatenate(bits) if bits else [], pa.int64())),
                  pa.array(empty, pa.int32()), pa.array(empty, pa.int32()), pa.array(empty, pa.binary())],
-                names=["doc_id", "key", "n", "class", "chunk", "slot", "counts"])
+                names=["doc_id", "key", "n", "class", "bits", "chunk", "slot", "counts"])
         if waiting:
             counters += np.bincount(_buckets(np.concatenate(waiting)), minlength=COUNTERS)
         if counters.any():
@@ -97,9 +108,9 @@ def _signature_rows(size: int):
             pieces = [zlib.compress(x.astype(np.int64).tobytes(), 1) for x in np.split(counters, CHUNKS)]
             empty = [None] * CHUNKS
             yield pa.RecordBatch.from_arrays(
-                [pa.array(empty, pa.int64())] * 4
+                [pa.array(empty, pa.int64())] * 4 + [pa.array(empty, pa.list_(pa.int64()))]
                 + [pa.array(range(CHUNKS), pa.int32()), pa.array([slot] * CHUNKS, pa.int32()), pa.array(pieces, pa.binary())],
-                names=["doc_id", "key", "n", "class", "chunk", "slot", "counts"])
+                names=["doc_id", "key", "n", "class", "bits", "chunk", "slot", "counts"])
     return run
 
 
@@ -205,13 +216,29 @@ def _sets(keys: list, offsets: list, values: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), tokens], names=["class", "tokens"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets reach the threshold, by the sets themselves.
 
-    The sets are made again where the texts are read, and only those of classes in pairs travel.
+    A place that one set's map has and the other's lacks is a hash they do not share, so the maps
+    bound what a pair can share; pairs that cannot reach the threshold go. For the others the sets
+    are made again where the texts are read, and only those of classes in pairs travel.
     """
     with scratch() as scope:
-        return scope.keep(stored(_linked(stored(pairs), texts, size, percent)))
+        return scope.keep(stored(_linked(stored(_possible(stored(pairs), signatures, percent)), texts, size, percent)))
+
+
+def _possible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    used = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    maps = signatures.join(used, "class", "left_semi").dropDuplicates(["class"])
+    left, right = (maps.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+
+    def shared(x: str, y: str) -> F.Column:
+        """At most so many of x's hashes are in y."""
+        alone = F.zip_with(f"bits_{x}", f"bits_{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.col(f"n{x}") - F.aggregate(alone, F.lit(0), lambda total, n: total + n)
+
+    most = F.least(shared("a", "b"), shared("b", "a"))
+    return pairs.join(left, "a").join(right, "b").filter(most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -347,6 +374,7 @@ def _components(scope, texts: DataFrame, size: int, percent: int) -> DataFrame:
     docs = texts
     rows = stored(texts.withColumn("key", F.xxhash64("text")).mapInArrow(_signature_rows(size), _SIGNATURES))
     members = rows.filter("chunk IS NULL").select("doc_id", "key", "n", "class")
+    signatures = rows.filter("class IS NOT NULL AND doc_id IS NOT NULL").select("class", "n", "bits")
     sketch = _sketch(rows.filter("chunk IS NOT NULL").select("chunk", "slot", "counts"))
     classes = stored(
         members.filter("class IS NOT NULL AND doc_id IS NOT NULL")
@@ -374,7 +402,7 @@ def _components(scope, texts: DataFrame, size: int, percent: int) -> DataFrame:
     starred = starred.filter((F.col("x_class") != F.col("y_class")) & rule.may("x_", "y_")).select(
         F.col("x_class").alias("a"), F.col("y_class").alias("b"), rule.must("x_", "y_").alias("must"))
     stars = _counted(starred).groupBy("a").agg(F.max(F.struct("both", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    stars = _verified(stars, known, size, percent)
+    stars = _verified(stars, signatures, known, size, percent)
     roots = follow_parents(
         stars.select(F.col("a").alias("node"), F.col("b").alias("parent"))
         .union(stars.join(stars.select(F.col("a").alias("seen")), F.col("b") == F.col("seen"), "left_anti").select("b", "b").distinct())
@@ -398,7 +426,7 @@ def _components(scope, texts: DataFrame, size: int, percent: int) -> DataFrame:
     listed = _meetings(rare, rare, ["token"], F.col("x_class") < F.col("y_class"), rule, F.least("x_commons", "y_commons"))
     found = _counted(listed).select("a", "b").union(_far_pairs(common, rule).select("a", "b")).union(_near_pairs(common, rule))
     rest = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = stored(_verified(rest, known, size, percent).union(stars))
+    links = stored(_verified(rest, signatures, known, size, percent).union(stars))
     scope.drop(unsettled, stars)
     linked = connected_components(links)
     named = linked.join(classes, linked.node == classes["class"])
