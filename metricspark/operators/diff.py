@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from metricspark import fixed_values as fixed
 from metricspark.functions.text import expression_key
+from metricspark.operators.summary import ordered_positions
 
 CELL_KEY = ["sheet", "row_no", "col_no"]
 
@@ -111,19 +112,17 @@ def structure_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def order_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Common sheets whose rank among the common sheets moved, from ``(sheet, position)``.
+    """Common sheets whose rank among the common sheets moved, from ``(sheet, position)``; equal positions go by name.
 
-    Two windows over the common sheets, with one small row per sheet.
+    Ranks come from ranges of the positions, so no task orders all sheets.
     """
-    from pyspark.sql import Window
+    both = _sides(before, after, ["sheet"]).filter(F.col("b").isNotNull() & F.col("a").isNotNull()).select(
+        "sheet", F.col("b.position").alias("before"), F.col("a.position").alias("after"))
 
-    both = _sides(before, after, ["sheet"]).filter(F.col("b").isNotNull() & F.col("a").isNotNull())
-    ranked = both.select(
-        "sheet",
-        F.row_number().over(Window.orderBy("b.position")).alias("rank_before"),
-        F.row_number().over(Window.orderBy("a.position")).alias("rank_after"),
-    )
-    return ranked.filter("rank_before <> rank_after")
+    def ranked(side: str) -> DataFrame:
+        return ordered_positions(both.select(side, "sheet"), [side, "sheet"]).select("sheet", F.col("position").cast("int").alias(f"rank_{side}"))
+
+    return ranked("before").join(ranked("after"), "sheet").filter("rank_before <> rank_after")
 
 
 def contract_check(contract: DataFrame, actual: DataFrame) -> DataFrame:

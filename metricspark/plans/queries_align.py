@@ -243,7 +243,7 @@ _TEMPLATES = """SELECT 'c' || lpad('' || p_partkey, 9, '0') AS cell, CASE WHEN p
 _KEY = f"trim(regexp_replace({v.norm_sql('label')}, '[^0-9A-Z ]+', '', 'g'))"
 
 
-@query("label_cascade", f"""WITH l AS (SELECT *, {_KEY} AS norm, regexp_full_match(trim(label), '[0-9]{{4,9}}') AS is_code FROM ({plain(_LABELS)})),
+@query("label_cascade_cut", f"""WITH l AS (SELECT *, {_KEY} AS norm, regexp_full_match(trim(label), '[0-9]{{4,9}}') AS is_code FROM ({plain(_LABELS)})),
 t AS (SELECT *, {_KEY} AS norm, regexp_extract_all(label, '[0-9]{{4,9}}') AS codes FROM ({plain(_TEMPLATES)})),
 u AS (SELECT * FROM l WHERE is_code OR (length(norm) >= 3 AND NOT regexp_full_match(norm, '[0-9]+'))),
 h AS (SELECT u.id, u.label, 1 AS tier, cell FROM u JOIN t ON t.label = u.label
@@ -254,12 +254,12 @@ r AS (SELECT *, count(*) OVER (PARTITION BY id) AS total_hits, row_number() OVER
 SELECT id, label, CASE WHEN total_hits > 1 THEN 'ambiguous' ELSE ['exact_label', 'normalized_label', 'contextual'][tier] END AS match_type,
   CAST(CASE WHEN total_hits > 1 THEN CASE WHEN tier < 3 THEN 0.4 ELSE 0.35 END ELSE [1.0, 0.85, 0.7][tier] END AS DOUBLE) AS confidence,
   total_hits, cell FROM r WHERE k <= 6""")
-def label_cascade(t):
+def label_cascade_cut(t):
     return align.label_cascade(t.sql(_LABELS), t.sql(_TEMPLATES), limit=fixed.MAX_AMBIGUOUS_PER_LABEL)
 
 
-@query("label_cascade_whole", ORACLES["label_cascade"].removesuffix(" WHERE k <= 6"))
-def label_cascade_whole(t):
+@query("label_cascade", ORACLES["label_cascade_cut"].removesuffix(" WHERE k <= 6"))
+def label_cascade(t):
     return align.label_cascade(t.sql(_LABELS), t.sql(_TEMPLATES))
 
 

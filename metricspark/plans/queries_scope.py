@@ -290,7 +290,7 @@ _PROFILED = ("SEXO", "SUCURSAL", "ESPECIALIDAD", "TIPO_DE_CITA", "PRESTACION", "
              "FECHA_NACIMIENTO")
 
 
-@query("column_profile", f"""WITH {v.DETAIL_CTE}, cells AS ({' UNION ALL '.join(
+@query("column_profile_cut", f"""WITH {v.DETAIL_CTE}, cells AS ({' UNION ALL '.join(
     f"SELECT '{f}' AS field, CAST({f} AS STRING) AS value FROM typed WHERE NOT {f}_blank"
     for f in _PROFILED)}),
 c AS (SELECT field, value, count(*) AS n FROM cells GROUP BY 1, 2),
@@ -302,14 +302,14 @@ SELECT field, CAST(non_blank AS BIGINT) AS non_blank, distinct_values,
   CASE WHEN distinct_values <= 40 THEN value END AS value,
   CASE WHEN distinct_values <= 40 THEN n END AS n
 FROM r WHERE rank <= 15 AND (distinct_values <= 40 OR rank = 1)""")
-def column_profile(t):
+def column_profile_cut(t):
     return summary.column_profile(
         typed(t), _PROFILED, max_unique=fixed.MAX_CATEGORICAL_UNIQUE, top=fixed.MAX_DISTRIBUTION)
 
 
-@query("column_profile_whole", f"""{ORACLES['column_profile'].partition('SELECT field, CAST(non_blank')[0]}
+@query("column_profile", f"""{ORACLES['column_profile_cut'].partition('SELECT field, CAST(non_blank')[0]}
 SELECT field, CAST(non_blank AS BIGINT) AS non_blank, distinct_values, CAST(rank AS INT) AS rank, value, n FROM r""")
-def column_profile_whole(t):
+def column_profile(t):
     return summary.column_profile(typed(t), _PROFILED)
 
 

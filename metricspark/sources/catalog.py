@@ -50,7 +50,8 @@ def require(df: DataFrame, ddl: str, unique: Sequence[str]) -> DataFrame:
 def load_terms(terms: DataFrame, predicates: DataFrame) -> list[Term]:
     """Counting terms out of ``metric_term`` and ``metric_predicate``.
 
-    A catalog is configuration: it is refused above a fixed number of rows, never cut.
+    They come to the driver to be compiled into expressions. ``metric_counts_from_tables`` counts
+    catalogs of any size and leaves them where they are.
     """
     require(terms, TERM_SCHEMA, ["metric_id", "term_no"])
     by_term: dict[tuple[str, int], list[tuple[int, str, str]]] = {}
