@@ -27,9 +27,8 @@ from . import kernels as K
 from .tables import column
 from .training import fit_logistic, fold, labelled_sample
 
-#: Labelled documents that lexicon and curve are learnt from, and terms kept, at most.
+#: Labelled documents that lexicon and curve are learnt from, at most. All terms that they support are kept.
 SAMPLE_ROWS = 16_384
-LEXICON_TERMS = 512
 #: Terms from this length on are also matched with one edit: by default of the automaton, and in the
 #: lexicon that is learnt, where the harmless words guard the short ones.
 FUZZY_LENGTH, LEARNT_FUZZY_LENGTH = 5, 4
@@ -225,7 +224,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names=["term", "stem", "toxic", "clean"])
 
 
-def learn_lexicon(sample: DataFrame, most: int = LEXICON_TERMS) -> tuple[Term, ...]:
+def learn_lexicon(sample: DataFrame) -> tuple[Term, ...]:
     """Terms that mark labelled documents. A beginning is taken where it stands for several words;
     these stay in the lexicon, as only whole words are matched with an edit."""
     totals = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -235,15 +234,15 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON_TERMS) -> tuple[Term, .
         sample.select("text", "label").mapInArrow(_count_terms, "term string, stem boolean, toxic long, clean long")
         .groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .filter((F.col("toxic") >= max(LEAST_DOCS, LEAST_PART * toxic)) & (odds >= LEAST_ODDS))
-        .orderBy(F.desc("toxic"), "term", "stem").limit(8 * most).collect()
-    )
+        .orderBy(F.desc("toxic"), "term", "stem").collect()
+    )  # of a bounded sample, and each supported by a part of it
     words = {r.term: r.toxic for r in rows if not r.stem}
     stems: list[Term] = []
     for r in sorted((r for r in rows if r.stem), key=lambda r: (len(r.term), -r.toxic, r.term)):
         widest = max((n for w, n in words.items() if w.startswith(r.term)), default=0)
         if r.toxic >= 1.3 * widest and not any(r.term.startswith(s.text) for s in stems):
             stems.append(Term(r.term, True))
-    return tuple((stems + [Term(w) for w in words])[:most])
+    return tuple(stems + [Term(w) for w in words])
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, of: int, held: int, bound: int = SAMPLE_ROWS) -> Model:
