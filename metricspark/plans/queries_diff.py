@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from metricspark.operators import diff
 from metricspark.operators.summary import ordered_positions
-from metricspark.plans.registry import plain, query
+from metricspark.plans.registry import ORACLES, plain, query
 
 # Orders as cells: sheet = priority, row = order, one value and sometimes an expression.
 BEFORE = """SELECT o_orderpriority AS sheet, o_orderkey AS row_no, 1 AS col_no,
@@ -56,6 +56,11 @@ def snapshot_diff(t):
     return diff.snapshot_diff(t.sql(BEFORE), t.sql(AFTER))
 
 
+@query("snapshot_diff_by_blocks", ORACLES["snapshot_diff"])
+def snapshot_diff_by_blocks(t):
+    return diff.snapshot_diff_by_blocks(t.sql(BEFORE), t.sql(AFTER), block_rows=64)
+
+
 _EXPRESSIONS = f"""WITH {_PAIR},
 j AS (SELECT coalesce(b.sheet, a.sheet) AS sheet, coalesce(b.row_no, a.row_no) AS row_no,
   coalesce(b.col_no, a.col_no) AS col_no, b.formula AS before_formula, a.formula AS after_formula
