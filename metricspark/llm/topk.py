@@ -3,14 +3,18 @@
 The coordinates are cut into m groups, and a pair's local score in a group is its inner product
 there; the score is the sum over the groups.
 
-1. Every block of candidates gathers, for each query, the k best of each local list, resolves
-   those and reports the k best scores. The k-th best of all reports is a score that k candidates
-   reach: a safe cutoff.
+1. Every block of candidates gathers, for each query, the k best of each local list over its
+   longest vectors (one in ``PROBE``), resolves those and reports the k best scores. The k-th best
+   of all reports is a score that k candidates reach: a safe cutoff, whichever vectors were asked.
 2. The cutoff goes back to the queries. A candidate that reaches it must reach a part of 1 / m of
-   it in at least one group, or the sum could not: blocks collect exactly those entries.
-3. The collected entries are resolved exactly. What reaches the cutoff is ranked.
-
-Vectors are whole numbers, so all comparisons are exact. Queries meet candidates block by block.
+   it in at least one group, or the sum could not. Blocks score one group after another and collect
+   the pairs with such an entry; a pair whose sum so far and the lengths of its missing parts cannot
+   reach the cutoff is left out of all later groups.
+3. The groups still missing are scored for the pairs that are left alone, and what reaches the
+   cutoff is ranked.
+
+Vectors are whole numbers, so all scores are exact; bounds are rounded up. Queries meet candidates
+block by block.
 """
 
 from __future__ import annotations
@@ -26,10 +30,16 @@ from pyspark.sql.window import Window as W
 from .tables import column, partitions, stored
 
 SCALE = 1024
-GROUPS = 4
+GROUPS = 8
+#: One in so many candidates of a block, the longest ones, is asked for the cutoff.
+PROBE = 16
+#: Below this share of open pairs a group is scored pair by pair instead of as a matrix product.
+SPARSE = 0.125
 CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 256
 
+NO_CUTOFF = -(1 << 62)
+
 _BLOCK = pa.schema([("ids", pa.binary()), ("cutoffs", pa.binary()), ("rows", pa.int32()), ("width", pa.int32()), ("data", pa.binary())])
 _BLOCK_DDL = "ids binary, cutoffs binary, rows int, width int, data binary"
 
@@ -50,7 +60,7 @@ def _whole_vectors(col: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(scale: int, most: int):
-    """(vec_id, vector, cutoff) to blocks of at most ``most`` rows."""
+    """(vec_id, vector, cutoff) to blocks of at most ``most`` rows, the longest vectors first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, most):
@@ -59,8 +69,9 @@ def _pack(scale: int, most: int):
                 if not len(whole):
                     continue
                 ids = part.column(0).to_numpy(zero_copy_only=False)[ok]
-                low = np.iinfo(np.int64).min
-                cutoffs = part.column(2).fill_null(low).to_numpy(zero_copy_only=False)[ok]
+                cutoffs = part.column(2).fill_null(NO_CUTOFF).to_numpy(zero_copy_only=False)[ok]
+                order = np.argsort(-(whole.astype(np.float64) ** 2).sum(axis=1), kind="stable")
+                ids, cutoffs, whole = ids[order], cutoffs[order], whole[order]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x], f.type) for x, f in zip((ids.astype(np.int64).tobytes(), cutoffs.astype(np.int64).tobytes(), len(whole), whole.shape[1], whole.tobytes()), _BLOCK)],
                     schema=_BLOCK)
@@ -72,44 +83,123 @@ def _unpack(row: dict, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row[side + "ids"], np.int64), np.frombuffer(row[side + "cutoffs"], np.int64), data
 
 
+def _exact_type(q: np.ndarray, c: np.ndarray) -> type:
+    """Doubles, as long as they hold every partial sum exactly."""
+    most = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * max(q.shape[1], 1)
+    return np.float64 if most < 1 << 53 else np.int64
+
+
+def _cuts(width: int, groups: int) -> list[tuple[int, int]]:
+    ends = [width * g // groups for g in range(groups + 1)]
+    return [(a, b) for a, b in zip(ends, ends[1:]) if b > a]
+
+
 def _local_scores(q: np.ndarray, c: np.ndarray, groups: int) -> list[np.ndarray]:
     """The inner products in each group of coordinates, exact."""
     width = min(q.shape[1], c.shape[1])  # a missing coordinate is 0
-    most = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * max(width, 1)
-    if most < 1 << 53:  # doubles hold every partial sum exactly
-        q, c = q.astype(np.float64), c.astype(np.float64)
-    cuts = [width * g // groups for g in range(groups + 1)]
-    return [(q[:, a:b] @ c[:, a:b].T).astype(np.int64) for a, b in zip(cuts, cuts[1:])]
+    q, c = q[:, :width], c[:, :width]
+    kind = _exact_type(q, c)
+    q, c = q.astype(kind), c.astype(kind)
+    return [(q[:, a:b] @ c[:, a:b].T).astype(np.int64) for a, b in _cuts(width, groups)] or [np.zeros((len(q), len(c)), np.int64)]
+
+
+def _lengths_left(x: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
+    """For each group the length of what lies behind it in every vector, rounded up."""
+    squares = x.astype(np.float64) ** 2
+    return np.stack([np.sqrt(squares[:, b:].sum(axis=1)) for _, b in cuts]) * (1 + 1e-9)
+
+
+def _resolve(q: np.ndarray, c: np.ndarray, cutoffs: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Query place, candidate place and score of all pairs that reach the query's cutoff, and the multiplications it took."""
+    width = min(q.shape[1], c.shape[1])
+    q, c = q[:, :width], c[:, :width]
+    kind = _exact_type(q, c)
+    q, c = q.astype(kind), c.astype(kind)
+    cuts = _cuts(width, groups)
+    least = cutoffs.astype(np.float64)
+    least -= np.abs(least) * 1e-12
+    if not cuts:
+        i, j = np.nonzero(np.repeat(cutoffs[:, None] <= 0, len(c), axis=1))
+        return i, j, np.zeros(len(i), np.int64), 0
+    q_left, c_left = _lengths_left(q, cuts), _lengths_left(c, cuts)
+    share = -(-cutoffs // len(cuts))  # whole scores: at least the part, rounded up
+    total, listed, work = np.zeros((len(q), len(c)), kind), np.zeros((len(q), len(c)), bool), 0
+    i = j = None  # the open pairs, once they are few
+    for g, (a, b) in enumerate(cuts):
+        last = g + 1 == len(cuts)
+        if i is None:
+            local = q[:, a:b] @ c[:, a:b].T
+            total += local
+            listed |= local >= share[:, None]
+            work += local.size * (b - a)
+            if last:
+                i, j = np.nonzero(listed & (total >= cutoffs[:, None]))
+                return i, j, total[i, j].astype(np.int64), work
+            open_ = total + np.outer(q_left[g], c_left[g]) >= least[:, None]
+            work += open_.size
+            if open_.mean() < SPARSE:
+                i, j = np.nonzero(open_)
+                total, listed = total[i, j], listed[i, j]
+        else:
+            local = np.einsum("ij,ij->i", q[i, a:b], c[j, a:b])
+            total = total + local
+            listed = listed | (local >= share[i])
+            work += len(i) * (b - a)
+            if last:
+                keep = listed & (total >= cutoffs[i])
+            else:
+                keep = total + q_left[g][i] * c_left[g][j] >= least[i]
+                work += len(i)
+            i, j, total, listed = i[keep], j[keep], total[keep], listed[keep]
+    return i, j, total.astype(np.int64), work
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to smaller ids."""
-    return np.lexsort((ids, -scores))[:k]
-
-
-def _search(k: int, groups: int, resolve: bool):
+    """Places of the k highest scores of different ids, ties to smaller ids."""
+    order = np.lexsort((ids, -scores))
+    first = np.unique(ids[order], return_index=True)[1]
+    return order[np.sort(first)[:k]]
+
+
+def _gather(k: int, groups: int):
+    """Phase 1: the best of every local list over the longest vectors of a block, resolved."""
+    def found(row: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        qids, _, q = _unpack(row, "q_")
+        cids, _, c = _unpack(row, "c_")
+        asked = -(-len(cids) // PROBE)
+        cids, c = cids[:asked], c[:asked]
+        local = _local_scores(q, c, groups)
+        total = sum(local)
+        for at_q, qid in enumerate(qids):
+            at = np.unique(np.concatenate([np.argpartition(-s[at_q], min(k, asked - 1))[:k + 1] for s in local]))
+            at = at[cids[at] != qid]
+            at = at[_best(total[at_q, at], cids[at], k)]
+            yield int(qid), cids[at], total[at_q, at]
+    return _rows(found)
+
+
+def _collect(k: int, groups: int):
+    """Phases 2 and 3: the pairs of a block that reach the cutoff, at most k of a query."""
+    def found(row: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        qids, cutoffs, q = _unpack(row, "q_")
+        cids, _, c = _unpack(row, "c_")
+        i, j, score, _ = _resolve(q, c, cutoffs, groups)
+        other = cids[j] != qids[i]
+        i, j, score = i[other], j[other], score[other]
+        ends = np.searchsorted(i, np.arange(len(qids) + 1))
+        order = np.argsort(i, kind="stable")
+        for at_q, qid in enumerate(qids):
+            at = order[ends[at_q]:ends[at_q + 1]]
+            at = at[_best(score[at], cids[j[at]], k)]
+            yield int(qid), cids[j[at]], score[at]
+    return _rows(found)
+
+
+def _rows(found):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                qids, cutoffs, q = _unpack(row, "q_")
-                cids, _, c = _unpack(row, "c_")
-                local = _local_scores(q, c, groups)
-                total = sum(local)
-                out: list[tuple[int, np.ndarray, np.ndarray]] = []
-                for i, qid in enumerate(qids):
-                    if resolve:
-                        found = np.zeros(len(cids), bool)
-                        least = -(-int(cutoffs[i]) // groups)  # whole scores: at least the part, rounded up
-                        for scores in local:
-                            found |= scores[i] >= least
-                        at = np.flatnonzero(found)
-                        at = at[(total[i, at] >= cutoffs[i]) & (cids[at] != qid)]
-                    else:
-                        listed = [np.argpartition(-s[i], min(k, len(cids) - 1))[:k + 1] for s in local]
-                        at = np.unique(np.concatenate(listed))
-                        at = at[cids[at] != qid]
-                    at = at[_best(total[i, at], cids[at], k)]
-                    out.append((int(qid), cids[at], total[i, at]))
+                out = list(found(row))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(np.array([x for x, _, _ in out], np.int64), [len(a) for _, a, _ in out])),
                      pa.array(np.concatenate([a for _, a, _ in out])), pa.array(np.concatenate([s for _, _, s in out]))],
@@ -130,7 +220,8 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "ve
 
     A vector's components become floor(scale * x). Vectors that are null or hold null or non-finite
     components, and rows without an id, take no part. Shorter vectors count as padded with zeros.
-    Rows with the query's own id are not its candidates. Ties go to the smaller id. An empty table,
+    Rows with the query's own id are not its candidates. Ids that occur more than once, with equal or
+    other vectors, count once: their score is the best of any of their vectors with any of the query's. Ties go to the smaller id. An empty table,
     or one without queries, gives an empty result. Other columns are not read.
     """
     spark = vectors.sparkSession
@@ -139,7 +230,7 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "ve
     ).filter("vec_id IS NOT NULL")
     none = F.lit(None).cast("long").alias("cutoff")
     candidates = stored(rows.select("vec_id", "vector", none).mapInArrow(_pack(scale, CANDIDATE_BLOCK), _BLOCK_DDL))
-    asking = stored(rows.filter("asks").select("vec_id", "vector"))
+    asking = stored(rows.filter("asks").select("vec_id", "vector").distinct())
     parts = max(1, -(-asking.count() // QUERY_BLOCK))
     fold = partitions(spark)
 
@@ -147,9 +238,13 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "ve
         return df.select("vec_id", "vector", "cutoff").repartition(parts).mapInArrow(_pack(scale, QUERY_BLOCK), _BLOCK_DDL)
 
     schema = "query_id long, vec_id long, score long"
-    gathered = _meet(blocks(asking.select("vec_id", "vector", none)), candidates, fold).mapInArrow(_search(k, groups, False), schema)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    cutoffs = stored(
-        gathered.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff")))
-    found = _meet(blocks(asking.join(cutoffs, "vec_id", "left")), candidates, fold).mapInArrow(_search(k, groups, True), schema)
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        once = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return once.withColumn("rank", F.row_number().over(order))
+
+    gathered = _meet(blocks(asking.select("vec_id", "vector", none)), candidates, fold).mapInArrow(_gather(k, groups), schema)
+    cutoffs = stored(ranked(gathered).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff")))
+    found = _meet(blocks(asking.join(cutoffs, "vec_id", "left")), candidates, fold).mapInArrow(_collect(k, groups), schema)
+    return ranked(found).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -120,9 +120,47 @@ def test_top_k(spark, monkeypatch, candidates):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    """The whole table twice, and ids with two vectors: every id counts once, with its best score."""
+    rng = np.random.default_rng(8)
+    rows = [(i % 200, rng.normal(size=6).tolist()) for i in range(260)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df.union(df), F.col("vec_id") % 20 == 0, k=5).collect()}
+    whole = [(i, np.floor(1024 * np.array(v)).astype(np.int64)) for i, v in rows]
+    best = {}
+    for q, a in whole:
+        for i, b in whole:
+            if q % 20 == 0 and i != q:
+                best[q, i] = max(best.get((q, i), -1 << 60), int(a @ b))
+    want = set()
+    for q in range(0, 200, 20):
+        order = sorted((-s, i) for (x, i), s in best.items() if x == q)[:5]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(order)}
+    assert got == want
+
+
+@pytest.mark.parametrize("groups", [1, 3, 8, 40])
+def test_threshold_finds_all_and_scores_less(groups):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 32))
+    c = np.floor(1024 * (centres[rng.integers(0, 40, 2000)] + rng.normal(scale=0.2, size=(2000, 32)))).astype(np.int64)
+    q = c[:50]
+    scores = q @ c.T
+    for cutoffs in (np.sort(scores, axis=1)[:, -10], np.full(50, topk.NO_CUTOFF), np.full(50, 0)):
+        i, j, score, work = topk._resolve(q, c, cutoffs, groups)
+        want = np.nonzero(scores >= cutoffs[:, None])
+        order = np.lexsort((j, i))
+        assert (i[order] == want[0]).all() and (j[order] == want[1]).all()
+        assert (score == scores[i, j]).all()
+        if groups == 8 and cutoffs[0] > 0:
+            assert work < 0.6 * scores.size * 32  # brute force multiplies every coordinate of every pair
+
+
 def test_large_components_stay_exact():
     q, c = np.array([[2**40, 3]], np.int64), np.array([[2**20, -5], [1, 1]], np.int64)
     assert sum(topk._local_scores(q, c, 2)).tolist() == [[2**60 - 15, 2**40 + 3]]
+    i, j, score, _ = topk._resolve(q, c, np.array([2**60 - 15]), 2)
+    assert (i.tolist(), j.tolist(), score.tolist()) == ([0], [0], [2**60 - 15])
 
 
 def test_pipeline_stages_against_brute_force(spark, tmp_path, edge_docs):
