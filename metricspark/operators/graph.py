@@ -1,6 +1,7 @@
 """Dependency graphs between metrics as edge tables ``(metric_id, dep_metric_id, …)``.
 
-Every loop runs once per level of the graph, not per node, and checkpoints its frontier.
+Depths and closures contract chains and take few rounds; the other loops run once per level of the
+graph. All checkpoint what they hand on.
 """
 
 from __future__ import annotations
@@ -15,71 +16,113 @@ from pyspark.sql import functions as F
 from metricspark.functions.text import normalize_label
 from metricspark.session import cut_lineage
 
+#: Rounds by plain levels before chains are contracted: shallow graphs end before it pays.
+PLAIN_ROUNDS = 3
 UNKNOWN_SOURCE = "UNKNOWN_PENDING"
 MIXED_SOURCE = "MIXED_DERIVED"
 
 
-def _nodes(edges: DataFrame) -> DataFrame:
-    """Each node once with its number of dependencies, in one aggregation."""
-    ends = F.array(
-        F.struct(F.col("metric_id"), F.lit(1).alias("deps")),
-        F.struct(F.col("dep_metric_id").alias("metric_id"), F.lit(0).alias("deps")),
-    )
-    return edges.select(F.inline(ends)).groupBy("metric_id").agg(F.sum("deps").alias("deps"))
+def _links(edges: DataFrame, weight: Column) -> DataFrame:
+    """``(metric_id, dep_metric_id, w)`` of all edges, each once."""
+    return edges.select("metric_id", "dep_metric_id").distinct().withColumn("w", weight)
+
+
+def _shortcuts(state: DataFrame, best) -> DataFrame:
+    """``(dep_metric_id, target, w_on, w_own)``: nodes that wait for just one other node, and how.
+
+    An edge to such a node can go to what it waits for instead, so a chain halves in every round.
+    """
+    waits = F.col("dep_metric_id").isNotNull()
+    return state.groupBy("metric_id").agg(
+        F.count("dep_metric_id").alias("waiting"), F.max("dep_metric_id").alias("target"),
+        best(F.when(waits, F.col("w"))).alias("w_on"), best(F.when(~waits, F.col("w"))).alias("w_own"),
+    ).filter("waiting = 1 AND target <> metric_id").select(F.col("metric_id").alias("dep_metric_id"), "target", "w_on", "w_own")
+
+
+def _merged(rows: Column, state: DataFrame, best) -> DataFrame:
+    found = state.select("metric_id", F.inline(rows)).filter("w IS NOT NULL")
+    return found.groupBy("metric_id", "dep_metric_id").agg(best("w").alias("w"))
+
+
+def _row(dep: Column, w: Column) -> Column:
+    # on a cycle an edge is put together without end; no path that counts is as long as this
+    return F.struct(dep.alias("dep_metric_id"), F.when(w.isNotNull(), F.least(w, F.lit(1 << 40))).alias("w"))
 
 
 def dag_depth(edges: DataFrame) -> DataFrame:
     """``(metric_id, depth, cyclic)``: longest path from a root.
 
-    Nodes are released once all their dependencies are; whatever is never released
-    lies on a cycle or downstream of one and has no depth.
+    Nodes are released once all their dependencies are; whatever is never released lies on a cycle
+    or downstream of one and has no depth. An edge to a node that waits for one other node only is
+    moved on to that node, with the length of both, from round ``PLAIN_ROUNDS`` on, so chains and trees take as many rounds as the
+    logarithm of their length; what was released takes no part in later rounds.
+
+    The state has one row ``(metric_id, dep_metric_id, w)`` per edge that is still waited for, and
+    per node one without a dependency for the longest path found so far.
     """
-    links = edges.select("metric_id", "dep_metric_id").distinct()
-    links = cut_lineage(links)
-    waiting = cut_lineage(_nodes(links))
-    ready = waiting.filter("deps = 0").select("metric_id")
-    waiting = waiting.filter("deps > 0")
+    links = _links(edges, F.lit(1).cast("long"))
+    ends = F.array("metric_id", "dep_metric_id")
+    start = links.select(F.explode(ends).alias("metric_id")).distinct().select(
+        "metric_id", F.lit(None).cast(links.schema["dep_metric_id"].dataType).alias("dep_metric_id"), F.lit(0).cast("long").alias("w"))
+    state = cut_lineage(links.unionByName(start))
+    none = F.lit(None).cast(links.schema["dep_metric_id"].dataType)
     levels: list[DataFrame] = []
-    depth = 0
-    while not ready.isEmpty():
-        levels.append(ready.select("metric_id", F.lit(depth).alias("depth")))
-        released = links.join(
-            ready.withColumnRenamed("metric_id", "dep_metric_id"), "dep_metric_id"
-        ).groupBy("metric_id").agg(F.count(F.lit(1)).alias("released"))
-        waiting = cut_lineage(
-            waiting.join(released, "metric_id", "left").select(
-                "metric_id", (F.col("deps") - F.coalesce("released", F.lit(0))).alias("deps")
-            )
-        )
-        ready = waiting.filter("deps = 0").select("metric_id")
-        waiting = waiting.filter("deps > 0")
-        depth += 1
-    cyclic = waiting.select("metric_id", F.lit(None).cast("int").alias("depth"))
-    return reduce(DataFrame.unionByName, [*levels, cyclic]).withColumn(
-        "cyclic", F.col("depth").isNull()
-    )
+    while True:
+        ready = cut_lineage(state.groupBy("metric_id").agg(
+            F.count("dep_metric_id").alias("waiting"), F.max("w").alias("depth")).filter("waiting = 0").select("metric_id", "depth"))
+        if ready.isEmpty():
+            break
+        levels.append(ready)
+        told = state.join(ready.select("metric_id"), "metric_id", "left_anti").join(ready.select(_as_dependency(), "depth"), "dep_metric_id", "left")
+        known = F.col("depth").isNotNull()
+        state = _merged(
+            F.array(_row(F.when(known, none).otherwise(F.col("dep_metric_id")), F.col("w") + F.coalesce("depth", F.lit(0)))),
+            told, F.max)
+        if len(levels) <= PLAIN_ROUNDS:
+            state = cut_lineage(state)
+            continue
+        moved = state.join(_shortcuts(state, F.max), "dep_metric_id", "left")
+        state = cut_lineage(_merged(F.when(F.col("target").isNull(), F.array(_row(F.col("dep_metric_id"), F.col("w")))).otherwise(
+            F.array(_row(F.col("target"), F.col("w") + F.col("w_on")), _row(none, F.col("w") + F.col("w_own")))), moved, F.max))
+    stuck = state.select("metric_id").distinct().withColumn("depth", F.lit(None).cast("int"))
+    done = [level.withColumn("depth", F.col("depth").cast("int")) for level in levels]
+    return reduce(DataFrame.unionByName, [*done, stuck]).withColumn("cyclic", F.col("depth").isNull())
 
 
 def dag_closure(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """``(metric_id, hops)``: all nodes that depend on a source, with the fewest steps.
 
-    Only newly reached nodes are expanded, so cycles end the walk by themselves.
+    The first ``PLAIN_ROUNDS`` steps expand newly reached nodes only. Whatever lies further is told
+    the steps of reached nodes in every round, while edges to a node with one dependency move on to
+    that dependency; it ends when no number of steps falls. So chains take as many rounds as the
+    logarithm of their length, and cycles end by themselves.
     """
-    links = cut_lineage(edges.select("metric_id", "dep_metric_id").distinct())
-    frontier = cut_lineage(sources.select("metric_id").distinct().withColumn("hops", F.lit(0)))
-    reached = frontier
-    hops = 0
-    while not frontier.isEmpty():
-        hops += 1
-        step = (
-            links.join(frontier.select(F.col("metric_id").alias("dep_metric_id")), "dep_metric_id",
-                       "left_semi")
-            .select("metric_id").distinct().join(reached, "metric_id", "left_anti")
-            .withColumn("hops", F.lit(hops))
-        )
-        frontier = cut_lineage(step)
+    links = cut_lineage(_links(edges, F.lit(1).cast("long")))
+    frontier = cut_lineage(sources.select("metric_id").distinct().withColumn("w", F.lit(0).cast("long")))
+    reached, rounds = frontier, 0
+    while not frontier.isEmpty() and rounds < PLAIN_ROUNDS:
+        rounds += 1
+        step = links.join(frontier.select(_as_dependency()), "dep_metric_id", "left_semi").select("metric_id").distinct()
+        frontier = cut_lineage(step.join(reached, "metric_id", "left_anti").withColumn("w", F.lit(rounds).cast("long")))
         reached = reached.unionByName(frontier)
-    return reached
+    if frontier.isEmpty():
+        return reached.select("metric_id", F.col("w").cast("int").alias("hops"))
+    none = F.lit(None).cast(links.schema["dep_metric_id"].dataType)
+    # what a reached node depends on cannot bring it nearer
+    rest = links.join(reached.select("metric_id"), "metric_id", "left_anti")
+    state = cut_lineage(rest.unionByName(reached.withColumn("dep_metric_id", none)))
+    before = None
+    while True:
+        found = state.filter("dep_metric_id IS NULL")
+        size = found.agg(F.count(F.lit(1)), F.sum("w")).first()
+        if size == before:
+            break
+        before = size
+        hops = found.select(_as_dependency(), F.col("w").alias("hops"))
+        told = state.join(hops, "dep_metric_id", "left").join(_shortcuts(state, F.min), "dep_metric_id", "left")
+        state = cut_lineage(_merged(
+            F.array(_row(F.coalesce("target", "dep_metric_id"), F.col("w") + F.coalesce("w_on", F.lit(0))), _row(none, F.col("w") + F.col("hops"))), told, F.min))
+    return state.filter("dep_metric_id IS NULL").select("metric_id", F.col("w").cast("int").alias("hops"))
 
 
 def propagate_pairs(edges: DataFrame, local: DataFrame, item: str) -> DataFrame:
