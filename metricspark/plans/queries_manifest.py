@@ -163,20 +163,22 @@ def content_hash(t):
   sha256(CAST(sum(CAST(('0x' || substr(sha256(event_id || '|' || event_type), 1, 15)) AS BIGINT)) AS STRING)) AS input_hash
 FROM events""")
 def run_audit(t):
-    return publish.run_audit(t.events, *_AUDITED)
+    return publish.run_audit(t.events, *_audited())
 
 
-_AUDITED = (
-    {"errors": F.col("event_type") == "error", "large": F.col("value") > 10},
-    {"NEGATIVE_VALUES": F.col("value") < 0, "ERROR_EVENTS": F.col("event_type") == "error"},
-    [F.col("event_id"), F.col("event_type")],
-)
+def _audited():
+    """Counters, warnings and hashed columns of the audit."""
+    return (
+        {"errors": F.col("event_type") == "error", "large": F.col("value") > 10},
+        {"NEGATIVE_VALUES": F.col("value") < 0, "ERROR_EVENTS": F.col("event_type") == "error"},
+        [F.col("event_id"), F.col("event_type")],
+    )
 
 
 @query("run_audit_observed", ORACLES["run_audit"])
 def run_audit_observed(t):
     """The audit of a run that counts its events by type, taken while it does so."""
-    events, seen = publish.observed_audit(t.events, "run", *_AUDITED)
+    events, seen = publish.observed_audit(t.events, "run", *_audited())
     events.groupBy("event_type").count().write.format("noop").mode("overwrite").save()
     return config_table(t.spark, [tuple(seen.get.values())], "records bigint, errors bigint, large bigint, warnings string, input_hash string")
 
