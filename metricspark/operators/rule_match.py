@@ -7,8 +7,10 @@
    of ``GRAM`` characters, a regular expression under the rarest piece of a literal it cannot do
    without. Texts are filed under all their pieces, so both meet by equality; the test itself is
    then made on the pairs that met. A test without any literal meets every distinct text.
-3. A rule is led by the condition that fewest combinations meet; its other conditions are looked up
-   for those alone.
+3. Rules that ask the same are one body with several ids; what follows is done once per body, on
+   numbers of combinations, texts and bodies.
+4. A body is led by the condition that fewest combinations meet; its other conditions are looked up
+   for those alone. Ids, status and result are put together per combination, and records come last.
 
 The driver reads the names of fields and operators and the lengths of anchors, nothing else.
 """
@@ -94,15 +96,16 @@ def passed_tests(texts: DataFrame, tests: DataFrame) -> DataFrame:
     return met.filter(_passes(F.col("text"), F.col("op"), F.col("value"))).select("field", "text", "op", "value")
 
 
-def rule_hits(df: DataFrame, rules: DataFrame, *, text: Callable[[Column], Column] = normalize_text, empty: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``(classes, hits)``: the distinct combinations of tested fields, and the rules that each one meets.
+def rule_hits(df: DataFrame, rules: DataFrame, *, text: Callable[[Column], Column] = normalize_text, empty: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(classes, hits, members)``: distinct combinations of tested fields, the bodies each one meets, the rules of a body.
 
     ``rules`` has the columns ``rule_id, condition_no, field, op, value``. Rows of one condition are
     alternatives, all conditions of a rule must hold; a condition is about one field. Texts and values
     are compared in the form that ``text`` gives, but a regular expression is taken as it is; ``empty``
     says whether an empty value is a test at all. Rows of rules that repeat count once; a null value
     counts as empty text, and so does a null field of a record. An operator or a field that is not known is an error.
-    ``classes`` has the fields as ``__field`` and the key ``class``, ``hits`` has ``class, rule_id``.
+    ``classes`` has the fields as ``__field``, the key ``class`` and its number; ``hits`` has ``class_no, body``
+    and ``members`` has ``body, rule_id``.
     """
     known = {(r["field"], r["op"]) for r in rules.select("field", "op").distinct().collect()}
     for field, op in sorted(known, key=str):
@@ -113,31 +116,50 @@ def rule_hits(df: DataFrame, rules: DataFrame, *, text: Callable[[Column], Colum
     fields = sorted({field for field, _ in known})
     raw = F.coalesce(F.col("value").cast("string"), F.lit(""))
     asked = rules.select("rule_id", "condition_no", "field", "op", F.when(F.col("op") == "regex", raw).otherwise(text(raw)).alias("value")).distinct()
-    conditions = cut_lineage(asked if empty else asked.filter("value <> ''"))
+    asked = cut_lineage(asked if empty else asked.filter("value <> ''"))
     needed = rules.groupBy("rule_id").agg(F.countDistinct("condition_no").alias("needed"))
-    held = class_texts(df, fields, text)
-    classes = cut_lineage(held.distinct())
+    bodies, members = _bodies(asked, needed)
+    conditions = cut_lineage(asked.join(bodies, "rule_id").select("body", "condition_no", *_TEST))
+    needed = bodies.select("body", "needed")
+    classes = cut_lineage(class_texts(df, fields, text).distinct().withColumn("class_no", F.monotonically_increasing_id()))
     if not fields:
-        return classes, classes.select("class", F.lit("").alias("rule_id")).limit(0)
-    long = classes.unpivot("class", [f"__{f}" for f in fields], "field", "text").withColumn("field", F.expr("substring(field, 3)"))
-    passed = cut_lineage(passed_tests(long.select("field", "text").distinct(), conditions.select(*_TEST).distinct()))
-    met = cut_lineage(conditions.join(passed, _TEST).select("rule_id", "condition_no", "field", "text").distinct())
+        return classes, classes.select("class_no", F.lit(0).cast("bigint").alias("body")).limit(0), members
+    long = classes.unpivot("class_no", [f"__{f}" for f in fields], "field", "text").withColumn("field", F.expr("substring(field, 3)"))
+    texts = cut_lineage(long.select("field", "text").distinct().withColumn("text_no", F.monotonically_increasing_id()))
+    long = cut_lineage(long.join(texts, ["field", "text"]).select("class_no", "field", "text_no"))
+    passed = cut_lineage(passed_tests(texts, conditions.select(*_TEST).distinct()).join(texts, ["field", "text"]).select(*_TEST, "text_no"))
+    met = cut_lineage(conditions.join(passed, _TEST).select("body", "condition_no", "field", "text_no").distinct())
     # how many combinations meet a condition, from the sizes of the texts
-    sizes = long.groupBy("field", "text").agg(F.count(F.lit(1)).alias("classes"))
-    cost = met.join(sizes, ["field", "text"]).groupBy("rule_id", "condition_no").agg(F.sum("classes").alias("cost"))
+    sizes = long.groupBy("text_no").agg(F.count(F.lit(1)).alias("classes"))
+    cost = met.join(sizes, "text_no").groupBy("body", "condition_no").agg(F.sum("classes").alias("cost"))
     order = F.struct("cost", "condition_no")
-    # a rule with a condition that nothing meets has no hit
-    live = cost.groupBy("rule_id").agg(F.min(order)["condition_no"].alias("lead"), F.count(F.lit(1)).alias("met")).join(
-        needed, "rule_id").filter("met = needed").drop("met")
+    # a body with a condition that nothing meets has no hit
+    live = cost.groupBy("body").agg(F.min(order)["condition_no"].alias("lead"), F.count(F.lit(1)).alias("met")).join(
+        needed, "body").filter("met = needed").drop("met")
     live = cut_lineage(live)
-    led = met.join(live.select("rule_id", F.col("lead").alias("condition_no"), "needed"), ["rule_id", "condition_no"]).join(
-        long, ["field", "text"]).select("class", "rule_id", "needed")
-    others = met.join(live.filter("needed > 1").select("rule_id", "lead"), "rule_id").filter("condition_no <> lead")
-    asked_of = others.select("rule_id", "condition_no", "field").distinct()
-    looked_up = led.filter("needed > 1").join(asked_of, "rule_id").join(long, ["class", "field"]).join(
-        others.select("rule_id", "condition_no", "field", "text"), ["rule_id", "condition_no", "field", "text"], "left_semi")
-    whole = looked_up.groupBy("class", "rule_id").agg(F.count(F.lit(1)).alias("held"), F.first("needed").alias("needed")).filter("held = needed - 1")
-    return classes, led.filter("needed = 1").select("class", "rule_id").unionByName(whole.select("class", "rule_id"))
+    led = met.join(live.select("body", F.col("lead").alias("condition_no"), "needed"), ["body", "condition_no"]).join(
+        long.select("class_no", "text_no"), "text_no").select("class_no", "body", "needed")
+    others = met.join(live.filter("needed > 1").select("body", "lead"), "body").filter("condition_no <> lead")
+    asked_of = others.select("body", "condition_no", "field").distinct()
+    looked_up = led.filter("needed > 1").join(asked_of, "body").join(long, ["class_no", "field"]).join(
+        others.select("body", "condition_no", "text_no"), ["body", "condition_no", "text_no"], "left_semi")
+    whole = looked_up.groupBy("class_no", "body").agg(F.count(F.lit(1)).alias("held"), F.first("needed").alias("needed")).filter("held = needed - 1")
+    return classes, led.filter("needed = 1").select("class_no", "body").unionByName(whole.select("class_no", "body")), members
+
+
+def _bodies(asked: DataFrame, needed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rule_id, body, needed`` of one rule of every body, and ``body, rule_id`` of all rules.
+
+    Rules have one body if their conditions are the same; sets of conditions are compared by their sizes
+    and two sums of hashes, so no rule is gathered in one place.
+    """
+    row = ["condition_no", *_TEST]
+    digest = asked.groupBy("rule_id").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.xxhash64(F.lit(seed), *row).cast("decimal(20,0)")).alias(f"h{seed}") for seed in (1, 2)])
+    same = ["needed", "n", "h1", "h2"]
+    rules = cut_lineage(digest.join(needed, "rule_id"))
+    bodies = cut_lineage(rules.groupBy(*same).agg(F.min("rule_id").alias("rule_id")).withColumn("body", F.monotonically_increasing_id()))
+    return bodies.select("rule_id", "body", "needed"), rules.join(bodies.drop("rule_id"), same).select("body", "rule_id")
 
 
 def class_texts(df: DataFrame, fields: list[str], text: Callable[[Column], Column]) -> DataFrame:
@@ -146,13 +168,29 @@ def class_texts(df: DataFrame, fields: list[str], text: Callable[[Column], Colum
     return df.select(*forms).withColumn("class", F.sha2(F.to_json(F.struct(*[F.col(f"`__{f}`") for f in fields])), 256))
 
 
-def _joined(df: DataFrame, rules: DataFrame, text: Callable[[Column], Column], empty: bool) -> DataFrame:
-    _, hits = rule_hits(df, rules, text=text, empty=empty)
+def _class_ids(df: DataFrame, rules: DataFrame, text: Callable[[Column], Column], empty: bool, results: DataFrame | None = None) -> DataFrame:
+    """``__class, rule_ids`` of all combinations that meet a rule, with the ``result`` of those that meet one."""
+    classes, hits, members = rule_hits(df, rules, text=text, empty=empty)
+    ids = members.groupBy("body").agg(F.collect_list("rule_id").alias("ids"))
+    own = []
+    if results is not None:
+        # Looked up where rules are few: combinations without a result never meet in one task.
+        maps = results.groupBy("rule_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("result"))
+        ids = ids.join(members.join(maps, "rule_id").groupBy("body").agg(F.first("result").alias("result")), "body", "left")
+        own = [F.first("result", ignorenulls=True).alias("result")]
+    met = hits.join(ids, "body").groupBy("class_no").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("rule_ids"), *own)
+    if own:
+        met = met.withColumn("result", F.when(F.size("rule_ids") == 1, F.col("result")))
+    return met.join(classes.select("class_no", F.col("class").alias("__class")), "class_no").drop("class_no")
+
+
+def _joined(df: DataFrame, rules: DataFrame, text: Callable[[Column], Column], ids: DataFrame) -> DataFrame:
+    """All records with the columns of their combination; ``rule_ids`` are empty where it meets no rule."""
     fields = sorted(r["field"] for r in rules.select("field").distinct().collect())
     forms = F.struct(*[text(F.col(f"`{f}`")).alias(f"__{f}") for f in fields])
-    ids = hits.groupBy("class").agg(F.sort_array(F.collect_list("rule_id")).alias("rule_ids")).withColumnRenamed("class", "__class")
     none = F.array().cast("array<string>")
-    return df.withColumn("__class", F.sha2(F.to_json(forms), 256)).join(ids, "__class", "left").drop("__class").withColumn(
+    # Lists of ids are far wider than any estimate made from the tables: never broadcast.
+    return df.withColumn("__class", F.sha2(F.to_json(forms), 256)).join(ids.hint("merge"), "__class", "left").drop("__class").withColumn(
         "rule_ids", F.coalesce("rule_ids", none))
 
 
@@ -162,11 +200,10 @@ def strict_classify_from_tables(df: DataFrame, rules: DataFrame, results: DataFr
     ``rules`` as for ``rule_hits``; ``results`` has ``rule_id, name, value``. Exactly one matching rule
     classifies. A rule is what has conditions: one without any row does not exist.
     """
-    marked = _joined(df, rules, normalize_text, True).withColumn(
-        "rule_status", F.when(F.size("rule_ids") == 0, "UNKNOWN").when(F.size("rule_ids") == 1, "OK").otherwise("AMBIGUOUS"))
-    maps = results.groupBy("rule_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("result"))
-    only = F.when(F.col("rule_status") == "OK", F.col("rule_ids")[0])
-    return marked.withColumn("__only", only).join(maps.withColumnRenamed("rule_id", "__only"), "__only", "left").drop("__only")
+    n = F.size("rule_ids")
+    status = F.when(n == 0, "UNKNOWN").when(n == 1, "OK").otherwise("AMBIGUOUS")
+    marked = _joined(df, rules, normalize_text, _class_ids(df, rules, normalize_text, True, results))
+    return marked.select(*[F.col(f"`{c}`") for c in df.columns], "rule_ids", status.alias("rule_status"), "result")
 
 
 def multi_classify_from_tables(df: DataFrame, categories: DataFrame) -> DataFrame:
@@ -180,4 +217,4 @@ def multi_classify_from_tables(df: DataFrame, categories: DataFrame) -> DataFram
     if unknown:
         raise UnknownOperator(unknown["operator"])
     rules = categories.select(F.col("code").alias("rule_id"), F.lit(1).alias("condition_no"), "field", op.alias("op"), "value")
-    return _joined(df, rules, casefold_text, False).withColumnRenamed("rule_ids", "codes")
+    return _joined(df, rules, casefold_text, _class_ids(df, rules, casefold_text, False)).withColumnRenamed("rule_ids", "codes")

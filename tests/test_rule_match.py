@@ -74,3 +74,18 @@ def test_literals(spark):
     rows = [("#1[0-9]$", "#1"), ("ABC+D", "ABC"), ("AB?CDE", "CDE"), ("AB{2}", "A"), ("A|B", ""), (r"\d+A", ""), ("[^]A]BC", "BC"), (".*", "")]
     df = spark.createDataFrame(rows, "p string, want string").withColumn("got", rule_match.required_literal(F.col("p")))
     assert [(r.p, r.got) for r in df.collect()] == [(p, w) for p, w in rows]
+
+
+def test_rules_that_ask_the_same_are_one_body(spark):
+    """Copies of a rule, in any order of rows, are worked out once; a condition nobody can meet keeps a rule apart."""
+    rules = [(f"r{i:03}", no, field, "contains", value) for i in range(200) for no, field, value in ((1, "a", "oak"), (2, "b", "red"))]
+    rules += [("s", 2, "b", "contains", "red"), ("s", 1, "a", "contains", "oak"), ("one", 1, "a", "eq", "elm"), ("two", 1, "a", "eq", "")]
+    df = spark.createDataFrame([(1, "oak tree", "red"), (2, "elm", "x"), (3, "oak", "blue"), (4, "", "red")], "id int, a string, b string")
+    table = spark.createDataFrame(rules, RULE)
+    classes, hits, members = rule_match.rule_hits(df, table)
+    assert (hits.count(), members.select("body").distinct().count(), members.count()) == (3, 3, 203)
+    results = spark.createDataFrame([("one", "n", "v"), ("r001", "n", "w")], "rule_id string, name string, value string")
+    got = {r.id: (len(r.rule_ids), r.rule_status, r.result) for r in rule_match.strict_classify_from_tables(df, table, results).collect()}
+    assert got == {1: (201, "AMBIGUOUS", None), 2: (1, "OK", {"n": "v"}), 3: (0, "UNKNOWN", None), 4: (1, "OK", None)}
+    dropped = rule_match.rule_hits(df, table, empty=False)
+    assert dropped[1].count() == 2
