@@ -194,21 +194,27 @@ def range_edges(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     row_end, col_start, col_end``. A range is filed under at most two bins of rows and two
     of columns, in the size class it fits in, and a cell under one bin per size class that
     any range has. The join is an equality however long a range is, and no range is
-    spelled out cell by cell.
+    spelled out cell by cell. A cell meets a range under one bin only, so edges of targets that
+    read one range are final as they are found; only those of targets with several are grouped.
     """
     def bins(start: str, end: str, level: str) -> Column:
         return F.explode(F.array_distinct(F.array(
             _bin(F.col(start), F.col(level)), _bin(F.col(end), F.col(level)))))
 
-    filed = ranges.withColumns({
+    target = ["target_sheet", "target_row", "target_col"]
+    several = ranges.groupBy(*target).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        *[F.col(c).alias(f"__{c}") for c in target], F.lit(True).alias("several"))
+    known = ranges.join(several, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in target], "left").drop(*[f"__{c}" for c in target])
+    filed = known.withColumns({
         "rows": _level("row_start", "row_end"), "cols": _level("col_start", "col_end"),
     }).withColumn("row_bin", bins("row_start", "row_end", "rows")).withColumn(
         "col_bin", bins("col_start", "col_end", "cols"))
     # the classes in use are pairs of bit lengths, so a few dozen at most
     classes = filed.agg(F.collect_set(F.struct("rows", "cols"))).scalar()
-    spots = cells.select(*CELL_KEY, classes.alias("classes")).select(*CELL_KEY, F.inline("classes")).withColumns({"row_bin": _bin(F.col("row_no"), F.col("rows")), "col_bin": _bin(F.col("col_no"), F.col("cols"))})
+    spots = cells.select(*CELL_KEY).distinct().withColumn("classes", classes).select(*CELL_KEY, F.inline("classes")).withColumns({"row_bin": _bin(F.col("row_no"), F.col("rows")), "col_bin": _bin(F.col("col_no"), F.col("cols"))})
     single = (F.col("row_start") == F.col("row_end")) & (F.col("col_start") == F.col("col_end"))
-    hits = spots.join(filed, [
+    # What the estimate knows of a side is its file, not what the bins multiply it by: never broadcast.
+    hits = spots.hint("merge").join(filed, [
         spots["sheet"] == filed["ref_sheet"],
         *[spots[c] == filed[c] for c in ("rows", "cols", "row_bin", "col_bin")],
         spots["row_no"].between(filed["row_start"], filed["row_end"]),
@@ -218,8 +224,10 @@ def range_edges(cells: DataFrame, ranges: DataFrame) -> DataFrame:
         & (F.col("col_no") == F.col("target_col"))
     ))
     kind = F.when(F.col("sheet") != F.col("target_sheet"), "cross_sheet").when(single, "cell").otherwise("range")
-    pair = [*CELL_KEY, "target_sheet", "target_row", "target_col"]
-    return hits.groupBy(*pair).agg(F.min_by(kind, F.col("ref_no")).alias("dependency_type"))
+    pair = [*CELL_KEY, *target]
+    edges = hits.select(*pair, "ref_no", "several", kind.alias("dependency_type"))
+    return edges.filter("several IS NULL").select(*pair, "dependency_type").unionByName(
+        edges.filter("several").groupBy(*pair).agg(F.min_by("dependency_type", "ref_no").alias("dependency_type")))
 
 
 def merge_anchor(cells: DataFrame, merges: DataFrame, targets: DataFrame | None = None) -> DataFrame:
