@@ -90,17 +90,19 @@ def map_metrics(metrics: DataFrame) -> DataFrame:
     """Semantic reading of metrics from their label paths and criteria.
 
     Input: ``metric_id, form, row_path, column_path, criteria`` (arrays), ``formula_age``
-    (struct), ``context_status, own_header``. All of it is one projection.
+    (struct), ``context_status, own_header``. Labels are read once per row, in steps that the
+    optimizer does not copy into the flags that use them.
     """
-    age_label = F.get(L.first_age(L.normal_path(F.col("column_path"))), F.lit(0))
-    read = metrics.withColumns({
+    labels = evaluate_once(metrics.withColumn("__labels", L.normal_path(F.col("column_path"))), ["__labels"])
+    read = evaluate_once(labels.withColumns({
         "sex": infer_two_source(F.col("column_path"), F.col("criteria")),
-        "age": infer_interval(age_label, F.col("formula_age"), F.col("context_status") == "AMBIGUOUS"),
-        "proc": L.procedure_code(F.col("row_path")),
-    })
+        "__age": F.get(L.first_age(F.col("__labels")), F.lit(0)), "proc": L.procedure_code(F.col("row_path")),
+    }), ["sex", "__age", "proc"])
+    read = evaluate_once(read.withColumn("age", infer_interval(
+        F.col("__age"), F.col("formula_age"), F.col("context_status") == "AMBIGUOUS")), ["age"])
     known = F.col("sex.status").isin(*L.RESOLVED) | F.col("age.status").isin(*L.RESOLVED)
-    scoped = read.withColumn("scope", aggregation_scope(
-        F.col("column_path"), F.col("row_path"), F.col("own_header"), known | (F.col("proc.code") != "")))
+    scoped = evaluate_once(read.withColumn("scope", aggregation_scope(
+        F.col("column_path"), F.col("row_path"), F.col("own_header"), known | (F.col("proc.code") != ""))), ["scope"])
     conflict = F.col("sex.conflict").isNotNull() | F.col("age.conflict").isNotNull()
     procedure = F.when(F.col("proc.code") != "", "EXPLICIT").when(
         F.col("scope.scope").isin(*fixed.ROLLUP_SCOPES), "NOT_APPLICABLE").otherwise("UNRESOLVED")
@@ -167,7 +169,7 @@ def readiness(mapped: DataFrame, policy: ReadinessPolicy) -> DataFrame:
             F.when(policy.required(d, F.col("form"), rollup), "REVIEW").otherwise("INFO")))
         for d in DIMENSIONS
     ]
-    out = mapped.withColumn("issues", F.array_compact(F.array(*found)))
+    out = evaluate_once(mapped.withColumn("issues", F.array_compact(F.array(*found))), ["issues"])
     has = lambda s: F.exists("issues", lambda x: x["severity"] == s)
     reasons = F.array_sort(F.array_distinct(F.transform(
         F.filter("issues", lambda x: x["severity"] != "INFO"), lambda x: x["issue_type"])))
