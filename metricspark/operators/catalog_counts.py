@@ -11,6 +11,9 @@
 3. A term with negations only is the same as signed terms with the negated predicates turned
    around (``not a`` counts all less ``a``), so it is filed like the others.
 
+Terms with the same predicates are one body: all this is done once per body, and metrics take up
+the counts of their bodies with their signs at the end.
+
 Only the names of the columns, with how many numbers are asked of each, are read by the driver.
 """
 
@@ -146,6 +149,18 @@ def filed_terms(terms: DataFrame, parsed: DataFrame, places: DataFrame) -> DataF
     return anchored.select("metric_id", "sign", F.when(F.col("best").isNull(), none).otherwise(rest).alias("preds"), F.explode(keys).alias("key"))
 
 
+def term_bodies(terms: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(members, bodies, asked)``: the body of every term, bodies as terms of their own, their predicates."""
+    term, asks = ["metric_id", "term_no"], ["col", "op", "kind", "number", "text", "pattern", "stem"]
+    same = F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct(*asks)))), 256)
+    members = cut_lineage(terms.join(parsed.groupBy(*term).agg(same.alias("body")), term, "left").select(
+        *term, "sign", F.coalesce("body", F.lit("")).alias("body")))
+    one = cut_lineage(members.groupBy("body").agg(F.min(F.struct(*term)).alias("first")).select("first.*", "body"))
+    bodies = one.select(F.col("body").alias("metric_id"), F.lit(1).alias("term_no"), F.lit(1).alias("sign"))
+    asked = parsed.join(one, term).select(F.col("body").alias("metric_id"), F.lit(1).alias("term_no"), *asks)
+    return members, bodies, cut_lineage(asked)
+
+
 def _holds(p: Column, classes: str) -> Column:
     """Whether a predicate holds for the class of its column."""
     of = F.element_at(F.col(classes), p["col"])
@@ -189,7 +204,9 @@ def metric_counts_from_tables(facts: DataFrame, terms: DataFrame, predicates: Da
     raws = {c: f"__r{i}" for i, c in enumerate(columns)}
     grouped = facts.groupBy(F.col(period).alias("period"), *[F.col(f"`{c}`").alias(raws[c]) for c in columns]).agg(F.count(F.lit(1)).alias("n"))
     grouped = cut_lineage(grouped)
-    filed = filed_terms(terms, parsed, places)
+    members, bodies, asked = term_bodies(terms, parsed)
+    filed = cut_lineage(filed_terms(bodies, asked, places))
+    of_body = members.select("metric_id", "body", F.col("sign").cast("bigint").alias("own"))
     by_class = grouped.select("period", "n")
     if columns:
         values = grouped.select(F.inline(F.array(*[F.struct(
@@ -206,11 +223,13 @@ def metric_counts_from_tables(facts: DataFrame, terms: DataFrame, predicates: Da
         seen = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(s) for s in sees]))
         asking = by_class.select("period", "n", seen.alias("classes"), F.explode(found_by).alias("key"))
         hits = asking.join(filed.filter("key IS NOT NULL"), "key").filter(F.forall("preds", lambda p: _holds(p, "classes")))
-        found = hits.groupBy("period", "metric_id").agg(F.sum(F.col("sign") * F.col("n")).alias("hits"))
+        counted = cut_lineage(hits.groupBy("period", F.col("metric_id").alias("body")).agg(F.sum(F.col("sign") * F.col("n")).alias("hits")))
+        found = of_body.join(counted, "body").groupBy("period", "metric_id").agg(F.sum(F.col("own") * F.col("hits")).alias("hits"))
     else:
         found = None
     # Every metric next to every period: that grid is the result, dealt among tasks by the metric.
-    whole = filed.filter("key IS NULL").groupBy("metric_id").agg(F.sum("sign").alias("whole"))
+    whole = filed.filter("key IS NULL").groupBy(F.col("metric_id").alias("body")).agg(F.sum("sign").alias("whole"))
+    whole = of_body.join(whole, "body").groupBy("metric_id").agg(F.sum(F.col("own") * F.col("whole")).alias("whole"))
     metrics = terms.select("metric_id").distinct().join(whole, "metric_id", "left").withColumn("salt", F.pmod(F.xxhash64("metric_id"), F.lit(GRID_SALTS)))
     periods = grouped.groupBy("period").agg(F.sum("n").alias("total")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(GRID_SALTS - 1).cast("bigint"))))
     grid = periods.join(metrics, "salt").select(F.col("period").alias("__p"), F.col("metric_id").alias("__m"), (F.coalesce("whole", F.lit(0)) * F.col("total")).alias("base"))

@@ -102,3 +102,18 @@ def test_terms_never_reach_the_driver(spark, monkeypatch):
         got = {r["metric_id"]: r["value"] for r in frame.toLocalIterator()}
         assert got == {f"m{i}": 10 * max(0, 49 - i % 60) for i in range(n)}
     assert sizes[0] == sizes[1]
+
+
+def test_terms_that_ask_the_same_are_one_body(spark):
+    """Terms with the same predicates, in any order, are filed once and keep their own signs."""
+    terms = spark.createDataFrame([*[(f"m{i}", 1, 1 if i % 2 else -1) for i in range(40)], ("n", 1, 1), ("n", 2, 1), ("all", 1, 2)],
+                                  "metric_id string, term_no int, sign int")
+    both = [("sex", "", "F"), ("age", ">", "3")]
+    preds = [(f"m{i}", 1, no, *p) for i in range(40) for no, p in enumerate(both if i % 3 else both[::-1])]
+    preds += [("n", 1, 1, "sex", "<>", "F"), ("n", 2, 1, "sex", "", "F")]
+    table = spark.createDataFrame(preds, "metric_id string, term_no int, pred_no int, col string, op string, value string")
+    members, bodies, asked = cc.term_bodies(terms, cc.parsed_predicates(table))
+    assert (members.count(), bodies.count(), asked.count()) == (43, 4, 4)
+    df = spark.createDataFrame([("p", "F", 2), ("p", "F", 5), ("p", "F", 9), ("p", "M", 9)], "period string, sex string, age int")
+    got = {r.metric_id: r.value for r in cc.metric_counts_from_tables(df, terms, table).collect()}
+    assert got == {**{f"m{i}": 2 if i % 2 else -2 for i in range(40)}, "n": 4, "all": 8}
