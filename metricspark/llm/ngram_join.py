@@ -56,8 +56,10 @@ _SIGNATURES = "doc_id long, key long, n long, class long, bits array<long>, chun
 _POSTINGS = "token long, class long, size long"
 #: A class's ``size`` is its n and, in the lower bits, its need.
 NEED_BITS = 24
-#: Words of 64 places in the map of a set that rules candidates out before sets travel.
-SET_WORDS = 16
+#: A word of 64 places, in the map of a set that rules candidates out before sets travel, for so many hashes at most.
+PER_WORD = 32
+#: Places per shingle of the longest prefix in the map that rules pairs out where common shingles meet.
+LIST_PLACES = 4
 #: Bits of the map that keeps classes without candidates out of the comparison of sets.
 MAP_BITS = 1 << 22
 
@@ -68,13 +70,23 @@ def _class_key(one: np.ndarray) -> int:
     return int(K.mix(terms.sum(keepdims=True) + np.uint64(len(one)))[0].view(np.int64))
 
 
-def _set_bits(one: np.ndarray) -> np.ndarray:
-    """A map of which of some places a set's hashes fall on."""
-    flags = np.zeros(64 * SET_WORDS, bool)
-    flags[((one >> np.uint64(32)) % np.uint64(64 * SET_WORDS)).astype(np.int64)] = True
+def _bit_words(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A map, in words of 64 places, of the places that hashes fall on."""
+    flags = np.zeros(64 * words, bool)
+    flags[(hashes % np.uint64(64 * words)).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little").view("<i8")
 
 
+def _set_bits(one: np.ndarray) -> np.ndarray:
+    """A map of a set that grows with it, to a power of two of words, so that halves laid together make the smaller map."""
+    return _bit_words(one >> np.uint64(32), 1 << (max(1, -(-len(one) // PER_WORD)) - 1).bit_length())
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(v) for v in values], dtype=np.int64)))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values) if values else [], pa.int64()))
+
+
 def _buckets(tokens: np.ndarray) -> np.ndarray:
     return (tokens & np.uint64(COUNTERS - 1)).astype(np.int64)
 
@@ -97,8 +109,7 @@ def _signature_rows(size: int):
                     waiting, held = [], 0
             empty = [None] * len(ns)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(ns) + 1) * SET_WORDS, pa.int32()), pa.array(np.concatenate(bits) if bits else [], pa.int64())),
+                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), _lists(bits),
                  pa.array(empty, pa.int32()), pa.array(empty, pa.int32()), pa.array(empty, pa.binary())],
                 names=["doc_id", "key", "n", "class", "bits", "chunk", "slot", "counts"])
         if waiting:
@@ -232,13 +243,23 @@ def _possible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFram
     maps = signatures.join(used, "class", "left_semi").dropDuplicates(["class"])
     left, right = (maps.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
 
-    def shared(x: str, y: str) -> F.Column:
-        """At most so many of x's hashes are in y."""
-        alone = F.zip_with(f"bits_{x}", f"bits_{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
-        return F.col(f"n{x}") - F.aggregate(alone, F.lit(0), lambda total, n: total + n)
+    words = F.least(F.size("bits_a"), F.size("bits_b"))
+    met = pairs.join(left, "a").join(right, "b").withColumns({f"bits_{x}": _folded(F.col(f"bits_{x}"), words) for x in "ab"})
+    most = F.least(F.col("na") - _alone("bits_a", "bits_b"), F.col("nb") - _alone("bits_b", "bits_a"))
+    return met.filter(most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _alone(x: str, y: str) -> F.Column:
+    """How many places x's map has and y's lacks: so many hashes at least are in x alone."""
+    alone = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+    return F.aggregate(alone, F.lit(0), lambda total, n: total + n)
 
-    most = F.least(shared("a", "b"), shared("b", "a"))
-    return pairs.join(left, "a").join(right, "b").filter(most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+def _folded(bits: F.Column, words: F.Column) -> F.Column:
+    """A set's map as it is with fewer words."""
+    parts = F.sequence(F.lit(1), F.floor(F.size(bits) / words).cast("int") - 1)
+    return F.when(F.size(bits) == words, bits).otherwise(F.aggregate(
+        parts, F.slice(bits, F.lit(1), words), lambda low, i: F.zip_with(low, F.slice(bits, i * words + 1, words), lambda p, q: p.bitwiseOR(q))))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -279,10 +300,12 @@ class _Rule:
         whole = F.ceil((self.n(x) + self.n(y)) * self.percent / (100 + self.percent))
         return F.greatest(F.least(self.need(x), self.need(y)), whole - F.greatest(self.rest(x), self.rest(y)))
 
-    def may(self, x: str, y: str) -> F.Column:
+    def fit(self, x: str, y: str) -> F.Column:
         nx, ny = self.n(x), self.n(y)
-        fit = F.least(nx, ny) * 100 >= F.greatest(nx, ny) * self.percent
-        return fit & (F.least(x + "hits", y + "hits") >= self.must(x, y))
+        return F.least(nx, ny) * 100 >= F.greatest(nx, ny) * self.percent
+
+    def may(self, x: str, y: str) -> F.Column:
+        return self.fit(x, y) & (F.least(x + "hits", y + "hits") >= self.must(x, y))
 
     def must_near(self, x: str) -> F.Column:
         """No fewer than this many are shared with any class of the same or a neighbouring band."""
@@ -304,38 +327,57 @@ def _marked(rows: DataFrame, mark: str, *keys: str) -> DataFrame:
     return rows.select(*keys, *[F.col(c).alias(mark + c) for c in rows.columns if c not in keys])
 
 
+def _list_words(band: int, percent: int) -> int:
+    """Words of the maps that classes of a band are compared by, in proportion to the longest prefix there."""
+    return max(1, int(np.ceil((1 - percent / 100 + 5 * GROWTH) * BAND ** (band + 1) * LIST_PLACES / 64)))
+
+
+def _mapped_rows(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.names.index("tokens")
+            tokens = [np.asarray(x.values).view(np.uint64) >> np.uint64(20) for x in batch.column(at)]
+            bands = batch.column(batch.schema.names.index("band")).to_pylist()
+            maps = [_lists([_bit_words(t, _list_words(b - step, percent)) for t, b in zip(tokens, bands)]) for step in (0, 1)]
+            others = [i for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in others] + maps, names=[batch.schema.names[i] for i in others] + ["own", "below"])
+    return run
+
+
 def _near_pairs(common: DataFrame, rule: _Rule) -> DataFrame:
     """Candidate pairs (a, b) in the same or neighbouring bands of size that agree only on common shingles.
 
     Classes of like size must agree on so many prefix shingles that the first of those they have
-    in common stands early in either list: only such beginnings are joined, each row with what of
-    its list lies ahead. The join itself counts what a pair shares and lets the pair through once,
-    at its first common shingle, so large groups of like documents leave no more rows than candidates.
+    in common stands early in either list: only such beginnings are joined. A row has no list, only its
+    place and a map of its list: what lies behind the place, and the places that one map has and
+    the other lacks, bound what a pair can share. So a pair comes through where it first meets at least, and
+    large groups of like documents leave rows for candidates only.
     """
-    facts = ["class", "root", "size", "hits"]
-    lists = common.groupBy(*facts).agg(F.array_sort(F.collect_list(F.struct("token", "minor"))).alias("list"))
-    early = lists.withColumn("many", F.size("list") - rule.must_near("") + 1).filter("many > 0")
-    rows = early.select(*facts, F.col("list.token").alias("tokens"), F.posexplode(F.slice("list", 1, F.col("many"))).alias("place", "at"))
-    rows = stored(rows.select(
-        *facts, "at.token", "at.minor", rule.band("").alias("band"),
-        F.slice("tokens", F.col("place") + 1, F.size("tokens")).alias("ahead")))
-    right = _marked(rows, "y_", "token").alias("r")
-
-    def agree(shared: F.Column) -> F.Column:
-        return (F.size(shared) >= rule.must("x_", "y_")) & (F.array_min(shared) == F.col("l.token"))
-
-    def met(left: DataFrame, step: int, once: F.Column) -> DataFrame:
-        return _marked(left, "x_", "token").alias("l").join(
-            right,
-            (F.col("l.token") == F.col("r.token")) & (F.col("x_band") + step == F.col("y_band")) & once
-            & (F.col("x_root") != F.col("y_root")) & rule.may("x_", "y_")
-            & (F.least(F.size("x_ahead"), F.size("y_ahead")) >= rule.must("x_", "y_"))
-            & F.exists(F.array(F.array_intersect("x_ahead", "y_ahead")), agree)
+    lists = common.groupBy("class", "root", "size").agg(F.array_sort(F.collect_list(F.struct("token", "minor"))).alias("list"))
+    early = lists.select("class", "root", "size", rule.band("").alias("band"), F.size("list").alias("length"),
+                         (F.size("list") - rule.must_near("") + 1).alias("many"), "list").filter("many > 0")
+    mapped = stored(early.select("class", "root", "size", "band", "length", F.slice("list", F.lit(1), F.col("many")).alias("first"), F.col("list.token").alias("tokens")).mapInArrow(
+        _mapped_rows(rule.percent),
+        "class long, root long, size long, band int, length int, first array<struct<token: long, minor: boolean>>, own array<long>, below array<long>"))
+
+    def side(step: int) -> DataFrame:
+        """Rows as they meet those of the band that is ``step`` below."""
+        rows = mapped.select("class", "root", "size", "length", (F.col("band") - step).alias("band"),
+                             F.col("below" if step else "own").alias("map"), F.posexplode("first").alias("place", "at"))
+        return rows.select("at.token", "band", "class", "root", "size", "length", (F.col("length") - F.col("place")).alias("left"), "at.minor", "map")
+
+    def met(left: DataFrame, right: DataFrame, once: F.Column) -> DataFrame:
+        must = rule.must("x_", "y_")
+        pairs = _marked(left, "x_", "token", "band").join(_marked(right, "y_", "token", "band"), ["token", "band"])
+        return pairs.filter(
+            once & (F.col("x_root") != F.col("y_root")) & rule.fit("x_", "y_") & (F.least("x_left", "y_left") >= must)
+            & (F.col("x_length") - _alone("x_map", "y_map") >= must) & (F.col("y_length") - _alone("y_map", "x_map") >= must)
         ).select(F.col("x_class").alias("a"), F.col("y_class").alias("b"))
 
     # of two classes in different groups one at least is outside the token's largest group
-    same = met(rows.filter("minor"), 0, ~F.col("y_minor") | (F.col("x_class") < F.col("y_class")))
-    return same.union(met(rows, 1, F.lit(True)))
+    same = met(side(0).filter("minor"), side(0), ~F.col("y_minor") | (F.col("x_class") < F.col("y_class")))
+    return same.union(met(side(0), side(1), F.lit(True)))
 
 
 def _meetings(left: DataFrame, right: DataFrame, keys: list[str], once: F.Column, rule: _Rule, spare: F.Column) -> DataFrame:

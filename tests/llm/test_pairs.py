@@ -76,6 +76,53 @@ def test_join_against_brute_force(spark, monkeypatch, common):
     assert result(ngram_join.ngram_components(df)) == brute(rows)
 
 
+def test_maps_of_long_sets_rule_pairs_out(spark):
+    """Sets of 4,000 shingles and more: unlike pairs go before sets travel, linked pairs of maps of other sizes stay."""
+    def text(first, last):
+        return " ".join(f"w{i}" for i in range(first, last))
+
+    texts = [text(0, 4004), text(50_000, 54_004), text(800, 5300), text(0, 4400), text(0, 3600)]
+    rows = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, key long").repartition(2)
+    signatures = rows.mapInArrow(ngram_join._signature_rows(5), ngram_join._SIGNATURES).filter("chunk IS NULL").cache()
+    keys = {r.doc_id: r["class"] for r in signatures.collect()}
+    pairs = spark.createDataFrame([(keys[a], keys[b]) for a, b in itertools.combinations(keys, 2)], "a long, b long")
+    kept = {frozenset((r.a, r.b)) for r in ngram_join._possible(pairs, signatures.select("class", "n", "bits"), 75).collect()}
+    sets = {i: shingle_set(t) for i, t in enumerate(texts)}
+    linked = {frozenset((keys[a], keys[b])) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len({len(r.bits) for r in signatures.collect()}) > 1
+    assert linked <= kept and frozenset((keys[0], keys[3])) in linked
+    assert not [p for p in kept if keys[1] in p or p == frozenset((keys[0], keys[2]))]
+
+
+def test_common_shingles_meet_without_their_lists(spark, monkeypatch):
+    """All pairs that share as much as they must come through; what is stored for the join is far smaller than the lists."""
+    rng = np.random.default_rng(4)
+    pool, n, need = rng.integers(0, 2**62, 300), 400, 21
+    lists = []
+    for k in range(40):
+        base = pool[(k % 4) * 70:][:90]
+        lists.append(set(np.concatenate([base[:rng.integers(50, 91)], rng.choice(pool, 30)]).tolist()))
+    common = spark.createDataFrame([(t, k, k, (n + k % 15) << ngram_join.NEED_BITS | need, len(one), True) for k, one in enumerate(lists) for t in one],
+                                   "token long, class long, root long, size long, hits long, minor boolean")
+    held = []
+
+    def noted(df):
+        out = stored(df)
+        held.extend(sum(len(x) for x in r if isinstance(x, list)) for r in out.collect())
+        return out
+
+    stored = ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", noted)
+    rule = ngram_join._Rule(75)
+    got = {frozenset((r.a, r.b)) for r in ngram_join._near_pairs(common, rule).collect()}
+    facts = spark.createDataFrame([(x, y, (n + x % 15) << ngram_join.NEED_BITS | need, (n + y % 15) << ngram_join.NEED_BITS | need) for x, y in itertools.combinations(range(40), 2)],
+                                  "x long, y long, x_size long, y_size long")
+    must = {(r.x, r.y): r.must for r in facts.select("x", "y", rule.must("x_", "y_").alias("must")).collect()}
+    want = {frozenset(p) for p, least in must.items() if len(lists[p[0]] & lists[p[1]]) >= least}
+    assert want and want <= got and len(got) < len(must)
+    assert sum(held) < sum(len(one) for one in lists)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(90)] + [(500 + i, 501 + i) for i in range(12)]
