@@ -313,6 +313,19 @@ def test_summaries(spark):
         summary.aggregate_long(df, ["zz"])
 
 
+@pytest.mark.parametrize("block", [3, 2048])
+def test_a_common_label_is_dealt_over_tasks(spark, monkeypatch, block):
+    monkeypatch.setattr(align, "LABEL_BLOCK", block)
+    cells = spark.createDataFrame([(f"c{i:02}", "Total mes") for i in range(20)] + [("z", "Other")], "cell string, label string")
+    sources = spark.createDataFrame([(f"s{i:02}", "Total mes") for i in range(20)] + [("t", "other.")], "id string, label string")
+    for limit, want in ((None, 20), (7, 7)):
+        found = align.label_cascade(sources, cells, limit=limit).withColumn("task", F.spark_partition_id())
+        got = sorted((r["id"], r["cell"]) for r in found.collect())
+        assert got == sorted([(f"s{i:02}", f"c{k:02}") for i in range(20) for k in range(want)] + [("t", "z")])
+        if block == 3:
+            assert len({r["task"] for r in found.collect() if r["cell"] != "z"}) > 1
+
+
 def test_defaults_cut_nothing(spark):
     cells = spark.createDataFrame([(f"c{i:02}", "Total mes") for i in range(9)], "cell string, label string")
     sources = spark.createDataFrame([("a", "Total mes"), ("b", "TOTAL MES.")], "id string, label string")
