@@ -13,6 +13,8 @@ import pyarrow as pa
 
 #: Texts are handled in slices of about this many bytes, whatever the size of a batch.
 SLICE_BYTES = 4 << 20
+#: A step that makes many whole numbers of each byte takes slices of this many: a worker's peak is that much lower.
+SMALL_SLICE_BYTES = 1 << 20
 
 SHINGLE = 5
 _BASE = 0x9E3779B97F4A7C15
@@ -132,7 +134,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """For each text in turn its distinct shingle hashes, ascending (unsigned)."""
-    for _, _, data, offsets in text_slices(column):
+    for _, _, data, offsets in text_slices(column, SMALL_SLICE_BYTES):
         hashes, counts = shingles(data, offsets, size)
         stop = np.cumsum(counts)
         for a, b in zip(stop - counts, stop):

@@ -38,7 +38,7 @@ def word_counts(docs: DataFrame, text_col: str, name: str, keep_text: bool = Tru
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [K.words(data, offsets)[2] for _, _, data, offsets in K.text_slices(batch.column(at))]
+            counts = [K.words(data, offsets)[2] for _, _, data, offsets in K.text_slices(batch.column(at), K.SMALL_SLICE_BYTES)]
             sizes = pa.concat_arrays([pa.array(c, pa.int64()) for c in counts] or [pa.array([], pa.int64())])
             kept = [i for i in range(batch.num_columns) if keep_text or i != at]
             yield pa.RecordBatch.from_arrays(

@@ -62,6 +62,12 @@ PER_WORD = 32
 LIST_PLACES = 4
 #: Bits of the map that keeps classes without candidates out of the comparison of sets.
 MAP_BITS = 1 << 22
+#: Places, by id and text, of the two maps that tell which rows go without a join of rows.
+ROW_PLACES = 1 << 25
+#: Bits of a part of a map, as Spark's bitmap functions cut them.
+PART_BITS = 1 << 15
+#: What a place of the maps says of the rows there, by the number of the map.
+STAYS, GOES, DOUBTFUL = 0, 1, 2
 
 
 def _class_key(one: np.ndarray) -> int:
@@ -196,7 +202,7 @@ def _set_rows(spark, wanted: np.ndarray, size: int):
         keys, offsets, values = [], [0], []
         for batch in batches:
             for one in K.shingle_sets(batch.column(0), size):
-                if not len(one) or (key := _class_key(one)) in seen or not bits.value[key % MAP_BITS]:
+                if not len(one) or (key := _class_key(one)) in seen or not _is_on(bits.value, key % MAP_BITS):
                     continue
                 seen.add(key)
                 keys.append(key)
@@ -210,16 +216,39 @@ def _set_rows(spark, wanted: np.ndarray, size: int):
     return run
 
 
-def _bit_map(classes: DataFrame) -> np.ndarray:
-    """Which remainders of class keys occur: 4 MB, however many classes there are."""
-    place = F.pmod("class", F.lit(MAP_BITS)) + 1
-    rows = classes.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    out = np.zeros(MAP_BITS, bool)
+def _maps(places: DataFrame, size: int, *kinds: str) -> list[np.ndarray]:
+    """For each kind, a flag of the places, which of ``size`` places have it: packed, eight to a byte."""
+    at, bit = F.bitmap_bucket_number(F.col("place") + 1), F.bitmap_bit_position(F.col("place") + 1)
+    rows = places.groupBy(at.alias("part")).agg(*[F.bitmap_construct_agg(F.when(F.col(kind), bit)).alias(kind) for kind in kinds]).collect()
+    out = {kind: np.zeros((-(-size // PART_BITS), PART_BITS // 8), np.uint8) for kind in kinds}
     for row in rows:
-        bits = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little")
-        at = (row.part - 1) * len(bits)
-        out[at:at + len(bits)] = bits[:MAP_BITS - at]
-    return out
+        for kind in kinds:
+            out[kind][row.part - 1] = np.frombuffer(row[kind], np.uint8)
+    return [out[kind].ravel() for kind in kinds]
+
+
+def _is_on(bits: np.ndarray, place):
+    return (bits[place >> 3] >> (place & 7)) & 1
+
+
+def _class_place() -> F.Column:
+    return F.pmod("class", F.lit(MAP_BITS))
+
+
+def _bit_map(classes: DataFrame) -> np.ndarray:
+    """Which remainders of class keys occur."""
+    return _maps(classes.select(_class_place().alias("place"), F.lit(True).alias("used")), MAP_BITS, "used")[0]
+
+
+def _kinds(spark, *maps: np.ndarray):
+    """A function of a column of places: 0, or the number of the map, from 1, that has the place."""
+    sent = spark.sparkContext.broadcast(maps)
+
+    @F.pandas_udf("int")
+    def kind(place: pd.Series) -> pd.Series:
+        at = place.to_numpy()
+        return pd.Series(sum(i * _is_on(bits, at) for i, bits in enumerate(sent.value, 1)))
+    return kind
 
 
 def _sets(keys: list, offsets: list, values: list) -> pa.RecordBatch:
@@ -240,7 +269,9 @@ def _verified(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, size: i
 
 def _possible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     used = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    maps = signatures.join(used, "class", "left_semi").dropDuplicates(["class"])
+    # the map keeps most of the others where they are
+    few = signatures.filter(_kinds(signatures.sparkSession, _bit_map(used))(_class_place()) > 0)
+    maps = few.join(used, "class", "left_semi").dropDuplicates(["class"])
     left, right = (maps.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
 
     words = F.least(F.size("bits_a"), F.size("bits_b"))
@@ -494,6 +525,14 @@ def _apart(found: DataFrame) -> DataFrame:
     return marked.filter("NOT stays OR times > 1").select("doc_id", "text_key", "stays")
 
 
+def _fate(keys: DataFrame, apart: DataFrame) -> F.Column:
+    """STAYS, GOES or DOUBTFUL of a row by the place of its id and text; at a place that is doubtful rows differ or repeat."""
+    place = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(ROW_PLACES))
+    met = keys.distinct().join(apart, ["doc_id", "text_key"], "left").groupBy(place.alias("place")).agg(
+        F.bool_and(F.col("stays").isNotNull() & ~F.col("stays")).alias("goes"), F.count("stays").alias("apart")).filter("apart > 0")
+    return _kinds(keys.sparkSession, *_maps(met.withColumn("doubtful", ~F.col("goes")), ROW_PLACES, "goes", "doubtful"))(place)
+
+
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             size: int = K.SHINGLE, percent: int = 75) -> DataFrame:
     """Of each group of linked documents the row with the smallest id; all columns stay.
@@ -509,7 +548,9 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
         apart = scope.keep(stored(_apart(ngram_components(source, size=size, percent=percent, groups=True).filter("group IS NOT NULL"))))
     rows = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("row"),
                        F.coalesce(column(docs, id_col).cast("long"), last).alias("doc_id"), F.xxhash64(column(docs, text_col)).alias("text_key"))
-    one_of_each = rows.join(apart.filter("stays").drop("stays"), ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key").agg(
+    rows = rows.withColumn("fate", _fate(rows.select("doc_id", "text_key"), apart))
+    untouched, doubtful = rows.filter(F.col("fate") == STAYS), rows.filter(F.col("fate") == DOUBTFUL)
+    one_of_each = doubtful.join(apart.filter("stays").drop("stays"), ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key").agg(
         F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
-    others = rows.join(apart.drop("stays"), ["doc_id", "text_key"], "left_anti")
-    return others.select("row.*").union(one_of_each.select("row.*"))
+    others = doubtful.join(apart.drop("stays"), ["doc_id", "text_key"], "left_anti")
+    return untouched.select("row.*").union(others.select("row.*")).union(one_of_each.select("row.*"))

@@ -223,7 +223,7 @@ def has_long_run(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, leas
 def _texts(col: pa.Array, rules: SecretRules) -> Iterator[tuple[str, bool]]:
     inside = _run_table(rules)
     least = min([rules.least_run, *(c.width for c in rules.classes)])
-    for a, b, data, offsets in K.text_slices(col):
+    for a, b, data, offsets in K.text_slices(col, K.SMALL_SLICE_BYTES):
         flags = has_long_run(data, offsets, inside, least)
         yield from zip(col.slice(a, b - a).to_pylist(), flags)
 

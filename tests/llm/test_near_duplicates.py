@@ -6,6 +6,7 @@ import itertools
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from metricspark.llm import ngram_join
@@ -76,3 +77,57 @@ def test_random_groups(spark):
             words[rng.randrange(len(words))] = f"w{rng.randint(0, 40)}"
         rows.append((rng.choice([None, *range(90)]), " ".join(words)))
     compare(spark, rows + rows[:20])
+
+
+def shuffled_rows(df, name):
+    """How many rows that hold a column went through a shuffle of its own when this plan ran."""
+    total, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        kind = plan.nodeName()
+        if kind == "AdaptiveSparkPlan":
+            plans.append(plan.executedPlan())
+        elif kind == "ShuffleQueryStage":
+            plans.append(plan.plan())
+        elif kind == "Exchange" and name in plan.schema().fieldNames():
+            total += plan.metrics().apply("shuffleRecordsWritten").value()
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+@pytest.fixture
+def large_sides(spark):
+    """Joins as at sizes where no side is small enough to be sent to all tasks."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_without_copies_are_not_shuffled(spark, large_sides):
+    rng = random.Random(8)
+    texts = [make_text(rng, 40) for _ in range(150)]
+    rows = [*enumerate(texts), *[(200 + i, t + " more") for i, t in enumerate(texts[:30])], (3, texts[3]), (None, texts[4]), (500, None), (501, "")]
+    out = ngram_join.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = [2**63 - 1 if r.doc_id is None else r.doc_id for r in out.collect()]
+    assert Counter(got) == Counter(i for i, _ in expected_rows(rows))
+    assert shuffled_rows(out, "row") <= 10  # the repeated one, and any that share a place
+
+
+def test_signatures_outside_pairs_are_not_shuffled(spark, large_sides):
+    signatures = spark.createDataFrame([(k, 10, [k]) for k in range(1, 301)], "class long, n long, bits array<long>")
+    pairs = spark.createDataFrame([(1, 1 + 2**30), (3, 7)], "a long, b long")
+    out = ngram_join._possible(pairs, signatures, 75)
+    assert [tuple(r) for r in out.collect()] == [(3, 7)]
+    assert shuffled_rows(out, "bits") <= 10
+
+
+@pytest.mark.parametrize("places", [4, 64])
+def test_places_that_rows_share(spark, monkeypatch, places):
+    """Rows that go and rows that stay at one place of the maps."""
+    monkeypatch.setattr(ngram_join, "ROW_PLACES", places)
+    monkeypatch.setattr(ngram_join, "MAP_BITS", places)
+    rng = random.Random(places)
+    texts = [make_text(rng, 50) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " x") for i, t in enumerate(texts[::3])] + [(None, texts[0]), (5, texts[5]), (5, texts[6]), (7, ""), (8, None)]
+    compare(spark, rows + rows[:3])
