@@ -87,7 +87,7 @@ def shuffled_rows(df, name):
         kind = plan.nodeName()
         if kind == "AdaptiveSparkPlan":
             plans.append(plan.executedPlan())
-        elif kind == "ShuffleQueryStage":
+        elif kind.endswith("QueryStage"):
             plans.append(plan.plan())
         elif kind == "Exchange" and name in plan.schema().fieldNames():
             total += plan.metrics().apply("shuffleRecordsWritten").value()
