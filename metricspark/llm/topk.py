@@ -14,7 +14,8 @@ there; the score is the sum over the groups.
    cutoff is ranked.
 
 Vectors are whole numbers, so all scores are exact; bounds are rounded up. Queries meet candidates
-block by block.
+block by block: candidates are dealt over folds, and every fold takes in a copy of the queries, by
+shuffles only. A task reports the k best it has found for a query, not those of every block.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ PROBE = 16
 SPARSE = 0.125
 CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 256
+#: So many blocks of queries meet a fold at once; more make groups, which each see all candidates.
+QUERY_GROUP = 64
+#: Found pairs that a task holds before it cuts them to the best of each query.
+HELD = 1 << 20
 
 NO_CUTOFF = -(1 << 62)
 
@@ -73,14 +78,22 @@ def _pack(scale: int, most: int):
                 order = np.argsort(-(whole.astype(np.float64) ** 2).sum(axis=1), kind="stable")
                 ids, cutoffs, whole = ids[order], cutoffs[order], whole[order]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x], f.type) for x, f in zip((ids.astype(np.int64).tobytes(), cutoffs.astype(np.int64).tobytes(), len(whole), whole.shape[1], whole.tobytes()), _BLOCK)],
+                    [pa.array([x], f.type) for x, f in zip((ids.astype(np.int64).tobytes(), cutoffs.astype(np.int64).tobytes(), len(whole), whole.shape[1], _narrow(whole).tobytes()), _BLOCK)],
                     schema=_BLOCK)
     return run
 
 
+def _narrow(whole: np.ndarray) -> np.ndarray:
+    """The same numbers in the shortest type of 2, 4 or 8 bytes that holds them."""
+    low, high = int(whole.min(initial=0)), int(whole.max(initial=0))
+    return whole.astype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
 def _unpack(row: dict, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = np.frombuffer(row[side + "data"], np.int64).reshape(row[side + "rows"], row[side + "width"])
-    return np.frombuffer(row[side + "ids"], np.int64), np.frombuffer(row[side + "cutoffs"], np.int64), data
+    rows, width, data = row[side + "rows"], row[side + "width"], row[side + "data"]
+    size = len(data) // (rows * width) if width else 8
+    whole = np.frombuffer(data, f"i{size}").reshape(rows, width).astype(np.int64)
+    return np.frombuffer(row[side + "ids"], np.int64), np.frombuffer(row[side + "cutoffs"], np.int64), whole
 
 
 def _exact_type(q: np.ndarray, c: np.ndarray) -> type:
@@ -175,7 +188,7 @@ def _gather(k: int, groups: int):
             at = at[cids[at] != qid]
             at = at[_best(total[at_q, at], cids[at], k)]
             yield int(qid), cids[at], total[at_q, at]
-    return _rows(found)
+    return _rows(found, k)
 
 
 def _collect(k: int, groups: int):
@@ -192,26 +205,57 @@ def _collect(k: int, groups: int):
             at = order[ends[at_q]:ends[at_q + 1]]
             at = at[_best(score[at], cids[j[at]], k)]
             yield int(qid), cids[j[at]], score[at]
-    return _rows(found)
+    return _rows(found, k)
+
 
+def _k_best(found: np.ndarray, k: int) -> np.ndarray:
+    """The columns (query, vector, score) of the k best vectors of every query, each vector once."""
+    found = found[:, np.lexsort((-found[2], found[1], found[0]))]
+    again = (found[0, 1:] == found[0, :-1]) & (found[1, 1:] == found[1, :-1])
+    found = found[:, np.concatenate([np.ones(min(1, found.shape[1]), bool), ~again])]
+    found = found[:, np.lexsort((found[1], -found[2], found[0]))]
+    first = np.searchsorted(found[0], found[0])
+    return found[:, np.arange(found.shape[1]) - first < k]
+
+
+def _rows(found, k: int):
+    """The pairs that ``found`` gives for the rows of a task, cut to the k best of each query."""
+    def batch(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["query_id", "vec_id", "score"])
 
-def _rows(found):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                out = list(found(row))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array([x for x, _, _ in out], np.int64), [len(a) for _, a, _ in out])),
-                     pa.array(np.concatenate([a for _, a, _ in out])), pa.array(np.concatenate([s for _, _, s in out]))],
-                    names=["query_id", "vec_id", "score"])
+        held, n = [np.empty((3, 0), np.int64)], 0
+        for rows in batches:
+            for row in rows.to_pylist():
+                for qid, ids, scores in found(row):
+                    held.append(np.stack([np.full(len(ids), qid, np.int64), ids, scores.astype(np.int64)]))
+                    n += len(ids)
+                if n > HELD:
+                    best = _k_best(np.concatenate(held, axis=1), k)
+                    held, n = [best], best.shape[1]
+                    if n > HELD // 2:  # so many queries: what they have so far goes out
+                        yield batch(best)
+                        held, n = [np.empty((3, 0), np.int64)], 0
+        yield batch(_k_best(np.concatenate(held, axis=1), k))
     return run
 
 
-def _meet(queries: DataFrame, candidates: DataFrame, fold: int) -> DataFrame:
-    """Every block of queries next to every block of candidates, joined on the candidates' group."""
-    q = queries.select(*[F.col(c).alias("q_" + c) for c in queries.columns], F.explode(F.sequence(F.lit(0), F.lit(fold - 1))).alias("fold"))
-    c = candidates.select(*[F.col(c).alias("c_" + c) for c in candidates.columns], F.pmod(F.xxhash64("ids"), F.lit(fold)).cast("int").alias("fold"))
-    return c.join(q, "fold").drop("fold")
+def _meet(queries: DataFrame, candidates: DataFrame, fold: int, groups: int) -> DataFrame:
+    """Every block of queries next to every block of candidates, which are dealt over folds.
+
+    Queries are copied once per fold and candidates once per group of queries. Copies are made by a generator,
+    which no estimate of sizes sees, so the sides are never broadcast; a number of partitions keeps folds that
+    are small on input from being put together again.
+    """
+    at = ["fold", "group"]
+
+    def dealt(blocks: DataFrame, side: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        return blocks.select(
+            *[F.col(c).alias(side + c) for c in blocks.columns], F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)).repartition(fold * groups, *at)
+
+    q = dealt(queries, "q_", "group", groups, "fold", fold)
+    return dealt(candidates, "c_", "fold", fold, "group", groups).join(q.hint("merge"), at).drop(*at)
 
 
 def top_k(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -232,7 +276,10 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "ve
     candidates = stored(rows.select("vec_id", "vector", none).mapInArrow(_pack(scale, CANDIDATE_BLOCK), _BLOCK_DDL))
     asking = stored(rows.filter("asks").select("vec_id", "vector").distinct())
     parts = max(1, -(-asking.count() // QUERY_BLOCK))
-    fold = partitions(spark)
+    n_blocks = candidates.count()
+    # Every fold reports k pairs a query: several blocks a fold, once there are enough folds for all cores.
+    fold = max(1, min(partitions(spark), max(-(-n_blocks // 4), min(n_blocks, 4 * spark.sparkContext.defaultParallelism))))
+    together = -(-parts // QUERY_GROUP)
 
     def blocks(df: DataFrame) -> DataFrame:
         return df.select("vec_id", "vector", "cutoff").repartition(parts).mapInArrow(_pack(scale, QUERY_BLOCK), _BLOCK_DDL)
@@ -244,7 +291,7 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "ve
         once = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         return once.withColumn("rank", F.row_number().over(order))
 
-    gathered = _meet(blocks(asking.select("vec_id", "vector", none)), candidates, fold).mapInArrow(_gather(k, groups), schema)
+    gathered = _meet(blocks(asking.select("vec_id", "vector", none)), candidates, fold, together).mapInArrow(_gather(k, groups), schema)
     cutoffs = stored(ranked(gathered).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff")))
-    found = _meet(blocks(asking.join(cutoffs, "vec_id", "left")), candidates, fold).mapInArrow(_collect(k, groups), schema)
+    found = _meet(blocks(asking.join(cutoffs, "vec_id", "left")), candidates, fold, together).mapInArrow(_collect(k, groups), schema)
     return ranked(found).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

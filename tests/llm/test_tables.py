@@ -120,6 +120,39 @@ def test_top_k(spark, monkeypatch, candidates):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("held", [50, 1 << 20])
+def test_copies_of_queries_are_not_broadcast(spark, monkeypatch, held):
+    """What the driver takes in does not grow with folds times queries; a task reports k pairs a query, however many blocks it met."""
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 8)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "QUERY_GROUP", 2, raising=False)
+    monkeypatch.setattr(topk, "HELD", held, raising=False)
+    plans, tasks, meet = [], [], topk._meet
+
+    def noted(*sides):
+        out = meet(*sides)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        found = out.mapInArrow(topk._gather(3, 2), "query_id long, vec_id long, score long").withColumn("task", F.spark_partition_id()).cache()
+        tasks.append((found.count(), found.select("task", "query_id").distinct().count()))
+        return out
+
+    monkeypatch.setattr(topk, "_meet", noted)
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(400, 6)) * np.where(np.arange(400) % 7 == 0, 900, 1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(2)
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 10 == 0, k=3).collect()}
+    whole = np.floor(1024 * vectors).astype(np.int64)
+    want = set()
+    for q in range(0, 400, 10):
+        order = sorted((-int(whole[q] @ whole[i]), i) for i in range(400) if i != q)[:3]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(order)}
+    assert got == want
+    assert len(plans) == 2 and all("SortMergeJoin [fold" in p for p in plans)
+    assert "Broadcast" not in plans[0]
+    rows, asked = tasks[0]
+    assert rows <= 3 * asked if held > 50 else rows > 3 * asked
+
+
 def test_top_k_of_repeated_ids(spark):
     """The whole table twice, and ids with two vectors: every id counts once, with its best score."""
     rng = np.random.default_rng(8)
