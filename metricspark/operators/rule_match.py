@@ -7,10 +7,12 @@
    of ``GRAM`` characters, a regular expression under the rarest piece of a literal it cannot do
    without. Texts are filed under all their pieces, so both meet by equality; the test itself is
    then made on the pairs that met. A test without any literal meets every distinct text.
-3. Rules that ask the same are one body with several ids; what follows is done once per body, on
-   numbers of combinations, texts and bodies.
-4. A body is led by the condition that fewest combinations meet; its other conditions are looked up
-   for those alone. Ids, status and result are put together per combination, and records come last.
+3. Conditions that ask the same are one condition and rules with the same conditions one body with
+   several ids. Every combination gets the conditions that its texts hold.
+4. A body is filed under its condition that fewest combinations hold. A combination meets the bodies of
+   the conditions it holds, and their other conditions are looked up in the same row.
+5. Ids are far more than hits: each task gets the ids of the bodies it needs once, next to its hits and
+   records, and puts lists together in place, so no list is shuffled for every combination it belongs to.
 
 The driver reads the names of fields and operators and the lengths of anchors, nothing else.
 """
@@ -29,6 +31,10 @@ from metricspark.session import cut_lineage
 
 #: Characters of an anchor; shorter values are filed whole.
 GRAM = 4
+#: Bodies under one condition come in lists of about this many.
+BODY_LIST = 256
+#: Records of one combination are dealt over places of about this many.
+CLASS_BLOCK = 4096
 OPERATORS = ("eq", "contains", "starts_with", "regex")
 _TEST = ["field", "op", "value"]
 
@@ -77,23 +83,23 @@ def _anchored(tests: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _filed(texts: DataFrame, anchors: DataFrame) -> DataFrame:
-    """``field, text, kind, anchor``: every text under all anchors of the lengths that its field is asked for."""
+    """``kind, anchor`` and the columns of ``texts``: every text under all anchors of the lengths that its field is asked for."""
     lengths = {(r["field"], r["kind"], r["n"]) for r in anchors.filter("kind <> 'eq'").select(
         "field", "kind", F.least(F.length("anchor"), F.lit(GRAM)).alias("n")).distinct().collect()}
-    parts = [texts.select("field", "text", F.lit("eq").alias("kind"), F.col("text").alias("anchor"))]
+    parts = [texts.select("*", F.lit("eq").alias("kind"), F.col("text").alias("anchor"))]
     for field, kind, n in sorted(lengths):
         text = F.col("text")
         own = texts.filter((F.col("field") == field) & (F.length(text) >= n))
         anchor = F.explode(_pieces(text, F.lit(n))) if kind == "piece" else F.substring(text, 1, n)
-        parts.append(own.select("field", "text", F.lit(kind).alias("kind"), anchor.alias("anchor")))
+        parts.append(own.select("*", F.lit(kind).alias("kind"), anchor.alias("anchor")))
     return reduce(DataFrame.unionByName, parts)
 
 
 def passed_tests(texts: DataFrame, tests: DataFrame) -> DataFrame:
-    """``field, text, op, value`` of all distinct texts and the tests they pass."""
-    anchors = cut_lineage(_anchored(tests, texts))
+    """``text_no, test_no`` of all distinct texts (``field, text, text_no``) and the tests (``field, op, value, test_no``) they pass."""
+    anchors = cut_lineage(_anchored(tests, texts).join(tests, _TEST))
     met = _filed(texts, anchors).join(anchors, ["field", "kind", "anchor"])
-    return met.filter(_passes(F.col("text"), F.col("op"), F.col("value"))).select("field", "text", "op", "value")
+    return met.filter(_passes(F.col("text"), F.col("op"), F.col("value"))).select("text_no", "test_no")
 
 
 def rule_hits(df: DataFrame, rules: DataFrame, *, text: Callable[[Column], Column] = normalize_text, empty: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -104,8 +110,8 @@ def rule_hits(df: DataFrame, rules: DataFrame, *, text: Callable[[Column], Colum
     are compared in the form that ``text`` gives, but a regular expression is taken as it is; ``empty``
     says whether an empty value is a test at all. Rows of rules that repeat count once; a null value
     counts as empty text, and so does a null field of a record. An operator or a field that is not known is an error.
-    ``classes`` has the fields as ``__field``, the key ``class`` and its number; ``hits`` has ``class_no, body``
-    and ``members`` has ``body, rule_id``.
+    ``classes`` has the fields as ``__field``, the key ``class``, its number and its ``records``; ``hits`` has
+    ``class_no, body`` and ``members`` has ``body, rule_id``.
     """
     known = {(r["field"], r["op"]) for r in rules.select("field", "op").distinct().collect()}
     for field, op in sorted(known, key=str):
@@ -116,50 +122,73 @@ def rule_hits(df: DataFrame, rules: DataFrame, *, text: Callable[[Column], Colum
     fields = sorted({field for field, _ in known})
     raw = F.coalesce(F.col("value").cast("string"), F.lit(""))
     asked = rules.select("rule_id", "condition_no", "field", "op", F.when(F.col("op") == "regex", raw).otherwise(text(raw)).alias("value")).distinct()
-    asked = cut_lineage(asked if empty else asked.filter("value <> ''"))
-    needed = rules.groupBy("rule_id").agg(F.countDistinct("condition_no").alias("needed"))
-    bodies, members = _bodies(asked, needed)
-    conditions = cut_lineage(asked.join(bodies, "rule_id").select("body", "condition_no", *_TEST))
-    needed = bodies.select("body", "needed")
-    classes = cut_lineage(class_texts(df, fields, text).distinct().withColumn("class_no", F.monotonically_increasing_id()))
+    asked = asked if empty else asked.filter("value <> ''")
+    # a rule with a condition that has no test left is met by nothing
+    whole = rules.groupBy("rule_id").agg(F.countDistinct("condition_no").alias("conditions"))
+    left = asked.groupBy("rule_id").agg(F.countDistinct("condition_no").alias("conditions"))
+    asked = cut_lineage(asked.join(left.join(whole, ["rule_id", "conditions"]), "rule_id").drop("conditions"))
+    tests, bodies, members = _bodies(asked)
+    texts_of = class_texts(df, fields, text)
+    classes = cut_lineage(texts_of.groupBy(*[F.col(f"`{c}`") for c in texts_of.columns]).agg(
+        F.count(F.lit(1)).alias("records")).withColumn("class_no", F.monotonically_increasing_id()))
     if not fields:
         return classes, classes.select("class_no", F.lit(0).cast("bigint").alias("body")).limit(0), members
+    held = cut_lineage(_held(classes, fields, tests))
+    return classes, cut_lineage(_met(held, bodies)), members
+
+
+def _held(classes: DataFrame, fields: list[str], tests: DataFrame) -> DataFrame:
+    """``class_no, held``: the conditions that each combination holds, from ``cond, field, op, value``."""
     long = classes.unpivot("class_no", [f"__{f}" for f in fields], "field", "text").withColumn("field", F.expr("substring(field, 3)"))
     texts = cut_lineage(long.select("field", "text").distinct().withColumn("text_no", F.monotonically_increasing_id()))
-    long = cut_lineage(long.join(texts, ["field", "text"]).select("class_no", "field", "text_no"))
-    passed = cut_lineage(passed_tests(texts, conditions.select(*_TEST).distinct()).join(texts, ["field", "text"]).select(*_TEST, "text_no"))
-    met = cut_lineage(conditions.join(passed, _TEST).select("body", "condition_no", "field", "text_no").distinct())
-    # how many combinations meet a condition, from the sizes of the texts
-    sizes = long.groupBy("text_no").agg(F.count(F.lit(1)).alias("classes"))
-    cost = met.join(sizes, "text_no").groupBy("body", "condition_no").agg(F.sum("classes").alias("cost"))
-    order = F.struct("cost", "condition_no")
-    # a body with a condition that nothing meets has no hit
-    live = cost.groupBy("body").agg(F.min(order)["condition_no"].alias("lead"), F.count(F.lit(1)).alias("met")).join(
-        needed, "body").filter("met = needed").drop("met")
-    live = cut_lineage(live)
-    led = met.join(live.select("body", F.col("lead").alias("condition_no"), "needed"), ["body", "condition_no"]).join(
-        long.select("class_no", "text_no"), "text_no").select("class_no", "body", "needed")
-    others = met.join(live.filter("needed > 1").select("body", "lead"), "body").filter("condition_no <> lead")
-    asked_of = others.select("body", "condition_no", "field").distinct()
-    looked_up = led.filter("needed > 1").join(asked_of, "body").join(long, ["class_no", "field"]).join(
-        others.select("body", "condition_no", "text_no"), ["body", "condition_no", "text_no"], "left_semi")
-    whole = looked_up.groupBy("class_no", "body").agg(F.count(F.lit(1)).alias("held"), F.first("needed").alias("needed")).filter("held = needed - 1")
-    return classes, led.filter("needed = 1").select("class_no", "body").unionByName(whole.select("class_no", "body")), members
-
-
-def _bodies(asked: DataFrame, needed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rule_id, body, needed`` of one rule of every body, and ``body, rule_id`` of all rules.
-
-    Rules have one body if their conditions are the same; sets of conditions are compared by their sizes
-    and two sums of hashes, so no rule is gathered in one place.
+    numbered = cut_lineage(tests.select(*_TEST).distinct().withColumn("test_no", F.monotonically_increasing_id()))
+    passed = passed_tests(texts, numbered).join(tests.join(numbered, _TEST).select("test_no", "cond"), "test_no")
+    by_text = cut_lineage(texts.join(passed.groupBy("text_no").agg(F.collect_set("cond").alias("conds")), "text_no").drop("text_no"))
+    rows = classes.select("class_no", *[F.col(f"`__{f}`").alias(f"text_{i}") for i, f in enumerate(fields)])
+    for i, f in enumerate(fields):
+        own = by_text.filter(F.col("field") == f).select(F.col("text").alias(f"text_{i}"), F.col("conds").alias(f"conds_{i}"))
+        rows = rows.join(own, f"text_{i}", "left")
+    none = F.array().cast("array<bigint>")
+    return rows.select("class_no", F.concat(*[F.coalesce(f"conds_{i}", none) for i in range(len(fields))]).alias("held")).filter(F.size("held") > 0)
+
+
+def _met(held: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``class_no, body``: the combinations that hold all conditions of a body (``body, cond, conds``)."""
+    cost = held.select(F.explode("held").alias("cond")).groupBy("cond").agg(F.count(F.lit(1)).alias("cost"))
+    # a body with a condition that nothing holds has no hit
+    ordered = bodies.join(cost, "cond").groupBy("body", "conds").agg(
+        F.sort_array(F.collect_list(F.struct("cost", "cond"))).alias("all")).filter(F.size("all") == F.col("conds"))
+    conds = F.col("all.cond")
+    filed = ordered.select("body", conds[0].alias("lead"), F.slice(conds, 2, F.greatest(F.size("all") - 1, F.lit(0))).alias("others"))
+    lists = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("lead")) / BODY_LIST)
+    led = filed.withColumn("list", F.pmod(F.xxhash64("body"), lists)).groupBy("lead", "list").agg(
+        F.collect_list(F.struct("body", "others")).alias("bodies"))
+    whole = F.filter("bodies", lambda b: F.forall(b["others"], lambda c: F.array_contains(F.col("held"), c)))
+    return held.select("class_no", "held", F.explode("held").alias("lead")).join(led, "lead").select(
+        "class_no", F.explode(whole.getField("body")).alias("body"))
+
+
+def _sums(*columns: str) -> list[Column]:
+    """The size of a set of rows and two sums of hashes: what tells sets apart without gathering them."""
+    return [F.count(F.lit(1)).alias("n"), *[F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(20,0)")).alias(f"h{seed}") for seed in (1, 2)]]
+
+
+def _bodies(asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``cond, field, op, value`` of all conditions, ``body, cond, conds`` of all bodies, and ``body, rule_id`` of all rules.
+
+    Conditions are one if their tests are the same, rules have one body if their conditions are. Sets are compared
+    by their sizes and two sums of hashes, so no rule is gathered in one place.
     """
-    row = ["condition_no", *_TEST]
-    digest = asked.groupBy("rule_id").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.xxhash64(F.lit(seed), *row).cast("decimal(20,0)")).alias(f"h{seed}") for seed in (1, 2)])
-    same = ["needed", "n", "h1", "h2"]
-    rules = cut_lineage(digest.join(needed, "rule_id"))
+    same = ["n", "h1", "h2"]
+    conditions = asked.groupBy("rule_id", "condition_no").agg(*_sums(*_TEST))
+    conds = cut_lineage(conditions.groupBy(*same).agg(F.min(F.struct("rule_id", "condition_no")).alias("one")).withColumn(
+        "cond", F.monotonically_increasing_id()))
+    tests = cut_lineage(asked.join(conds.select("one.*", "cond"), ["rule_id", "condition_no"]).select("cond", *_TEST))
+    of_rule = cut_lineage(conditions.join(conds, same).select("rule_id", "cond").distinct())
+    rules = cut_lineage(of_rule.groupBy("rule_id").agg(*_sums("cond")))
     bodies = cut_lineage(rules.groupBy(*same).agg(F.min("rule_id").alias("rule_id")).withColumn("body", F.monotonically_increasing_id()))
-    return bodies.select("rule_id", "body", "needed"), rules.join(bodies.drop("rule_id"), same).select("body", "rule_id")
+    members = rules.join(bodies.drop("rule_id"), same).select("body", "rule_id")
+    return tests, cut_lineage(bodies.join(of_rule, "rule_id").select("body", "cond", F.col("n").alias("conds"))), members
 
 
 def class_texts(df: DataFrame, fields: list[str], text: Callable[[Column], Column]) -> DataFrame:
@@ -168,30 +197,48 @@ def class_texts(df: DataFrame, fields: list[str], text: Callable[[Column], Colum
     return df.select(*forms).withColumn("class", F.sha2(F.to_json(F.struct(*[F.col(f"`__{f}`") for f in fields])), 256))
 
 
-def _class_ids(df: DataFrame, rules: DataFrame, text: Callable[[Column], Column], empty: bool, results: DataFrame | None = None) -> DataFrame:
-    """``__class, rule_ids`` of all combinations that meet a rule, with the ``result`` of those that meet one."""
+def _classified(df: DataFrame, rules: DataFrame, text: Callable[[Column], Column], empty: bool, results: DataFrame | None = None) -> DataFrame:
+    """``record, rule_ids, result``: all records with the sorted rules of their combination and what its one rule, if it is one, gives.
+
+    Hits, records and the ids of bodies come to the places of their combinations in one exchange. There ids
+    pass to hits, and lists to records, by order alone: what is dealt by place needs no further exchange.
+    """
     classes, hits, members = rule_hits(df, rules, text=text, empty=empty)
-    ids = members.groupBy("body").agg(F.collect_list("rule_id").alias("ids"))
-    own = []
+    ids = cut_lineage(members.groupBy("body").agg(F.sort_array(F.collect_list("rule_id")).alias("ids")))
+    facts = ids.select("body", F.size("ids").alias("n"), F.lit(None).cast("map<string,string>").alias("result"))
     if results is not None:
-        # Looked up where rules are few: combinations without a result never meet in one task.
         maps = results.groupBy("rule_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("result"))
-        ids = ids.join(members.join(maps, "rule_id").groupBy("body").agg(F.first("result").alias("result")), "body", "left")
-        own = [F.first("result", ignorenulls=True).alias("result")]
-    met = hits.join(ids, "body").groupBy("class_no").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("rule_ids"), *own)
-    if own:
-        met = met.withColumn("result", F.when(F.size("rule_ids") == 1, F.col("result")))
-    return met.join(classes.select("class_no", F.col("class").alias("__class")), "class_no").drop("class_no")
-
+        only = ids.filter("size(ids) = 1").select("body", F.col("ids")[0].alias("rule_id")).join(maps, "rule_id").select("body", "result")
+        facts = facts.drop("result").join(only, "body", "left")
+    places = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = F.ceil(F.col("records") / CLASS_BLOCK).cast("int").alias("blocks")
+    met = hits.join(facts, "body").groupBy("class_no").agg(F.sum("n").alias("n"), F.first("result", ignorenulls=True).alias("result"))
+    met = met.join(classes.select("class_no", F.col("class").alias("__class"), blocks), "class_no").withColumn(
+        "result", F.when(F.col("n") == 1, F.col("result"))).drop("n")
 
-def _joined(df: DataFrame, rules: DataFrame, text: Callable[[Column], Column], ids: DataFrame) -> DataFrame:
-    """All records with the columns of their combination; ``rule_ids`` are empty where it meets no rule."""
     fields = sorted(r["field"] for r in rules.select("field").distinct().collect())
     forms = F.struct(*[text(F.col(f"`{f}`")).alias(f"__{f}") for f in fields])
-    none = F.array().cast("array<string>")
-    # Lists of ids are far wider than any estimate made from the tables: never broadcast.
-    return df.withColumn("__class", F.sha2(F.to_json(forms), 256)).join(ids.hint("merge"), "__class", "left").drop("__class").withColumn(
-        "rule_ids", F.coalesce("rule_ids", none))
+    record = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    keyed = df.select(F.sha2(F.to_json(forms), 256).alias("__class"), record.alias("record"))
+    # a map has no hash
+    dealt = F.xxhash64(*[F.col("record").getField(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+    # records without a hit go to places of their own, under numbers that no combination and no body has
+    alone = -1 - F.pmod(dealt, F.lit(1 << 40))
+
+    def place(class_no: Column) -> Column:
+        return F.pmod(F.xxhash64(class_no, F.col("block")), F.lit(places)).cast("int").alias("place")
+
+    records = keyed.join(met, "__class", "left").withColumn("block", F.coalesce(F.pmod(dealt, "blocks").cast("int"), F.lit(0))).withColumn(
+        "class_no", F.coalesce("class_no", alone)).select(
+        place(F.col("class_no")), F.lit(2).alias("kind"), alone.alias("body"), "class_no", "block", "record", "result")
+    hit = hits.join(classes.select("class_no", blocks), "class_no").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        place(F.col("class_no")), F.lit(1).alias("kind"), "body", "class_no", "block")
+    needed = hit.select("place", "body").distinct().join(ids, "body").select("place", F.lit(0).alias("kind"), "body", "ids")
+    gathered = needed.unionByName(hit, allowMissingColumns=True).unionByName(records, allowMissingColumns=True).repartition(places, "place")
+    of_body = Window.partitionBy("place", "body").orderBy("kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    with_ids = gathered.withColumn("ids", F.first("ids", ignorenulls=True).over(of_body)).filter("kind > 0")
+    lists = with_ids.withColumn("lists", F.collect_list("ids").over(Window.partitionBy("place", "class_no", "block"))).filter("kind = 2")
+    return lists.select("record", F.sort_array(F.flatten("lists")).alias("rule_ids"), "result")
 
 
 def strict_classify_from_tables(df: DataFrame, rules: DataFrame, results: DataFrame) -> DataFrame:
@@ -202,8 +249,7 @@ def strict_classify_from_tables(df: DataFrame, rules: DataFrame, results: DataFr
     """
     n = F.size("rule_ids")
     status = F.when(n == 0, "UNKNOWN").when(n == 1, "OK").otherwise("AMBIGUOUS")
-    marked = _joined(df, rules, normalize_text, _class_ids(df, rules, normalize_text, True, results))
-    return marked.select(*[F.col(f"`{c}`") for c in df.columns], "rule_ids", status.alias("rule_status"), "result")
+    return _classified(df, rules, normalize_text, True, results).select("record.*", "rule_ids", status.alias("rule_status"), "result")
 
 
 def multi_classify_from_tables(df: DataFrame, categories: DataFrame) -> DataFrame:
@@ -217,4 +263,4 @@ def multi_classify_from_tables(df: DataFrame, categories: DataFrame) -> DataFram
     if unknown:
         raise UnknownOperator(unknown["operator"])
     rules = categories.select(F.col("code").alias("rule_id"), F.lit(1).alias("condition_no"), "field", op.alias("op"), "value")
-    return _joined(df, rules, casefold_text, _class_ids(df, rules, casefold_text, False)).withColumnRenamed("rule_ids", "codes")
+    return _classified(df, rules, casefold_text, False).select("record.*", F.col("rule_ids").alias("codes"))

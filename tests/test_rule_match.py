@@ -89,3 +89,53 @@ def test_rules_that_ask_the_same_are_one_body(spark):
     assert got == {1: (201, "AMBIGUOUS", None), 2: (1, "OK", {"n": "v"}), 3: (0, "UNKNOWN", None), 4: (1, "OK", None)}
     dropped = rule_match.rule_hits(df, table, empty=False)
     assert dropped[1].count() == 2
+
+
+def shuffled_bytes(df):
+    """The size of all rows that went through shuffles when this plan ran."""
+    total, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        kind = plan.nodeName()
+        if kind == "AdaptiveSparkPlan":
+            plans.append(plan.executedPlan())
+        elif kind.endswith("QueryStage"):
+            plans.append(plan.plan())
+        elif kind == "Exchange":
+            total += plan.metrics().apply("dataSize").value()
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_lists_are_not_shuffled_for_every_combination(spark):
+    """300 combinations meet 400 rules: what is shuffled has no room for a number per pair, and every record has its whole list."""
+    rules = [(f"r{i:03}", 1, "a", "contains", "oak" if i % 2 else "tree") for i in range(400)] + [("x", 1, "a", "eq", "none")]
+    df = spark.createDataFrame([(i, f"oak tree {i}", {"k": i}) for i in range(300)] + [(300, "none", None), (301, "elm", None), (302, "Oak", None)],
+                               "id int, a string, result map<string,int>").withColumnRenamed("result", "body")
+    none = spark.createDataFrame([("x", "n", "v")], "rule_id string, name string, value string")
+    got = rule_match.strict_classify_from_tables(df, spark.createDataFrame(rules, RULE), none)
+    rows = {r.id: r for r in got.collect()}
+    every = sorted(f"r{i:03}" for i in range(400))
+    assert len(rows) == 303 and all(rows[i].rule_ids == every and rows[i].body == {"k": i} for i in range(300))
+    assert (rows[300].rule_ids, rows[300].result, rows[301].rule_ids, rows[302].rule_ids) == (["x"], {"n": "v"}, [], every[1::2])
+    assert 0 < shuffled_bytes(got) < 300 * 400 * 8
+
+
+@pytest.fixture
+def eight_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_common_combination_is_dealt_over_places(spark, monkeypatch, eight_partitions):
+    monkeypatch.setattr(rule_match, "CLASS_BLOCK", 5)
+    monkeypatch.setattr(rule_match, "BODY_LIST", 2)
+    rules = [(f"r{i}", no, field, "contains", value) for i in range(9) for no, field, value in ((1, "a", "oak"), (2, "b", "red"[: i % 3 + 1]), (3, "a", "oa"))]
+    df = spark.createDataFrame([(i, "oak", "red" if i < 60 else "r") for i in range(90)], "id int, a string, b string")
+    got = rule_match.strict_classify_from_tables(df, spark.createDataFrame(rules, RULE), spark.createDataFrame([], "rule_id string, name string, value string"))
+    marked = got.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.id, r.rule_ids) for r in marked) == [(i, [f"r{k}" for k in range(9) if i < 60 or k % 3 == 0]) for i in range(90)]
+    assert len({r.task for r in marked}) > 1
