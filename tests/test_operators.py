@@ -326,6 +326,32 @@ def test_a_common_label_is_dealt_over_tasks(spark, monkeypatch, block):
             assert len({r["task"] for r in found.collect() if r["cell"] != "z"}) > 1
 
 
+def test_labels_are_read_once_and_joined_by_blocks(spark, monkeypatch):
+    """Rows are not normalised one by one, and joins make a row per block of cells, not per cell."""
+    monkeypatch.setattr(align, "LABEL_BLOCK", 10)
+    texts = ("Total  mes", "TOTAL MES.", None, "4567 - 4567", "zz")
+    cells = spark.createDataFrame([(f"c{i:03}", texts[i % 5]) for i in range(250)], "cell string, label string")
+    sources = spark.createDataFrame([(f"s{i:03}", ("total mes", "Total  mes", "4567", None, "zz")[i % 5]) for i in range(250)], "id string, label string")
+    found = align.label_cascade(sources, cells)
+    got = sorted((r.id, r.cell, r.match_type, r.total_hits) for r in found.collect())
+    by = {k: [f"c{i:03}" for i in range(250) if i % 5 in k] for k in ((0,), (0, 1), (3,))}
+    want = [(f"s{i:03}", c, "ambiguous", n) for i in range(250) for c, n in {
+        0: [(c, 100) for c in by[0, 1]], 1: [(c, 50) for c in by[0,]], 2: [(c, 100) for c in by[3,] * 2]}.get(i % 5, [])]
+    assert got == sorted(want)
+    most, plans = 0, [found._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            plans.append(plan.executedPlan())
+        elif plan.nodeName().endswith("QueryStage"):
+            plans.append(plan.plan())
+        if "Join" in plan.nodeName():
+            most = max(most, plan.metrics().apply("numOutputRows").value())
+        assert "regexp" not in plan.simpleString(1 << 20)
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    assert 0 < most < len(want) / 2
+
+
 def test_defaults_cut_nothing(spark):
     cells = spark.createDataFrame([(f"c{i:02}", "Total mes") for i in range(9)], "cell string, label string")
     sources = spark.createDataFrame([("a", "Total mes"), ("b", "TOTAL MES.")], "id string, label string")
