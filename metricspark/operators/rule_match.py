@@ -13,6 +13,7 @@
    the conditions it holds, and their other conditions are looked up in the same row.
 5. Ids are far more than hits: each task gets the ids of the bodies it needs once, next to its hits and
    records, and puts lists together in place, so no list is shuffled for every combination it belongs to.
+   Where combinations are few against the records, lists are made for them and joined on.
 
 The driver reads the names of fields and operators and the lengths of anchors, nothing else.
 """
@@ -35,6 +36,8 @@ GRAM = 4
 BODY_LIST = 256
 #: Records of one combination are dealt over places of about this many.
 CLASS_BLOCK = 4096
+#: With so many records a combination on average, lists are made per combination and joined on.
+CLASS_RECORDS = 8
 OPERATORS = ("eq", "contains", "starts_with", "regex")
 _TEST = ["field", "op", "value"]
 
@@ -198,47 +201,54 @@ def class_texts(df: DataFrame, fields: list[str], text: Callable[[Column], Colum
 
 
 def _classified(df: DataFrame, rules: DataFrame, text: Callable[[Column], Column], empty: bool, results: DataFrame | None = None) -> DataFrame:
-    """``record, rule_ids, result``: all records with the sorted rules of their combination and what its one rule, if it is one, gives.
-
-    Hits, records and the ids of bodies come to the places of their combinations in one exchange. There ids
-    pass to hits, and lists to records, by order alone: what is dealt by place needs no further exchange.
-    """
+    """All records with the sorted ``__rule_ids`` of their combination and the ``__result`` of the one rule it meets."""
     classes, hits, members = rule_hits(df, rules, text=text, empty=empty)
     ids = cut_lineage(members.groupBy("body").agg(F.sort_array(F.collect_list("rule_id")).alias("ids")))
-    facts = ids.select("body", F.size("ids").alias("n"), F.lit(None).cast("map<string,string>").alias("result"))
+    facts = ids.select("body", F.size("ids").alias("n"), F.lit(None).cast("map<string,string>").alias("__result"))
     if results is not None:
-        maps = results.groupBy("rule_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("result"))
-        only = ids.filter("size(ids) = 1").select("body", F.col("ids")[0].alias("rule_id")).join(maps, "rule_id").select("body", "result")
-        facts = facts.drop("result").join(only, "body", "left")
-    places = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = F.ceil(F.col("records") / CLASS_BLOCK).cast("int").alias("blocks")
-    met = hits.join(facts, "body").groupBy("class_no").agg(F.sum("n").alias("n"), F.first("result", ignorenulls=True).alias("result"))
-    met = met.join(classes.select("class_no", F.col("class").alias("__class"), blocks), "class_no").withColumn(
-        "result", F.when(F.col("n") == 1, F.col("result"))).drop("n")
-
+        maps = results.groupBy("rule_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("__result"))
+        only = ids.filter("size(ids) = 1").select("body", F.col("ids")[0].alias("rule_id")).join(maps, "rule_id").select("body", "__result")
+        facts = facts.drop("__result").join(only, "body", "left")
+    met = hits.join(facts, "body").groupBy("class_no").agg(F.sum("n").alias("n"), F.first("__result", ignorenulls=True).alias("__result"))
+    met = met.join(classes.select("class_no", F.col("class").alias("__class"), F.ceil(F.col("records") / CLASS_BLOCK).cast("int").alias("blocks")), "class_no")
+    met = met.withColumn("__result", F.when(F.col("n") == 1, F.col("__result"))).drop("n")
     fields = sorted(r["field"] for r in rules.select("field").distinct().collect())
     forms = F.struct(*[text(F.col(f"`{f}`")).alias(f"__{f}") for f in fields])
-    record = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    keyed = df.select(F.sha2(F.to_json(forms), 256).alias("__class"), record.alias("record"))
-    # a map has no hash
-    dealt = F.xxhash64(*[F.col("record").getField(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
-    # records without a hit go to places of their own, under numbers that no combination and no body has
-    alone = -1 - F.pmod(dealt, F.lit(1 << 40))
-
-    def place(class_no: Column) -> Column:
-        return F.pmod(F.xxhash64(class_no, F.col("block")), F.lit(places)).cast("int").alias("place")
-
-    records = keyed.join(met, "__class", "left").withColumn("block", F.coalesce(F.pmod(dealt, "blocks").cast("int"), F.lit(0))).withColumn(
-        "class_no", F.coalesce("class_no", alone)).select(
-        place(F.col("class_no")), F.lit(2).alias("kind"), alone.alias("body"), "class_no", "block", "record", "result")
-    hit = hits.join(classes.select("class_no", blocks), "class_no").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        place(F.col("class_no")), F.lit(1).alias("kind"), "body", "class_no", "block")
+    keyed = df.withColumn("__class", F.sha2(F.to_json(forms), 256))
+    many = classes.agg(F.sum("records").alias("records"), F.count(F.lit(1)).alias("classes")).first()
+    if (many["records"] or 0) >= CLASS_RECORDS * many["classes"]:
+        # few combinations: lists are made for each and are little next to the records
+        lists = _lists(met.select("class_no", F.lit(0).alias("block"), F.struct("__class").alias("record"), "__result"), met.withColumn("blocks", F.lit(1)), hits, ids)
+        own = lists.select("record.__class", "__rule_ids", "__result")
+        # Lists of ids are far wider than any estimate made from the tables: never broadcast.
+        return keyed.join(own.hint("merge"), "__class", "left").drop("__class").withColumn(
+            "__rule_ids", F.coalesce("__rule_ids", F.array().cast("array<string>")))
+    # A map has no hash. Records without a hit go to places of their own, under numbers that no combination has.
+    dealt = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+    records = keyed.join(met, "__class", "left").select(
+        F.coalesce("class_no", -1 - F.pmod(dealt, F.lit(1 << 40))).alias("class_no"), F.coalesce(F.pmod(dealt, "blocks").cast("int"), F.lit(0)).alias("block"),
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record"), "__result")
+    return _lists(records, met, hits, ids).select("record.*", "__rule_ids", "__result")
+
+
+def _lists(records: DataFrame, met: DataFrame, hits: DataFrame, ids: DataFrame) -> DataFrame:
+    """``record, __rule_ids, __result`` of ``class_no, block, record, __result``; ``met`` says how many ``blocks`` a combination has.
+
+    Hits, records and the ids of bodies come to the places of their combinations in one exchange. There ids
+    pass to hits, and lists to records, by order alone: what is dealt by place needs no further exchange.
+    """
+    places = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.pmod(F.xxhash64("class_no", "block"), F.lit(places)).cast("int").alias("place")
+    hit = hits.join(met.select("class_no", "blocks"), "class_no").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        place, F.lit(1).alias("kind"), "body", "class_no", "block")
     needed = hit.select("place", "body").distinct().join(ids, "body").select("place", F.lit(0).alias("kind"), "body", "ids")
-    gathered = needed.unionByName(hit, allowMissingColumns=True).unionByName(records, allowMissingColumns=True).repartition(places, "place")
+    # no body has a number below 0
+    waiting = records.select(place, F.lit(2).alias("kind"), (-1 - F.abs("class_no")).alias("body"), "class_no", "block", "record", "__result")
+    gathered = needed.unionByName(hit, allowMissingColumns=True).unionByName(waiting, allowMissingColumns=True).repartition(places, "place")
     of_body = Window.partitionBy("place", "body").orderBy("kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     with_ids = gathered.withColumn("ids", F.first("ids", ignorenulls=True).over(of_body)).filter("kind > 0")
     lists = with_ids.withColumn("lists", F.collect_list("ids").over(Window.partitionBy("place", "class_no", "block"))).filter("kind = 2")
-    return lists.select("record", F.sort_array(F.flatten("lists")).alias("rule_ids"), "result")
+    return lists.select("record", F.sort_array(F.flatten("lists")).alias("__rule_ids"), "__result")
 
 
 def strict_classify_from_tables(df: DataFrame, rules: DataFrame, results: DataFrame) -> DataFrame:
@@ -247,9 +257,10 @@ def strict_classify_from_tables(df: DataFrame, rules: DataFrame, results: DataFr
     ``rules`` as for ``rule_hits``; ``results`` has ``rule_id, name, value``. Exactly one matching rule
     classifies. A rule is what has conditions: one without any row does not exist.
     """
-    n = F.size("rule_ids")
+    n = F.size("__rule_ids")
     status = F.when(n == 0, "UNKNOWN").when(n == 1, "OK").otherwise("AMBIGUOUS")
-    return _classified(df, rules, normalize_text, True, results).select("record.*", "rule_ids", status.alias("rule_status"), "result")
+    return _classified(df, rules, normalize_text, True, results).select(
+        *[F.col(f"`{c}`") for c in df.columns], F.col("__rule_ids").alias("rule_ids"), status.alias("rule_status"), F.col("__result").alias("result"))
 
 
 def multi_classify_from_tables(df: DataFrame, categories: DataFrame) -> DataFrame:
@@ -263,4 +274,5 @@ def multi_classify_from_tables(df: DataFrame, categories: DataFrame) -> DataFram
     if unknown:
         raise UnknownOperator(unknown["operator"])
     rules = categories.select(F.col("code").alias("rule_id"), F.lit(1).alias("condition_no"), "field", op.alias("op"), "value")
-    return _classified(df, rules, casefold_text, False).select("record.*", F.col("rule_ids").alias("codes"))
+    return _classified(df, rules, casefold_text, False).select(
+        *[F.col(f"`{c}`") for c in df.columns], F.col("__rule_ids").alias("codes"))

@@ -131,6 +131,7 @@ def eight_partitions(spark):
 
 
 def test_a_common_combination_is_dealt_over_places(spark, monkeypatch, eight_partitions):
+    monkeypatch.setattr(rule_match, "CLASS_RECORDS", 1000)
     monkeypatch.setattr(rule_match, "CLASS_BLOCK", 5)
     monkeypatch.setattr(rule_match, "BODY_LIST", 2)
     rules = [(f"r{i}", no, field, "contains", value) for i in range(9) for no, field, value in ((1, "a", "oak"), (2, "b", "red"[: i % 3 + 1]), (3, "a", "oa"))]
